@@ -29,8 +29,28 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.read_token_shards(spark, shards)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate as dc
+
+    return dc.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_shards": op2_token_shards}
+    return {f.__name__: f for f in (op2_token_shards, op3_decontaminate, op4_quality, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
