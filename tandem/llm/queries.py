@@ -42,6 +42,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rules
+
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge_rules(docs, *rules.fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -50,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_shards, op3_decontaminate, op4_quality, op9_toxicity)}
+    return {f.__name__: f for f in (op2_token_shards, op3_decontaminate, op4_quality, op8_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
