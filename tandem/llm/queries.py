@@ -56,9 +56,73 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.identify_language(docs, language.fit_language(docs, tokenizer_file("piece_bpe_32k.model")))
+
+
+#: The dated list of op1: kind, value, category, action, date.
+LIST_ENTRIES = (
+    ("domain", "casino-win.example.com", "gambling", "add", "2023-05-01"),
+    ("domain", "casino-win.example.com", "gambling", "remove", "2024-03-01"),
+    ("domain", "casino-win.example.com", "gambling", "add", "2024-06-15"),
+    ("domain", "free-bets.example.com", "gambling", "add", "2024-02-01"),
+    ("domain", "cheap-pills.example.com", "pharmacy", "add", "2023-01-01"),
+    ("domain", "cheap-pills.example.com", "spam", "add", "2024-07-01"),
+    ("domain", "tionble.example.org", "scraper", "add", "2024-01-10"),
+    ("domain", "tionble.example.org", "scraper", "remove", "2024-01-10"),
+    ("domain", "tionsh.example.com", "mirror", "add", "2024-04-01"),
+    ("domain", "tionsh.example.com", "mirror", "remove", "2024-08-01"),
+    ("domain", "example.net", "parked", "remove", "2023-06-01"),
+    ("prefix", "blog.tionsh.example.com/fr", "mirror", "add", "2024-07-20"),
+    ("prefix", "tiontion.example.net/en", "syndicated", "add", "2023-12-01"),
+    ("prefix", "tiontion.example.net/en", "syndicated", "remove", "2024-09-01"),
+    ("prefix", "blog.thther.example.net/de", "syndicated", "add", "2024-05-01"),
+)
+_ENTRIES_SQL = "(VALUES " + ", ".join(str(e) for e in LIST_ENTRIES) + ")"
+
+
+def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages carry no fetch time; each page is taken as fetched on day page_id mod 366 of 2024, at noon."""
+    from pyspark.sql import functions as F
+
+    from . import url_lists
+
+    entries = spark.sql(f"SELECT * FROM {_ENTRIES_SQL} AS e(kind, value, category, action, dated)")
+    fetched = F.timestamp_add("HOUR", F.lit(12), F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).cast("timestamp"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
+    return url_lists.apply_lists(pages, entries)
+
+
+OP1_SQL = f"""
+WITH e AS (SELECT kind, lower(value) AS value, category, action, CAST(dated AS DATE) AS dated FROM {_ENTRIES_SQL} AS t(kind, value, category, action, dated)),
+d AS (SELECT kind, value, dated, max(CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS is_on, max(category) FILTER (WHERE action = 'add') AS category FROM e GROUP BY ALL),
+v AS (SELECT kind, value, category, is_on, CAST(dated AS TIMESTAMP) AS since, CAST(lead(dated) OVER (PARTITION BY kind, value ORDER BY dated) AS TIMESTAMP) AS until FROM d),
+p AS (SELECT page_id, url, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched_at,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+  regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages),
+m AS (SELECT p.page_id, v.kind, v.value, v.category, v.since,
+  row_number() OVER (PARTITION BY p.page_id ORDER BY length(v.value) DESC, v.kind DESC) AS k
+  FROM p JOIN v ON v.is_on = 1 AND v.since <= p.fetched_at AND (v.until IS NULL OR p.fetched_at < v.until)
+  AND ((v.kind = 'domain' AND (p.host = v.value OR ends_with(p.host, '.' || v.value)))
+    OR (v.kind = 'prefix' AND (p.host || p.path = v.value OR starts_with(p.host || p.path, v.value || '/')))))
+SELECT p.page_id, p.url, p.fetched_at, p.host, m.value IS NOT NULL AS blocked, m.kind AS list_kind, m.value AS list_value, m.category AS list_category, m.since AS listed_since
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    files = warc.write_warc(table(spark, sf_dir, "pages"), store.shared_dir(spark, "warc"), min_payload=0)
+    return warc.read_warc(spark, files).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_shards, op3_decontaminate, op4_quality, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_url_lists, op2_token_shards, op3_decontaminate, op4_quality, op7_language, op8_quality_rules, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_lists": OP1_SQL}

@@ -116,7 +116,12 @@ class ConvModel:
         shift = np.zeros((len(WIDTHS), FILTERS), np.float32)
         out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
         bias = np.float32(0)
-        inputs = [(ids, *np.unique(ids, return_inverse=True)) for ids in (word_ids(h, e, keys)[0] for h, e in hashes)]
+        inputs = []
+        for k, (h, e) in enumerate(hashes):
+            ids = word_ids(h, e, keys)[0].astype(np.int32)
+            inputs.append((ids, *(a.astype(np.int32) for a in np.unique(ids, return_inverse=True))))
+            hashes[k] = None
+        del hashes
         weight = len(y) / (2 * np.bincount(y, minlength=2))
         steps, step = epochs * len(rows), 0
         for _ in range(epochs):
