@@ -93,32 +93,39 @@ _WORDS = np.zeros(256, np.uint64)
 _rng = np.random.default_rng(20240229)
 _WORDS[:] = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_SPAN = 1 << 20
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
 
 
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, STEP_BYTES + (1 << 16))
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The base's powers and inverse powers below _SPAN, and both for a whole span."""
+    if which not in _POWERS:
         base = int(_BASE[which])
-        up = np.full(size, base, np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        inverse = pow(base, -1, 1 << 64)
+        up, down = np.full(_SPAN, base, np.uint64), np.full(_SPAN, inverse, np.uint64)
         up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size <= 4 * STEP_BYTES:
-            _POWERS[which] = have
-    return have
+        _POWERS[which] = np.multiply.accumulate(up), np.multiply.accumulate(down), pow(base, _SPAN, 1 << 64), pow(inverse, _SPAN, 1 << 64)
+    return _POWERS[which]
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit polynomial hash of each byte span raw[start:end]; equal spans hash alike wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(which, len(raw) + 1)
+    up, down, leap, back = _powers(which)
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_WORDS[raw] * up[: len(raw)], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * down[starts]
+    far, inverse = 1, []
+    for lo in range(0, len(raw) + 1, _SPAN):
+        part = _WORDS[raw[lo : lo + _SPAN]] * up[: max(0, min(_SPAN, len(raw) - lo))]
+        part *= np.uint64(far)
+        np.cumsum(part, out=part)
+        sums[lo + 1 : lo + 1 + len(part)] = part + sums[lo]
+        inverse.append(pow(back, lo // _SPAN, 1 << 64))
+        far = far * leap & (2**64 - 1)
+    out = (sums[ends] - sums[starts]) * down[starts % _SPAN]
+    if len(inverse) > 1:
+        out *= np.array(inverse, np.uint64)[starts // _SPAN]
     out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)

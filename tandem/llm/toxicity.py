@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import quality, samples, texts
 
-SAMPLE = {1: 4000, 0: 6000}
+SAMPLE = {1: 2500, 0: 3500}
 #: A hash needs so many learning rows for an embedding of its own.
 LEAST_DOCS = 6
 DIMENSIONS = 12
@@ -104,8 +104,12 @@ class ConvModel:
         for text, _, _ in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             hashes.append(token_hashes(raw, np.array([0, len(raw)])))
-        seen, times = np.unique(np.concatenate([np.unique(h) for h, _ in hashes]), return_counts=True)
-        keys = seen[times >= LEAST_DOCS]
+        times: dict[int, int] = {}
+        for h, _ in hashes:
+            for key in np.unique(h).tolist():
+                times[key] = times.get(key, 0) + 1
+        keys = np.array(sorted(k for k, n in times.items() if n >= LEAST_DOCS), np.uint64)
+        del times
         embed = rng.normal(0, 0.1, (len(keys) + 2, DIMENSIONS)).astype(np.float32)
         embed[:, 0] = 0
         embed[2:, 0] = _association(hashes, y, keys)
@@ -167,8 +171,8 @@ class ConvModel:
 
     def _calibrate(self, rows: list[tuple[str, int, str | None]], y: np.ndarray) -> None:
         """Move the bias so that the best common cut is THRESHOLD; then a cut for each language."""
-        column = pa.chunked_array([pa.array([r[0] or "" for r in rows], pa.string())])
-        score = self.predict(*texts.text_bytes(column))
+        parts = [pa.chunked_array([pa.array([r[0] or "" for r in rows[lo : lo + 200]], pa.string())]) for lo in range(0, len(rows), 200)]
+        score = np.concatenate([self.predict(*texts.text_bytes(part)) for part in parts])
         logit = np.log(score) - np.log1p(-np.minimum(score, 1 - 1e-12))
         cut = _best_cut(logit, y, None)
         self.bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
@@ -177,7 +181,8 @@ class ConvModel:
         for lang in np.unique(langs):
             mine = langs == lang
             if lang and np.bincount(y[mine], minlength=2).min() >= LEAST_ROWS:
-                self.thresholds[str(lang)] = float(1 / (1 + np.exp(-_best_cut(logit[mine], y[mine], np.log(THRESHOLD / (1 - THRESHOLD))))))
+                own = _best_cut(logit[mine], y[mine], np.log(THRESHOLD / (1 - THRESHOLD)))
+                self.thresholds[str(lang)] = float(1 / (1 + np.exp(-own)))
 
 
 def _association(hashes: list, y: np.ndarray, keys: np.ndarray) -> np.ndarray:
