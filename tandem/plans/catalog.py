@@ -1,11 +1,20 @@
-"""Named queries over the star-schema and text tables, each with its SQL."""
+"""All named queries of the library, and the flagship."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from . import entity, registry, retrieval, textual  # noqa: F401  their queries register themselves
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windowed candidates, scored, ranked, evaluated as recall rate at 1 to 20."""
+    return retrieval.recall_rate(spark, sf_dir)
