@@ -77,10 +77,13 @@ class ConvModel:
 
     def _maxima(self, ids: np.ndarray, begin: np.ndarray) -> np.ndarray:
         found, k = [], 0
+        ends = np.append(begin[1:], len(ids))
         for width in WIDTHS:
             total = self.table[ids, k].copy()
             for j in range(1, width):
                 total[:-j] += self.table[ids[j:], k + j]
+            for j in range(1, width):  # windows that would reach into the next row
+                total[ends - j] = -np.inf
             k += width
             found.append(np.maximum.reduceat(total, begin, axis=0))
         return np.maximum(np.concatenate(found, axis=1), 0)
@@ -104,12 +107,10 @@ class ConvModel:
         for text, _, _ in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             hashes.append(token_hashes(raw, np.array([0, len(raw)])))
-        times: dict[int, int] = {}
-        for h, _ in hashes:
-            for key in np.unique(h).tolist():
-                times[key] = times.get(key, 0) + 1
-        keys = np.array(sorted(k for k, n in times.items() if n >= LEAST_DOCS), np.uint64)
-        del times
+        seen = np.sort(np.concatenate([np.unique(h) for h, _ in hashes]))
+        first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+        keys = seen[first[np.diff(np.append(first, len(seen))) >= LEAST_DOCS]]
+        del seen, first
         embed = rng.normal(0, 0.1, (len(keys) + 2, DIMENSIONS)).astype(np.float32)
         embed[:, 0] = 0
         embed[2:, 0] = _association(hashes, y, keys)
