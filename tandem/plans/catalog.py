@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import entity, registry, retrieval, textual  # noqa: F401  their queries register themselves
+from . import entity, inputs, registry, retrieval, textual  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, registry.Query]:
