@@ -284,7 +284,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _MODELS:  # kept from task to task with its remembered words
             _MODELS.clear()
-            _MODELS[name] = LanguageModel(*sent.value)
+            _MODELS[name] = LanguageModel(*texts.sent_value(sent))
         for table in texts.text_slices(batches, step=texts.STEP_BYTES // 2):
             langs, score = _MODELS[name].predict(*texts.text_bytes(table["text"]))
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])

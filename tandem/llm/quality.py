@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: SubwordModel) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model.score, model.bias))  # BUCKETS floats
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SubwordModel(*sent.value)
+        own = SubwordModel(*texts.sent_value(sent))
         for table in texts.text_slices(batches):
             score = own.predict(*texts.text_bytes(table["text"]))
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), pa.array(score, pa.float64())], ["doc_id", "score"])

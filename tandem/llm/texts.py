@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Bytes of text handled at once in a Python worker; a longer document is handled alone, whole.
 STEP_BYTES = 4 << 20
@@ -14,6 +16,23 @@ STEP_BYTES = 4 << 20
 BATCH_ROWS = 1024
 
 
+def sent_value(broadcast):
+    """A broadcast's value, not kept in the worker beyond the task: workers live long and see many models."""
+    value = broadcast.value
+    if TaskContext.get() is not None:
+        broadcast.__dict__.pop("_value", None)
+    return value
+
+
+def release() -> None:
+    """Give freed memory back to the system at a task's end, since idle workers stand beside busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_batches(spark) -> None:
     """Keep Arrow batches small; a session that sets its own size keeps it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -44,6 +63,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: i
                 held, size = [], 0
     if held:
         yield pa.concat_tables(held)
+    del held
+    release()
 
 
 def text_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -43,8 +43,8 @@ MAGIC = b"PFORSHD1"
 BLOCK = 256
 HEAD = 12
 FOOTER = struct.Struct("<QQQQ8s")
-#: Spans a worker remembers before it starts anew: bounds its memory.
-CACHE_SPANS = 1_500_000
+#: Spans a worker remembers; beyond that it keeps those that came again. Bounds its memory.
+CACHE_SPANS = 600_000
 
 
 # --- patched frame of reference ------------------------------------------------------------------------------
@@ -247,9 +247,23 @@ class Encoder:
         self.checks = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int64)
+        self.hits = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used = 0
 
+    def shrink(self) -> None:
+        """Keep the spans that were met again, if these are few enough."""
+        keep = np.flatnonzero(self.hits > 0)
+        if len(keep) > CACHE_SPANS // 2:
+            keep = keep[np.argsort(-self.hits[keep], kind="stable")[: CACHE_SPANS // 2]]
+            keep.sort()
+        n = self.n[keep]
+        start = np.cumsum(n) - n
+        ids = self.pool[np.arange(int(n.sum())) + np.repeat(self.at[keep] - start, n)]
+        self.keys, self.checks, self.at, self.n, self.hits = self.keys[keep], self.checks[keep], start, n, np.zeros(len(keep), np.int64)
+        self.pool = np.concatenate([ids, np.zeros(1 << 20, np.uint32)])
+        self.used = len(ids)
+
     def _encode(self, spans: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(spans, add_special_tokens=False)]
 
@@ -279,7 +293,7 @@ class Encoder:
         new = np.flatnonzero(~known)
         if len(new):
             if len(self.keys) + len(new) > CACHE_SPANS and len(self.keys):
-                self.forget()
+                self.shrink()
                 return self.encode(raw, offsets)
             data = raw.tobytes()
             ids, counts = self.direct([data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
@@ -290,9 +304,10 @@ class Encoder:
             at = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
             order = np.argsort(np.concatenate([self.keys, distinct[new]]), kind="stable")
-            for name, more in (("keys", distinct[new]), ("checks", check[first[new]]), ("at", at), ("n", counts)):
+            for name, more in (("keys", distinct[new]), ("checks", check[first[new]]), ("at", at), ("n", counts), ("hits", np.zeros(len(new), np.int64))):
                 setattr(self, name, np.concatenate([getattr(self, name), more])[order])
             slot = np.searchsorted(self.keys, distinct)
+        self.hits[slot[known]] += 1
         n, at = self.n[slot][codes], self.at[slot][codes]
         done = np.cumsum(n)
         ids = self.pool[np.arange(int(done[-1])) + np.repeat(at - (done - n), n)]

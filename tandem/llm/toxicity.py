@@ -235,7 +235,7 @@ def score_toxicity(docs: DataFrame, model: ConvModel) -> DataFrame:
     sent = _send(spark, model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ConvModel(*sent.value)
+        own = ConvModel(*texts.sent_value(sent))
         for table in texts.text_slices(batches, step=texts.STEP_BYTES // 2):
             score = own.predict(*texts.text_bytes(table["text"]))
             cut = np.array([own.thresholds.get(x, THRESHOLD) for x in table["lang"].to_pylist()])
@@ -252,7 +252,7 @@ def drop_toxic(docs: DataFrame, model: ConvModel) -> DataFrame:
     sent = _send(spark, model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ConvModel(*sent.value)
+        own = ConvModel(*texts.sent_value(sent))
         for table in texts.text_slices(batches, step=texts.STEP_BYTES // 2):
             score = own.predict(*texts.text_bytes(table["text"]))
             cut = np.array([own.thresholds.get(x, THRESHOLD) for x in table["lang"].to_pylist()])
