@@ -392,7 +392,7 @@ def topic_inference(spark, sf_dir):
 
 
 @query()
-def sabd_forward(spark, sf_dir):
+def soft_alignment_forward(spark, sf_dir):
     r = doc_reports(spark, sf_dir)
     pr = pairs.positive_pairs(r.select("bug_id", "root"))
     seqs = r.select("bug_id", F.slice(tx.or_empty_token(_tokens(F.col("text"))), 1, 350).alias("tokens"))
