@@ -43,6 +43,8 @@ THRESHOLD = 0.3
 ASSOCIATION = 4.0
 #: A language needs so many learning rows of each class for a threshold of its own.
 LEAST_ROWS = 40
+#: A language's threshold stays in this range, since scores of learning rows are too sure.
+THRESHOLD_RANGE = (0.2, 0.5)
 #: Padding tokens between texts: the widest filter less one.
 GAP = max(WIDTHS) - 1
 
@@ -183,7 +185,7 @@ class ConvModel:
             mine = langs == lang
             if lang and np.bincount(y[mine], minlength=2).min() >= LEAST_ROWS:
                 own = _best_cut(logit[mine], y[mine], np.log(THRESHOLD / (1 - THRESHOLD)))
-                self.thresholds[str(lang)] = float(1 / (1 + np.exp(-own)))
+                self.thresholds[str(lang)] = float(np.clip(1 / (1 + np.exp(-own)), *THRESHOLD_RANGE))
 
 
 def _association(hashes: list, y: np.ndarray, keys: np.ndarray) -> np.ndarray:
