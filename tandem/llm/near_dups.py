@@ -7,13 +7,15 @@ between texts that share most k-mers in the same order. Two texts are linked if
 of their k-mers is at least 0.8 of all k-mers of both, each common one counted once; the alignment runs in the
 band outside of which 0.8 cannot be reached. Classes are the connected components of the links.
 
-Nothing grows with the square of a group: texts with equal word sequences are one node. In a bucket (texts with
-one sketch) every node is compared with one hub only. Buckets whose nodes do not share their first linked node
-after that are dealt again by that sketch and the next order's sketch together, with new hubs, compared only
-where that node differs, and at last with every number of further orders at once, each with hubs of its own.
-Two texts at 0.8 agree in one sketch with probability of about 0.5 (0.8 for each of the sampled k-mers), so 16
-orders miss them all in 1 of 100,000 cases. Pairs are distinct over all orders and pass an exact length test
-before their words are fetched.
+Texts with equal word sequences are one node. In a bucket (texts with one sketch) every node is first compared
+with one hub. Buckets whose nodes do not share their first linked node after that are dealt again by that sketch
+and the next order's sketch together, with new hubs, compared only where that node differs, and at last with every
+number of further orders at once, each with hubs of its own. These rounds only save work. Buckets that then still
+have nodes of several components are finished exactly: all their pairs across components are compared, in pairs of
+bounded blocks, each pair in the first bucket that it shares. So any two texts that agree in a sketch are aligned,
+fail an exact bound (lengths, common k-mers), or are in one class already; only nodes of a bucket that belong to
+different components cost the square of their number. Two texts at 0.8 agree in one sketch with probability of
+about 0.5 (0.8 for each of the sampled k-mers), so 16 orders miss them all in 1 of 100,000 cases.
 
 A null text is its own class; texts without words are classes by their exact text, so equal empty texts are
 copies. Repeated rows are copies of each other. A class is named by its smallest doc_id (null where all
@@ -39,6 +41,10 @@ BANDS = 16
 MINIMA = 3
 #: Orders that are joined to a bucket's own in the later rounds; the last round takes all that are left at once.
 ROUNDS = ([1], list(range(2, BANDS)))
+#: Nodes and words of a block in the exact last step, about; and the k-mers counted in one matrix product.
+BLOCK = 256
+BLOCK_WORDS = 1 << 18
+BLOCK_MERS = 1 << 12
 #: Expected number of k-mers below the bound that preselects the minima.
 PRESELECT = 24
 _rng = np.random.default_rng(515)
@@ -190,6 +196,66 @@ def aligned_share(a: np.ndarray, b: np.ndarray) -> bool:
     return len(y) - free.bit_count() >= rest
 
 
+def common_mers(mers: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) numbers of common k-mers, each counted as often as both texts have it."""
+    import pandas as pd
+
+    owner = np.repeat(np.arange(len(mers)), [len(m) for m in mers])
+    rows = pd.DataFrame({"o": owner, "m": np.concatenate(mers)})
+    nth = rows.groupby(["o", "m"], sort=False).cumcount().to_numpy()
+    code = rows.assign(nth=nth).groupby(["m", "nth"], sort=False).ngroup().to_numpy()
+    shared = np.bincount(code) > 1
+    owner, code = owner[shared[code]], (np.cumsum(shared) - 1)[code[shared[code]]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    total = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(shared.sum()), BLOCK_MERS):
+        a, b = np.searchsorted(code, [lo, lo + BLOCK_MERS])
+        has = np.zeros((len(mers), BLOCK_MERS), np.float32)
+        has[owner[a:b], code[a:b] - lo] = 1
+        total += (has[left] @ has[right].T).astype(np.int64)
+    return total
+
+
+def block_links(words: list[np.ndarray], roots: list[bytes], sketches: np.ndarray, band: int, n_left: int) -> list[tuple[bytes, bytes]]:
+    """Links of roots that join all texts at 0.8 across the first ``n_left`` texts and the others (among
+    themselves where there are no others), of the pairs whose first common sketch is that of ``band``."""
+    alone = n_left == len(words)
+    left = np.arange(n_left)
+    right = left if alone else np.arange(n_left, len(words))
+    _, root = np.unique(np.array(roots, object), return_inverse=True)
+    open_ = root[left][:, None] != root[right][None, :]
+    if alone:
+        open_ &= left[:, None] < right[None, :]
+    for b in range(band):
+        open_ &= sketches[left, b][:, None] != sketches[right, b][None, :]
+    if not open_.any():
+        return []
+    mers = [kmers(w) for w in words]
+    n = np.array([len(m) for m in mers])
+    both = n[left][:, None] + n[right][None, :]
+    open_ &= 9 * np.minimum(n[left][:, None], n[right][None, :]) >= 4 * both
+    if not open_.any():
+        return []
+    common = common_mers(mers, left, right)
+    i, j = np.nonzero(open_ & (9 * common >= 4 * both))
+    best = np.argsort(-common[i, j] / both[i, j], kind="stable")
+    parent, out = list(range(int(root.max()) + 1)), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(left[i[best]].tolist(), right[j[best]].tolist()):
+        x, y = find(root[a]), find(root[b])
+        if x != y and aligned_share(words[a], words[b]):
+            parent[x] = y
+            out.append((roots[a], roots[b]))
+    return out
+
+
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
@@ -263,7 +329,7 @@ def node_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     nodes = store.materialise(nodes.withColumnRenamed("_node", "node"), "nodes")
     by = ["band", "key"]
     members = nodes.select("node", "n", F.col("node").alias("root"), F.posexplode("sketch").alias("band", "key"))
-    stars = store.materialise(_stars(members, by, 0), "stars")
+    first = stars = store.materialise(_stars(members, by, 0), "stars")
     near = F.least(_n_mers("n"), _n_mers("hub_n")) * 9 >= (_n_mers("n") + _n_mers("hub_n")) * 4
     across = F.col("root") != F.col("hub_root")
 
@@ -292,7 +358,51 @@ def node_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
         new = pairs_of(stars).join(checked.select("node", "hub"), ["node", "hub"], "left_anti")
         checked = checked.unionByName(store.materialise(_verify(new, words), "checked"))
         stars = stars.withColumn("band", F.pmod("band", F.lit(BANDS)))
-    return components(_linked(checked))
+    roots = store.materialise(components(_linked(checked)), "linked")
+    return _finish_buckets(first.select(*by, "node", "n"), nodes.select("node", "sketch"), words, roots)
+
+
+def _finish_buckets(members: DataFrame, sketches: DataFrame, words: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after all pairs of a bucket (band, key) that are in different components are compared.
+
+    A component with a block or more of a bucket's nodes has blocks of its own there, which are not paired with
+    each other; all others of the bucket are dealt to its mixed blocks (``own`` empty) by hash."""
+    by = ["band", "key"]
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = store.materialise(rooted, "rooted")
+    still = rooted.groupBy(*by).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size")).filter("r0 <> r1 and size > 2")
+    rest = store.materialise(rooted.join(still.select(*by), by, "left_semi"), "rest")
+    if not rest.limit(1).count():
+        return roots
+    groups = rest.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    groups = groups.withColumn("own", F.when((F.col("c") >= BLOCK) | (F.col("w") >= BLOCK_WORDS), F.col("root")).otherwise(F.lit(b"")))
+    blocks = F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(F.sum("w") / BLOCK_WORDS), F.lit(1)).alias("blocks")
+    parts = store.materialise(groups.groupBy(*by, "own").agg(blocks), "parts")
+    dealt = rest.join(groups.select(*by, "root", "own"), [*by, "root"]).join(parts, [*by, "own"])
+    dealt = dealt.select(*by, "own", F.pmod(F.xxhash64("node"), "blocks").alias("no"), "node", "root")
+
+    every = parts.select(*by, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"))
+    other = every.withColumnsRenamed({"own": "own2", "no": "no2"})
+    units = every.join(other, by).filter("own < own2 or (own = own2 and own = X'' and no <= no2)")
+    units = store.materialise(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    one = units.select(*by, "own", "no", "unit", F.lit(0).alias("side"))
+    two = units.filter("own <> own2 or no <> no2").select(*by, F.col("own2").alias("own"), F.col("no2").alias("no"), "unit", F.lit(1).alias("side"))
+    sent = dealt.join(one.unionByName(two), [*by, "own", "no"]).select("unit", "side", "band", "node", "root")
+    sent = sent.join(sketches, "node").join(words, "node").select("unit", "side", "band", "root", "sketch", "words")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side").combine_chunks()
+        own = [np.frombuffer(x.as_buffer(), "<u4") for x in table["words"]]
+        sketch = np.array(table["sketch"].to_pylist(), np.int64)
+        n_left = int((table["side"].to_numpy() == 0).sum())
+        links = block_links(own, table["root"].to_pylist(), sketch, table["band"][0].as_py(), n_left) if n_left else []
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    more = components(sent.groupBy("unit").applyInArrow(compare, "a binary, b binary"))
+    more = more.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    old = roots.join(more, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    new = more.select(F.col("root").alias("node"), F.col("next").alias("root")).join(roots, "node", "left_anti")
+    return old.unionByName(new)
 
 
 def _linked(checked: DataFrame) -> DataFrame:

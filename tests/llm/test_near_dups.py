@@ -83,6 +83,50 @@ def test_one_of_each_class_stays(spark, corpus):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*firsts.values(), 901])
 
 
+def starred(seed, n_words, copies):
+    """An original and copies at 0.81 of it, each with four changed words of its own, which are no copies of each other."""
+    rng = random.Random(seed)
+    base = [f"s{seed}w{i}" for i in range(n_words)]
+    rows = [base]
+    for _ in range(copies):
+        out = list(base)
+        for at in (rng.randrange(10, 40), rng.randrange(60, 90), rng.randrange(110, 140), rng.randrange(160, 190)):
+            out[at] = f"new{rng.randrange(10**9)}"
+        rows.append(out)
+    return [" ".join(w) for w in rows]
+
+
+def brute_classes(docs):
+    import pyarrow as pa
+
+    sign = nd.Signer(pa.chunked_array([docs]))
+    words = [sign.words[a:b] for a, b in zip(sign.edge, sign.edge[1:])]
+    sets = [set(nd.kmers(w).tolist()) for w in words]  # no text of these repeats a k-mer
+    first = list(range(len(docs)))
+
+    def find(x):
+        while first[x] != x:
+            x = first[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i + 1, len(docs)):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and nd.aligned_share(words[i], words[j]):
+                a, b = sorted((find(i), find(j)))
+                first[b] = a
+    return [find(i) for i in range(len(docs))]
+
+
+@pytest.mark.parametrize("block", [nd.BLOCK, 32])
+def test_star_of_independent_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
+    big = starred(1, 200, 2000 if block == nd.BLOCK else 150)
+    docs = big + starred(2, 200, 40) + starred(3, 200, 3)
+    want = brute_classes(docs) if block == 32 else [0] * len(big) + [len(big)] * 41 + [len(big) + 41] * 4
+    got = nd.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()
+    assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)] == want
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(d).count() == 0
