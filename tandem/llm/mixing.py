@@ -8,7 +8,8 @@ A source takes every document floor(target / size) times; the rest of its budget
 some documents. Documents are counted by exact length (the histogram is all that a source's task sees, so
 its size is bounded by the number of different lengths). Each length first gets its proportional share, then
 a bounded knapsack over the remaining counts (reachable sums as bit sets) fills the last words exactly where
-they can be. Which documents of a length are taken is decided by a seeded hash of id and text: the k smallest,
+they can be; if more words than it works on are left, because all other documents are too long for the steps
+before, the longest document that fits is taken. Which documents of a length are taken is decided by a seeded hash of id and text: the k smallest,
 found through counts in hash ranges, so that no task ranks a whole length or source.
 
 Targets need only sums over the sources, so the driver holds a few numbers. Reruns agree. A null source is a
@@ -88,6 +89,12 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int
             if more > 0:
                 taken[k] += more
                 rest -= more * int(lengths[k])
+    if rest > limit:  # all that is left and fits is longer than rest - limit // 2, so one document at most: the longest
+        fits = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
+        if len(fits):
+            k = int(fits[np.argmax(lengths[fits])])
+            taken[k] += 1
+            rest -= int(lengths[k])
     if 0 < rest:
         small = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
         small = small[np.argsort(-(share - taken)[small], kind="stable")]

@@ -47,6 +47,13 @@ def targets_of(sizes):
         full |= over
 
 
+def test_fit_lengths_of_very_long_documents():
+    lengths = np.array([99_999, 100_000, 100_001], np.int64)
+    assert mixing.fit_lengths(lengths, np.ones(3, np.int64), 120_000).tolist() == [0, 0, 1]
+    assert mixing.fit_lengths(lengths, np.ones(3, np.int64), 100_000).tolist() == [0, 1, 0]
+    assert mixing.fit_lengths(lengths, np.ones(3, np.int64), 99_998).tolist() == [0, 0, 0]
+
+
 def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, " ".join("w" * (1 + i % 3) for _ in range(rng.randint(0, 40))), rng.choice(["a", "b", "é", "", None, "z"])) for i in range(400)]
