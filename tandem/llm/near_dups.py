@@ -308,7 +308,7 @@ def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words) of the documents with a wanted doc_id: the words' hashes."""
+    """(node, words) of the wanted nodes: the words' hashes. Texts are read by doc_id, and all rows without one."""
     texts.small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,14 +318,15 @@ def _words_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             words = [sign.words[a:b].astype("<u4").tobytes() for a, b in zip(sign.edge, sign.edge[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(words, pa.binary())], ["_node", "words"])
 
-    few = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = few.mapInArrow(scan, "_node binary, words binary")
-    return found.withColumnRenamed("_node", "node").dropDuplicates(["node"])  # equal nodes have equal words
+    rows = docs.select("doc_id", "text")
+    few = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(rows.filter("doc_id is null and text is not null"))
+    found = few.mapInArrow(scan, "_node binary, words binary").withColumnRenamed("_node", "node")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])  # equal nodes have equal words
 
 
 def node_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, root) of every node with a verified link."""
-    nodes = signed.filter("_n > 0").groupBy("_node").agg(F.min("doc_id").alias("doc_id"), F.first("_n").alias("n"), F.first("_sketch").alias("sketch")).filter("doc_id is not null")
+    nodes = signed.filter("_n > 0").groupBy("_node").agg(F.min("doc_id").alias("doc_id"), F.first("_n").alias("n"), F.first("_sketch").alias("sketch"))
     nodes = store.materialise(nodes.withColumnRenamed("_node", "node"), "nodes")
     by = ["band", "key"]
     members = nodes.select("node", "n", F.col("node").alias("root"), F.posexplode("sketch").alias("band", "key"))

@@ -127,6 +127,14 @@ def test_star_of_independent_copies(spark, monkeypatch, block):
     assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)] == want
 
 
+def test_rows_without_an_id_are_compared(spark):
+    base = [f"w{i}" for i in range(150)]
+    one, two, far = base[:70] + ["x"] + base[71:], base[:90] + ["y"] + base[91:], [f"f{i}" for i in range(150)]
+    d = spark.createDataFrame([(None, " ".join(t)) for t in (base, one, two, far)], "doc_id long, text string")
+    assert sorted(r["class_size"] for r in nd.near_duplicates(d).collect()) == [1, 3, 3, 3]
+    assert nd.drop_near_duplicates(d).count() == 2
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(d).count() == 0
