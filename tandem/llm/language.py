@@ -8,8 +8,8 @@ first in code-point order; the score is that posterior.
 
 Words are runs of ASCII letters (lower-cased) and non-ASCII characters; a run of over LONGEST characters is
 cut into parts of that length. A character outside the vocabulary has one small probability in all languages.
-Learning uses at most ``ROWS`` documents in all, shared evenly by the languages (the MOST_LANGUAGES with most
-documents), drawn by hash from the rows with a language whose ids are not held out. Null texts and texts
+Learning uses about ``ROWS`` documents, shared evenly by all languages, or LEAST_ROWS of each where that is more
+(the model grows with the number of languages), drawn by hash from the rows with a language whose ids are not held out. Null texts and texts
 without a letter are ``und`` with score 0, as is every text when nothing could be learned. Repeated rows score
 alike; extra columns are ignored.
 """
@@ -26,15 +26,17 @@ from pyspark.sql import functions as F
 from . import samples, texts
 
 ROWS = 6000
-MOST_LANGUAGES = 200
+#: Documents of each language at least (expected), where it has so many.
+LEAST_ROWS = 20
 LONGEST = 64
 EM_ROUNDS = 3
 #: Added to every piece's expected count.
 SMOOTHING = 0.01
 #: Scale of a character, so that products over a word stay near 1.
 SCALE = np.exp(2.5)
-#: Words a worker remembers before it starts anew.
+#: Words a worker remembers before it starts anew; fewer where there are over 200 languages.
 CACHE_WORDS = 1_000_000
+CACHE_LANGUAGES = 200
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -211,7 +213,7 @@ class LanguageModel:
 
     def word_logs(self, keys: np.ndarray, spans: list[tuple[int, int]], data: bytes) -> np.ndarray:
         """Log probability (scaled) of each distinct word under each language; remembers words by hash."""
-        if len(self.keys) + len(keys) > CACHE_WORDS:
+        if (len(self.keys) + len(keys)) * max(1, len(self.languages) / CACHE_LANGUAGES) > CACHE_WORDS:
             self.keys, self.logs = self.keys[:0], self.logs[:0]
         slot = np.searchsorted(self.keys, keys)
         slot[slot == len(self.keys)] = 0
@@ -259,13 +261,14 @@ def _has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit_language(docs: DataFrame, model_path: str, rows: int = ROWS, mod: int = 3, rest: int = 1, seed: int = 31) -> LanguageModel:
     open_rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~samples.held_out(mod, rest))
-    counts = open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = open_rows.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([], [], np.zeros((1, 0)))
-    most = max(1, rows // len(counts))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["count"])))])
-    drawn = open_rows.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    found = [(r["text"], r["lang"]) for r in drawn.select("text", "lang").limit(2 * rows).collect()]
+    most = max(LEAST_ROWS, rows // len(counts))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, _share double")
+    drawn = open_rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang")  # a row for each language
+    drawn = drawn.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+    found = [(r["text"], r["lang"]) for r in drawn.select("text", "lang").limit(2 * max(rows, most * len(counts))).collect()]
     return LanguageModel.fit(found, vocabulary(model_path))
 
 

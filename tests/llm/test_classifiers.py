@@ -166,6 +166,13 @@ def test_language_of_texts(model):
     assert (score[3:6] == 0).all() and ((score >= 0) & (score <= 1)).all()
 
 
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k, f"word {k}", f"l{k // 6}") for k in range(6 * 203)], "doc_id long, text string, lang string")
+    open_langs = {r["lang"] for r in docs.filter(~samples.held_out(3, 1)).select("lang").distinct().collect()}
+    model = language.fit_language(docs, tokenizer_file("piece_bpe_32k.model"))
+    assert len(open_langs) > 200 and set(model.languages) == open_langs
+
+
 def test_language_query_on_odd_rows(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     docs = odd(spark, *[(100 + i, "the house and the garden") for i in range(30)])
