@@ -3,28 +3,34 @@
 A text is the sequence of its words (ASCII letters lower-cased, digits, non-ASCII characters); its k-mers are all
 runs of five words (one run of all words in a shorter text), labelled by their occurrence. A sketch samples,
 under one of ``bands`` hash orders, the smallest few labelled k-mers and keeps them in text order, so it agrees
-between texts that share most k-mers in the same order. Two texts are linked if the longest common subsequence
-of their k-mers is at least 0.8 of all k-mers of both, each common one counted once; the alignment runs in the
-band outside of which 0.8 cannot be reached. Classes are the connected components of the links.
+between texts that share most k-mers in the same order. Two texts are linked if their edit similarity is at least
+0.8: the least number of words inserted, deleted or replaced is at most a fifth of the longer text's words. The
+alignment of the word sequences runs in the band that such an edit can use. Classes are the connected components
+of the links.
 
 Texts with equal word sequences are one node. In a bucket (texts with one sketch) every node is first compared
 with one hub. Buckets whose nodes do not share their first linked node after that are dealt again by that sketch
 and the next order's sketch together, with new hubs, compared only where that node differs, and at last with every
-number of further orders at once, each with hubs of its own. These rounds only save work. Buckets that then still
+number of further orders at once. These rounds only save work. Buckets that then still
 have nodes of several components are finished exactly: all their pairs across components are compared, in pairs of
 bounded blocks, each pair in the first bucket that it shares. So any two texts that agree in a sketch are aligned,
-fail an exact bound (lengths, common k-mers), or are in one class already; only nodes of a bucket that belong to
-different components cost the square of their number. Two texts at 0.8 agree in one sketch with probability of
-about 0.5 (0.8 for each of the sampled k-mers), so 16 orders miss them all in 1 of 100,000 cases.
+fail an exact bound (lengths, common words), or are in one class already; only nodes of a bucket that belong to
+different components cost the square of their number. Two texts with a share J of common k-mers in all k-mers of
+both agree in one sketch with probability of about J squared, so 16 orders miss them all in 1 of 5,000 cases at
+J = 0.64 (one word in 25 replaced) and in 1 of 40 at J = 0.45 (one in 12).
 
 A null text is its own class; texts without words are classes by their exact text, so equal empty texts are
 copies. Repeated rows are copies of each other. A class is named by its smallest doc_id (null where all
-are null). Extra columns are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
+are null). Rows without a doc_id are compared like all others. A very long text is handled alone: its words' hashes
+and an alignment that widens its band from narrow to wide; two texts of n words need about n / 40 bytes for each of the
+few integers of the widest band, and of each of the words that stand in it over 1,000 times. Extra columns, of any
+name and type, are ignored by ``near_duplicates`` and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +39,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import store, texts
+from . import skew, store, texts
 from .components import components
 
 K = 5
 BANDS = 16
-MINIMA = 3
+MINIMA = 2
+#: The least edit similarity is 1 - 1 / EDIT_SHARE.
+EDIT_SHARE = 5
 #: Orders that are joined to a bucket's own in the later rounds; the last round takes all that are left at once.
 ROUNDS = ([1], list(range(2, BANDS)))
-#: Nodes and words of a block in the exact last step, about; and the k-mers counted in one matrix product.
+#: Nodes and words of a block in the exact last step, about; and the words counted in one matrix product.
 BLOCK = 256
 BLOCK_WORDS = 1 << 18
-BLOCK_MERS = 1 << 12
+BLOCK_CODES = 1 << 12
 #: Expected number of k-mers below the bound that preselects the minima.
 PRESELECT = 24
 _rng = np.random.default_rng(515)
@@ -153,55 +161,138 @@ class Signer:
         return out
 
 
-def aligned_share(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the k-mer sequences of two texts' words align to 0.8: 9 * common >= 4 * (both lengths).
-
-    Equal ends are cut off, a bound by the common k-mers of the rest rejects most others, then the longest
-    common subsequence is found row by row as bit vectors, restricted to the band that can still reach 0.8."""
-    x, y = kmers(a), kmers(b)
-    need = -(-4 * (len(x) + len(y)) // 9)
-    m = min(len(x), len(y))
-    if m < need:
+def most_edits(n: int, m: int) -> int:
+    """The edits that two texts of n and m words may be apart."""
+    return max(n, m) // EDIT_SHARE
+
+
+class _Windows:
+    """The places of each word of ``y`` inside a window that moves forward, as the bits of an integer."""
+
+    #: Words that stand more often keep the window's bits from row to row; rarer ones are set anew.
+    OFTEN = 1024
+    #: Texts of up to so many words have all places of a word as one integer.
+    SHORT = 4096
+
+    def __init__(self, y: np.ndarray, reach: int):
+        self.width = 2 * reach + 1
+        self.whole = None
+        if len(y) <= self.SHORT:
+            self.whole, self.every = {}, (1 << self.width) - 1
+            for j, word in enumerate(y.tolist()):
+                self.whole[word] = self.whole.get(word, 0) | 1 << j
+            return
+        order = np.argsort(y, kind="stable")
+        words = y[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(y) else np.zeros(0, np.int64)
+        self.places = dict(zip(words[first].tolist(), np.split(order, first[1:]))) if len(y) else {}
+        self.bits: dict[int, tuple[int, int, int]] = {}  # word: window start, places used, bits
+
+    def at(self, word: int, start: int) -> int:
+        """Bit b is set where ``word`` stands at place start + b of y, inside the window."""
+        if self.whole is not None:
+            bits = self.whole.get(word)
+            return bits >> start & self.every if bits else 0
+        places = self.places.get(word)
+        if places is None:
+            return 0
+        if len(places) > self.OFTEN:
+            was, used, bits = self.bits.get(word, (start, int(np.searchsorted(places, start)), 0))
+            bits >>= start - was
+            upto = int(np.searchsorted(places, start + self.width))
+            if upto > used:
+                bits |= self._set(places[max(used, int(np.searchsorted(places, start))) : upto] - start)
+            self.bits[word] = start, upto, bits
+            return bits
+        lo, hi = (0, len(places)) if len(places) < 4 else np.searchsorted(places, [start, start + self.width])
+        return self._set([p for p in (places[lo:hi] - start).tolist() if 0 <= p < self.width])
+
+    @staticmethod
+    def _set(bits) -> int:
+        if len(bits) < 32:
+            out = 0
+            for b in bits:
+                out |= 1 << int(b)
+            return out
+        flags = np.zeros(int(bits[-1]) + 1, np.uint8)
+        flags[bits] = 1
+        return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+def banded_distance(x: np.ndarray, y: np.ndarray, reach: int) -> int:
+    """Edit distance of two word sequences if it is at most ``reach``, else a number above ``reach``.
+
+    One row for each word of x. Bit b of the integers is the cell at place i + b - reach of y, so the band
+    stands still while the rows move; ``up`` and ``down`` are the cells that are one more, or one less, than
+    the cell before them in the column. The end's diagonal never falls, so it ends the search early.
+    """
+    n, m = len(x), len(y)
+    if abs(n - m) > reach:
+        return reach + 1
+    windows = _Windows(y, reach)
+    every = (1 << (2 * reach + 1)) - 1
+    top = 1 << (2 * reach)
+    goal = m - n + reach
+    up, down = every ^ ((1 << (reach + 1)) - 1) | 1 << reach, 0
+    up &= every
+    away = max(m - n, 0)
+    for i, word in enumerate(x.tolist()):
+        start = i - reach  # of the window, in places of y from 0
+        same = windows.at(word, max(start, 0))
+        if start < 0:
+            same = same << -start & every
+        flat = (((same & up) + up) ^ up) | same | down
+        flat &= every
+        more, less = down | every & ~(flat | up), flat & up
+        if not flat >> goal & 1:
+            away += 1
+            if away > reach:
+                return away
+        shifted = flat >> 1
+        up = less | every & ~(shifted | more) | top
+        down = shifted & more & ~top
+    return away
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two texts' word hashes have edit similarity of 0.8 or more.
+
+    Equal ends are cut off, the words in common bound the distance from below, and the band grows from narrow to
+    the widest that counts."""
+    most = most_edits(len(x), len(y))
+    if abs(len(x) - len(y)) > most:
         return False
+    m = min(len(x), len(y))
     differ = np.flatnonzero(x[:m] != y[:m])
     head = int(differ[0]) if len(differ) else m
-    x, y = x[head:], y[head:]
-    m -= head
+    x, y, m = x[head:], y[head:], m - head
     differ = np.flatnonzero(x[::-1][:m] != y[::-1][:m])
     tail = int(differ[0]) if len(differ) else m
     x, y = x[: len(x) - tail], y[: len(y) - tail]
-    rest = need - head - tail
-    if rest <= 0:
+    longer = max(len(x), len(y))
+    if longer <= most:
         return True
-    if min(len(x), len(y)) < rest:
-        return False
     ux, cx = np.unique(x, return_counts=True)
     uy, cy = np.unique(y, return_counts=True)
     _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    if int(np.minimum(cx[ix], cy[iy]).sum()) < rest:
+    if longer - int(np.minimum(cx[ix], cy[iy]).sum()) > most:
         return False
-    slack = len(x) + len(y) - 2 * rest  # k-mers left out in all
-    masks: dict[int, int] = {}
-    for j, v in enumerate(y.tolist()):
-        masks[v] = masks.get(v, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    band, free = (1 << (2 * slack + 1)) - 1, full
-    for i, v in enumerate(x.tolist()):
-        m = masks.get(v)
-        if m:
-            m &= band << (i - slack) if i >= slack else band >> (slack - i)
-            if m:
-                u = free & m
-                free = ((free + u) | (free - u)) & full
-    return len(y) - free.bit_count() >= rest
-
-
-def common_mers(mers: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(left, right) numbers of common k-mers, each counted as often as both texts have it."""
+    reach = max(32, abs(len(x) - len(y)))
+    while True:
+        reach = min(reach, most)
+        if banded_distance(x, y, reach) <= reach:
+            return True
+        if reach == most:
+            return False
+        reach *= 4
+
+
+def common_words(words: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) numbers of common words, each counted as often as both texts have it."""
     import pandas as pd
 
-    owner = np.repeat(np.arange(len(mers)), [len(m) for m in mers])
-    rows = pd.DataFrame({"o": owner, "m": np.concatenate(mers)})
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    rows = pd.DataFrame({"o": owner, "m": np.concatenate(words)})
     nth = rows.groupby(["o", "m"], sort=False).cumcount().to_numpy()
     code = rows.assign(nth=nth).groupby(["m", "nth"], sort=False).ngroup().to_numpy()
     shared = np.bincount(code) > 1
@@ -209,16 +300,16 @@ def common_mers(mers: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     total = np.zeros((len(left), len(right)), np.int64)
-    for lo in range(0, int(shared.sum()), BLOCK_MERS):
-        a, b = np.searchsorted(code, [lo, lo + BLOCK_MERS])
-        has = np.zeros((len(mers), BLOCK_MERS), np.float32)
+    for lo in range(0, int(shared.sum()), BLOCK_CODES):
+        a, b = np.searchsorted(code, [lo, lo + BLOCK_CODES])
+        has = np.zeros((len(words), BLOCK_CODES), np.float32)
         has[owner[a:b], code[a:b] - lo] = 1
         total += (has[left] @ has[right].T).astype(np.int64)
     return total
 
 
 def block_links(words: list[np.ndarray], roots: list[bytes], sketches: np.ndarray, band: int, n_left: int) -> list[tuple[bytes, bytes]]:
-    """Links of roots that join all texts at 0.8 across the first ``n_left`` texts and the others (among
+    """Links of roots that join all alike texts across the first ``n_left`` texts and the others (among
     themselves where there are no others), of the pairs whose first common sketch is that of ``band``."""
     alone = n_left == len(words)
     left = np.arange(n_left)
@@ -231,15 +322,14 @@ def block_links(words: list[np.ndarray], roots: list[bytes], sketches: np.ndarra
         open_ &= sketches[left, b][:, None] != sketches[right, b][None, :]
     if not open_.any():
         return []
-    mers = [kmers(w) for w in words]
-    n = np.array([len(m) for m in mers])
-    both = n[left][:, None] + n[right][None, :]
-    open_ &= 9 * np.minimum(n[left][:, None], n[right][None, :]) >= 4 * both
+    n = np.array([len(w) for w in words])
+    longer = np.maximum(n[left][:, None], n[right][None, :])
+    open_ &= np.abs(n[left][:, None] - n[right][None, :]) <= longer // EDIT_SHARE
     if not open_.any():
         return []
-    common = common_mers(mers, left, right)
-    i, j = np.nonzero(open_ & (9 * common >= 4 * both))
-    best = np.argsort(-common[i, j] / both[i, j], kind="stable")
+    common = common_words(words, left, right)
+    i, j = np.nonzero(open_ & (longer - common <= longer // EDIT_SHARE))
+    best = np.argsort(-common[i, j] / longer[i, j], kind="stable")
     parent, out = list(range(int(root.max()) + 1)), []
 
     def find(x: int) -> int:
@@ -250,7 +340,7 @@ def block_links(words: list[np.ndarray], roots: list[bytes], sketches: np.ndarra
 
     for a, b in zip(left[i[best]].tolist(), right[j[best]].tolist()):
         x, y = find(root[a]), find(root[b])
-        if x != y and aligned_share(words[a], words[b]):
+        if x != y and alike(words[a], words[b]):
             parent[x] = y
             out.append((roots[a], roots[b]))
     return out
@@ -259,51 +349,74 @@ def block_links(words: list[np.ndarray], roots: list[bytes], sketches: np.ndarra
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
-def _with_nodes(docs: DataFrame, sketch: bool) -> DataFrame:
-    """docs with ``_node``; with ``sketch`` only (doc_id, _node, _n, _sketch)."""
+def _with_nodes(docs: DataFrame, sketch: bool, name: str = "_node") -> DataFrame:
+    """docs with the node as column ``name``, less rows that repeat an id and words inside a slice (of these the row
+    with the first text stays); with ``sketch`` all rows as (doc_id, _node, _n, _sketch)."""
     texts.small_batches(docs.sparkSession)
-    node_type = pa.binary()
     if sketch:
         schema = "doc_id long, _node binary, _n long, _sketch array<long>"
         docs = docs.select("doc_id", "text")
     else:
-        schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType(), True)])
-    names = [*docs.columns, "_node"]
+        schema = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType(), True)])
+    names = [*docs.columns, name]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in texts.text_slices(batches, step=texts.STEP_BYTES // 2):
+        for table in texts.text_slices(batches):
             sign = Signer(table["text"])
-            nodes = pa.array(sign.nodes(np.asarray(table["text"].is_valid())), node_type)
+            keys = sign.nodes(np.asarray(table["text"].is_valid()))
+            nodes = pa.array(keys, pa.binary())
             if sketch:
                 flat = sign.sketches().view(np.int64).reshape(-1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), nodes, pa.array(sign.n_words, pa.int64()), lists], ["doc_id", "_node", "_n", "_sketch"])
             else:
                 columns = [c.combine_chunks() for c in table.columns]
-                yield pa.RecordBatch.from_arrays([*columns, nodes], names)
+                batch = pa.RecordBatch.from_arrays([*columns, nodes], names)
+                yield batch.take(pa.array(_first_of_each(table["doc_id"].to_pylist(), keys, table["text"])))
 
     return docs.mapInArrow(scan, schema)
 
 
+def _first_of_each(ids: list, keys: list, column: pa.ChunkedArray) -> list[int]:
+    """Places of the rows to keep: of those with one id and node the first by text."""
+    best: dict = {}
+    for k, key in enumerate(zip(ids, keys)):
+        if key not in best:
+            best[key] = k
+        elif key[1] is not None and column[k].as_py() < column[best[key]].as_py():
+            best[key] = k
+    return sorted(k for key, k in best.items() if key[1] is not None)
+
+
 def _stars(members: DataFrame, by: list[str], turn: int) -> DataFrame:
     """(by..., node, n, root, hub, hub_n, hub_root): each member of a bucket of two or more with the bucket's
-    hub, the first node in the order of this turn."""
+    hub, the first node in the order of this turn. ``members`` is a written table."""
     order = (F.xxhash64(F.lit(turn), "node") if turn else F.lit(0).cast("long")).alias("k")
     hubs = members.groupBy(*by).agg(F.min(F.struct(order, "node", "n", "root")).alias("h"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return members.join(hubs.select(*by, F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root")), by)
+    hubs = store.materialise(hubs.select(*by, F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.root").alias("hub_root"), "size"), "hubs")
+    return skew.join_counted(members, hubs, by, "size", members.count()).drop("size")
+
+
+#: Pairs of one hub that meet its words in one task.
+HUB_PAIRS = 1000
 
 
 def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(node, hub, ok) of distinct pairs."""
+    """(node, hub, ok) of distinct pairs. A hub's words are sent to several tasks if it has very many pairs."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            ok = [aligned_share(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(a, b)]
+            ok = [alike(np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["node", "hub", "ok"])
 
-    left = pairs.join(words.withColumnRenamed("words", "wa"), "node")
-    both = left.join(words.withColumnsRenamed({"node": "hub", "words": "wb"}), "hub").select("node", "hub", "wa", "wb")
+    hubs = store.materialise(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "hubs")
+    parts = F.ceil(F.col("size") / HUB_PAIRS)
+    dealt = skew.join_counted(pairs, hubs, ["hub"], "size", pairs.count()).select("node", "hub", F.pmod(F.xxhash64("node"), parts).alias("part"))
+    wide = words.withColumnsRenamed({"node": "hub", "words": "wb"}).join(hubs, "hub")
+    wide = wide.select("hub", "wb", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    left = dealt.join(words.withColumnRenamed("words", "wa"), "node")
+    both = left.join(wide, ["hub", "part"]).select("node", "hub", "wa", "wb")
     return both.mapInArrow(check, "node binary, hub binary, ok boolean")
 
 
@@ -329,13 +442,13 @@ def node_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
     nodes = signed.filter("_n > 0").groupBy("_node").agg(F.min("doc_id").alias("doc_id"), F.first("_n").alias("n"), F.first("_sketch").alias("sketch"))
     nodes = store.materialise(nodes.withColumnRenamed("_node", "node"), "nodes")
     by = ["band", "key"]
-    members = nodes.select("node", "n", F.col("node").alias("root"), F.posexplode("sketch").alias("band", "key"))
+    members = store.materialise(nodes.select("node", "n", F.col("node").alias("root"), F.posexplode("sketch").alias("band", "key")), "members")
     first = stars = store.materialise(_stars(members, by, 0), "stars")
-    near = F.least(_n_mers("n"), _n_mers("hub_n")) * 9 >= (_n_mers("n") + _n_mers("hub_n")) * 4
+    near = F.abs(F.col("n") - F.col("hub_n")) <= F.floor(F.greatest("n", "hub_n") / EDIT_SHARE)
     across = F.col("root") != F.col("hub_root")
 
     def pairs_of(stars: DataFrame) -> DataFrame:
-        return stars.filter(across & near).select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("hub")).distinct()
+        return stars.filter(across & near).select("node", "hub").distinct()
 
     pairs = store.materialise(pairs_of(stars), "pairs")
     # later turns pair nodes of the buckets that stay open: fetch the words of all that share a bucket
@@ -353,9 +466,10 @@ def node_roots(docs: DataFrame, signed: DataFrame) -> DataFrame:
         own = F.transform(F.sequence(F.lit(levels[0]), F.lit(levels[-1])), lambda t: F.element_at("sketch", (F.pmod(F.col("band") + t, F.lit(BANDS)) + 1).cast("int")))
         steps = F.transform(F.sequence(F.lit(1), F.lit(len(levels))), lambda k: F.xxhash64("key", F.slice(own, 1, k)))
         again = again.select("node", "n", "root", F.col("band"), F.posexplode(steps).alias("step", "key"))
-        stars = store.materialise(_stars(again.withColumn("band", F.col("band") + BANDS * F.col("step")), by, levels[0]), "stars")
-        if not stars.limit(1).count():
+        again = store.materialise(again.withColumn("band", F.col("band") + BANDS * F.col("step")), "again")
+        if not again.limit(1).count():
             break
+        stars = store.materialise(_stars(again, by, levels[0]), "stars")
         new = pairs_of(stars).join(checked.select("node", "hub"), ["node", "hub"], "left_anti")
         checked = checked.unionByName(store.materialise(_verify(new, words), "checked"))
         stars = stars.withColumn("band", F.pmod("band", F.lit(BANDS)))
@@ -410,35 +524,47 @@ def _linked(checked: DataFrame) -> DataFrame:
     return checked.filter("ok").select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def _n_mers(n: str):
-    return F.greatest(F.col(n) - (K - 1), F.lit(1))
-
-
-def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, _node, root) of every document; root is null for null texts."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (doc_id, _node) of every document, and (_node, copies, root) of every node. Null texts have no node."""
     signed = store.materialise(_with_nodes(docs, True), "signed")
     roots = store.materialise(node_roots(docs, signed), "roots").withColumnRenamed("node", "_node")
-    return signed.select("doc_id", "_node").join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    copies = signed.filter("_node is not null").groupBy("_node").agg(F.count(F.lit(1)).alias("copies"))
+    rooted = copies.join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    return signed.select("doc_id", "_node"), store.materialise(rooted, "rooted")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), class_size."""
-    rows = store.materialise(_classes(docs), "classes")
-    sizes = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    lone = F.col("root").isNull()
-    found = rows.join(sizes, "root", "left")
-    return found.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"))
+    rows, nodes = _classes(docs)
+    total = rows.count()
+    least = rows.filter("_node is not null").groupBy("_node").agg(F.min("doc_id").alias("least"))
+    named = store.materialise(nodes.join(least, "_node"), "named")
+    sizes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("nodes"))
+    of_node = skew.join_counted(named.select("_node", "copies", "root"), store.materialise(sizes, "sizes"), ["root"], "nodes", named.count())
+    of_node = store.materialise(of_node.select("_node", "copies", "class_id", "class_size"), "classes")
+    found = skew.join_counted(rows.filter("_node is not null"), of_node, ["_node"], "copies", total).select("doc_id", "class_id", "class_size")
+    alone = rows.filter("_node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return found.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns: that of the smallest doc_id (null last); null texts stay."""
+    """One document of each class, with all its columns: that of the smallest doc_id (null last); null texts stay.
+
+    Of rows that agree in id and words the one with the first text stays, by the other columns' hash where texts agree
+    too (maps aside)."""
     from pyspark.sql import Window
 
-    rows = _classes(docs).filter("root is not null")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_node")).alias("k"))
-    kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k._node").alias("_node"))
-    kept = store.materialise(kept, "kept")
-    noded = _with_nodes(docs, False)
-    one = noded.filter("_node is not null").join(kept.withColumnRenamed("_node", "_kept"), (F.col("_node") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = one.withColumn("_nth", F.row_number().over(Window.partitionBy("_node", "doc_id").orderBy(F.xxhash64(*docs.columns)))).filter("_nth = 1")
-    return once.select(*docs.columns).unionByName(docs.filter("text is null"))
+    rows, nodes = _classes(docs)
+    ids = rows.filter("_node is not null").groupBy("_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k"))
+    first = ids.join(nodes, "_node").groupBy("root").agg(F.min(F.struct("k", "_node")).alias("f"))
+    kept = store.materialise(first.select(F.col("f._node").alias("node"), F.col("f.k.doc_id").alias("doc_id")), "kept")
+    place = f"row_{secrets.token_hex(8)}"  # names no column of the caller's
+    noded = _with_nodes(docs, False, place)
+    key = kept.withColumnsRenamed({"node": f"{place}_node", "doc_id": f"{place}_id"})
+    same = (F.col(f"{place}_node") == F.col(place)) & F.col(f"{place}_id").eqNullSafe(noded["doc_id"])
+    mine = noded.filter(F.col(place).isNotNull()).join(key, same, "left_semi")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy(place, "doc_id").orderBy("text", F.xxhash64(*plain)))
+    once = mine.withColumn(f"{place}_nth", nth).filter(F.col(f"{place}_nth") == 1)
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return once.select(*every).unionByName(docs.filter("text is null"))

@@ -10,8 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 
-#: Bytes of text handled at once in a Python worker; a longer document is handled alone, whole.
-STEP_BYTES = 4 << 20
+#: Bytes of text handled at once in a Python worker; a longer document is handled alone, whole, in about 20 times its
+#: size (its bytes, masks of them, and some 8-byte numbers for each word).
+STEP_BYTES = 1 << 20
 #: Rows of an Arrow batch, so that batches of long documents stay small.
 BATCH_ROWS = 1024
 
@@ -114,7 +115,8 @@ _WORDS = np.zeros(256, np.uint64)
 _rng = np.random.default_rng(20240229)
 _WORDS[:] = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_SPAN = 1 << 20
+#: Bytes whose powers are tabulated; longer inputs are summed span by span.
+_SPAN = 1 << 16
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray, int, int]] = {}
 
 
@@ -129,24 +131,44 @@ def _powers(which: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     return _POWERS[which]
 
 
+def _prefix_sums(raw: np.ndarray, places: list[np.ndarray], which: int) -> list[np.ndarray]:
+    """The polynomial's sum over raw[:place] for each place of each array; only one span's sums are held at a time."""
+    orders = [np.argsort(p, kind="stable") if (p[1:] < p[:-1]).any() else None for p in places]
+    sorted_ = [p if o is None else p[o] for p, o in zip(places, orders)]
+    steps = np.arange(0, len(raw) + _SPAN + 1, _SPAN)
+    cuts = [np.searchsorted(p, steps) for p in sorted_]
+    found = [np.empty(len(p), np.uint64) for p in sorted_]
+    up, _, leap, _ = _powers(which)
+    far, sums = 1, np.zeros(_SPAN + 1, np.uint64)
+    for k, lo in enumerate(range(0, len(raw) + 1, _SPAN)):
+        part = _WORDS[raw[lo : lo + _SPAN]]
+        part *= up[: len(part)]
+        part *= np.uint64(far)
+        part[:1] += sums[0]
+        np.cumsum(part, out=sums[1 : len(part) + 1])
+        for p, c, f in zip(sorted_, cuts, found):
+            f[c[k] : c[k + 1]] = sums[p[c[k] : c[k + 1]] - lo]
+        sums[0] = sums[len(part)]
+        far = far * leap & (2**64 - 1)
+    for k, o in enumerate(orders):
+        if o is not None:
+            back = np.empty_like(found[k])
+            back[o] = found[k]
+            found[k] = back
+    return found
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit polynomial hash of each byte span raw[start:end]; equal spans hash alike wherever they stand."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down, leap, back = _powers(which)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    far, inverse = 1, []
-    for lo in range(0, len(raw) + 1, _SPAN):
-        part = _WORDS[raw[lo : lo + _SPAN]] * up[: max(0, min(_SPAN, len(raw) - lo))]
-        part *= np.uint64(far)
-        np.cumsum(part, out=part)
-        sums[lo + 1 : lo + 1 + len(part)] = part + sums[lo]
-        inverse.append(pow(back, lo // _SPAN, 1 << 64))
-        far = far * leap & (2**64 - 1)
-    out = (sums[ends] - sums[starts]) * down[starts % _SPAN]
-    if len(inverse) > 1:
-        out *= np.array(inverse, np.uint64)[starts // _SPAN]
+    _, down, _, back = _powers(which)
+    out, first = _prefix_sums(raw, [ends, starts], which)
+    out -= first
+    out *= down[starts % _SPAN]
+    if len(raw) > _SPAN:
+        leaps = np.array([pow(back, k, 1 << 64) for k in range(len(raw) // _SPAN + 1)], np.uint64)
+        out *= leaps[starts // _SPAN]
     out += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)

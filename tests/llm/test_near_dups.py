@@ -7,33 +7,58 @@ from tandem.llm import near_dups as nd
 from tandem.llm.components import components
 
 
-def lcs_share(a, b):
-    x, y = nd.kmers(a).tolist(), nd.kmers(b).tolist()
-    row = [0] * (len(y) + 1)
-    for u in x:
-        last = 0
-        for j, v in enumerate(y):
-            last, row[j + 1] = row[j + 1], (last + 1 if u == v else max(row[j + 1], row[j]))
-    return 9 * row[-1] >= 4 * (len(x) + len(y))
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, u in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, v in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
+    return row[-1]
 
 
-def test_alignment_equals_dynamic_programming():
+def changed(rng, a, n, fresh=99):
+    b = list(a)
+    for _ in range(n):
+        i, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+        if kind == 0:
+            b.insert(i, fresh)
+        elif i < len(b) and kind == 1:
+            b[i] = fresh
+        elif i < len(b) and len(b) > 1:
+            del b[i]
+    return b
+
+
+@pytest.mark.parametrize("often, short", [(1024, 4096), (1024, 0), (0, 0)])
+def test_alignment_equals_dynamic_programming(monkeypatch, often, short):
+    monkeypatch.setattr(nd._Windows, "OFTEN", often)
+    monkeypatch.setattr(nd._Windows, "SHORT", short)
     rng, seen = random.Random(1), set()
-    for _ in range(400):
-        a = [rng.randrange(40) for _ in range(rng.randint(1, 60))]
-        b = list(a)
-        for _ in range(rng.randint(0, 4)):
-            i = rng.randrange(len(b))
-            if rng.random() < 0.5:
-                b[i] = 99
-            elif len(b) > 1:
-                del b[i]
-        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
-        assert nd.aligned_share(x, y) == lcs_share(x, y)
-        seen.add(nd.aligned_share(x, y))
+    for _ in range(300):
+        a = [rng.randrange(12) for _ in range(rng.randint(1, 40))]
+        b = changed(rng, a, rng.randint(0, 10))
+        x, y, d = np.array(a, np.uint32), np.array(b, np.uint32), distance(a, b)
+        for reach in (0, 1, 3, 8, 60):
+            got = nd.banded_distance(x, y, reach)
+            assert got == d if d <= reach else got > reach
+        assert nd.alike(x, y) == (5 * d <= max(len(a), len(b)))
+        seen.add(nd.alike(x, y))
     assert seen == {True, False}
 
 
+def test_alignment_of_very_long_texts_in_small_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = (rng.zipf(1.3, 100_000) % 50_000).astype(np.uint32)
+    y = x.copy()
+    y[rng.integers(0, len(y), 20)] = 60_000
+    tracemalloc.start()
+    assert nd.alike(x, y)
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
 def edited(rng, words, n):
     out = list(words)
     for _ in range(n):
@@ -84,24 +109,49 @@ def test_one_of_each_class_stays(spark, corpus):
 
 
 def starred(seed, n_words, copies):
-    """An original and copies at 0.81 of it, each with four changed words of its own, which are no copies of each other."""
+    """An original and copies at 0.82 of it, each with a run of words of its own, most of which are no copies of each other."""
     rng = random.Random(seed)
     base = [f"s{seed}w{i}" for i in range(n_words)]
     rows = [base]
     for _ in range(copies):
-        out = list(base)
-        for at in (rng.randrange(10, 40), rng.randrange(60, 90), rng.randrange(110, 140), rng.randrange(160, 190)):
-            out[at] = f"new{rng.randrange(10**9)}"
-        rows.append(out)
+        at, own = rng.randrange(1, n_words * 4 // 5), n_words * 9 // 50
+        rows.append(base[:at] + [f"new{rng.randrange(10**9)}" for _ in range(own)] + base[at + own :])
     return [" ".join(w) for w in rows]
 
 
-def brute_classes(docs):
+def words_of(docs):
     import pyarrow as pa
 
-    sign = nd.Signer(pa.chunked_array([docs]))
-    words = [sign.words[a:b] for a, b in zip(sign.edge, sign.edge[1:])]
-    sets = [set(nd.kmers(w).tolist()) for w in words]  # no text of these repeats a k-mer
+    sign = nd.Signer(pa.chunked_array([pa.array(docs, pa.string())]))
+    return [sign.words[a:b] for a, b in zip(sign.edge, sign.edge[1:])]
+
+
+def brute_links(words):
+    """All alike pairs by the plain table; pairs too far apart in length or words are left out."""
+    codes = np.unique(np.concatenate(words), return_inverse=True)[1]
+    own = [np.unique(c, return_counts=True) for c in np.split(codes, np.cumsum([len(w) for w in words])[:-1])]
+    bag = np.zeros(codes.max() + 1, np.int64)
+    for i, (mine, times) in enumerate(own):
+        bag[mine] = times
+        for j in range(i + 1, len(words)):
+            short, longer = sorted((len(words[i]), len(words[j])))
+            if short and 5 * (longer - short) <= longer and 5 * (longer - np.minimum(bag[own[j][0]], own[j][1]).sum()) <= longer:
+                if np.array_equal(words[i], words[j]) or 5 * quick_distance(words[i], words[j]) <= longer:
+                    yield i, j
+        bag[mine] = 0
+
+
+def quick_distance(x, y):
+    """The plain table, a row at a time: the running minimum takes the step along the row."""
+    at = np.arange(len(y) + 1)
+    row = at.copy()
+    for i, u in enumerate(x.tolist(), 1):
+        step = np.minimum(row[1:] + 1, row[:-1] + (y != u))
+        row = np.minimum.accumulate(np.concatenate([[i], step]) - at) + at
+    return int(row[-1])
+
+
+def brute_classes(docs):
     first = list(range(len(docs)))
 
     def find(x):
@@ -109,18 +159,43 @@ def brute_classes(docs):
             x = first[x]
         return x
 
-    for i in range(len(docs)):
-        for j in range(i + 1, len(docs)):
-            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and nd.aligned_share(words[i], words[j]):
-                a, b = sorted((find(i), find(j)))
-                first[b] = a
+    for i, j in brute_links(words_of(docs)):
+        a, b = sorted((find(i), find(j)))
+        first[b] = a
     return [find(i) for i in range(len(docs))]
 
 
+SF001 = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not __import__("os").path.exists(SF001), reason="no test data")
+def test_recall_against_all_pairs(spark):
+    """Of all alike pairs of different texts in the table, the share whose ends are in one class; and no class joins others."""
+    docs = spark.read.parquet(SF001)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    cls = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()}
+    words, links, parent = words_of([t for _, t in rows]), [], {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in brute_links(words):
+        links.append((rows[i][0], rows[j][0]))
+        parent[find(rows[i][0])] = find(rows[j][0])
+    found = sum(cls[a] == cls[b] for a, b in links)
+    print("alike pairs", len(links), "in one class", found)
+    assert len(links) > 100 and found >= 0.98 * len(links)
+    texts = {i: t for i, t in rows}
+    assert all(find(i) == find(c) or texts[i] == texts[c] for i, c in cls.items())
+
+
 @pytest.mark.parametrize("block", [nd.BLOCK, 32])
 def test_star_of_independent_copies(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
-    big = starred(1, 200, 2000 if block == nd.BLOCK else 150)
+    big = starred(1, 200, 600 if block == nd.BLOCK else 60)
     docs = big + starred(2, 200, 40) + starred(3, 200, 3)
     want = brute_classes(docs) if block == 32 else [0] * len(big) + [len(big)] * 41 + [len(big) + 41] * 4
     got = nd.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()
@@ -135,6 +210,14 @@ def test_rows_without_an_id_are_compared(spark):
     assert nd.drop_near_duplicates(d).count() == 2
 
 
+def test_clashing_columns_and_maps(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a", 2, {"k": 1}), (1, text + "!", "b", 3, {"k": 2}), (2, text, "c", 4, None), (3, None, "d", 5, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _node string, _id int, _kept map<string,int>")
+    assert [tuple(r) for r in nd.drop_near_duplicates(d).orderBy("doc_id").collect()] == [(1, text, "a", 2, {"k": 1}), (3, None, "d", 5, None)]
+    assert {(r["doc_id"], r["class_id"], r["class_size"]) for r in nd.near_duplicates(d.withColumn("root", d["doc_id"])).collect()} == {(1, 1, 3), (2, 1, 3), (3, 3, 1)}
+
+
 def test_empty_table(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(d).count() == 0
