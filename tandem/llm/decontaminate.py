@@ -7,8 +7,10 @@ longest verbatim match and all of its places. Where the match reaches the window
 occurrence of that window in the shard.
 
 Words that occur in no test item get one id that matches nothing, so suffixes begin at shared words only; no
-match is lost by it. Test items are handled in blocks of at most ``block_bytes`` of text, each broadcast on its
-own, so neither the driver nor a task holds more of the benchmark than that beside its shard.
+match is lost by it. Test items are written to the shared folder in blocks of about ``block_bytes`` of text (by the
+executors; an item is not split), and a task reads one block after the other for each of its shards, so no process
+holds more of the benchmark than one block. A benchmark of one block is read once for a task. A document longer
+than a shard is a shard of its own, of about 60 bytes for each of its bytes.
 
 A word is a run of ASCII letters (lower-cased), digits and non-ASCII characters. A window is ``window``
 consecutive words of an item; an item of fewer words, but not none, is one window. A document is contaminated
@@ -24,46 +26,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import texts
+from . import store, texts
 
 WINDOW = 13
 #: One hit word in this many contaminates.
 SHARE = 20
 BLOCK_BYTES = 16 << 20
+#: Tasks that write the blocks, at most: a small benchmark is few blocks.
+BLOCK_WRITERS = 4
 #: Text bytes of one suffix array.
-SHARD_BYTES = 6 << 20
-
-
-def _word_lists(column: list[str | None]) -> list[list[bytes]]:
-    return [texts.words_of((t or "").encode()) for t in column]
+SHARD_BYTES = 4 << 20
+
+
+def test_blocks(benchmark: DataFrame, block_bytes: int) -> list[str]:
+    """Files of test items with words, in blocks."""
+    folder = store.shared_dir(benchmark.sparkSession, "benchmark")
+    store.make_dir(folder)
+    schema = pa.schema([("item_id", pa.string()), ("text", pa.large_string())])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        for table in texts.text_slices(batches, step=block_bytes, gather=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema) as out:
+                out.write_table(table.cast(schema))
+            name = f"{folder}/block-{part:06d}-{k:06d}.arrow"
+            file, k = store.AtomicFile(name), k + 1
+            file.write(sink.getvalue().to_pybytes())
+            file.commit()
+            yield pa.RecordBatch.from_pydict({"file": [name]})
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
+    return sorted(r["file"] for r in items.coalesce(BLOCK_WRITERS).mapInArrow(write, "file string").collect())
+
+
+def load_block(name: str) -> tuple[list, dict, np.ndarray, np.ndarray]:
+    """A block's item ids, word numbers, item words as one array, and item starts."""
+    table = pa.ipc.open_stream(store.read_all(name)).read_all()
+    numbers: dict[bytes, int] = {}
+    items, flat, lengths = [], [], []
+    for item, text in zip(table["item_id"].to_pylist(), table["text"]):
+        words = [numbers.setdefault(w, len(numbers) + 1) for w in texts.words_of(text.as_py().encode())]
+        if words:
+            items.append(item)
+            flat.append(np.array(words, np.int32))
+            lengths.append(len(words))
+    return items, numbers, np.concatenate(flat) if flat else np.zeros(0, np.int32), np.cumsum([0, *lengths]).astype(np.int64)
 
 
-def test_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast blocks of test items: (item ids, word numbers, item words as one array, item starts)."""
-    sc = benchmark.sparkSession.sparkContext
-    blocks, items, size = [], [], 0
+class Blocks:
+    """The blocks in order, one in memory at a time."""
 
-    def ship() -> None:
-        nonlocal items, size
-        numbers: dict[bytes, int] = {}
-        words = [[numbers.setdefault(w, len(numbers) + 1) for w in ws] for _, ws in items]
-        flat = np.array([w for ws in words for w in ws], np.int32)
-        starts = np.cumsum([0, *map(len, words)]).astype(np.int64)
-        blocks.append(sc.broadcast(([i for i, _ in items], numbers, flat, starts)))
-        items, size = [], 0
+    def __init__(self, files: list[str]):
+        self.files, self.only = files, None
 
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        words = texts.words_of((row["text"] or "").encode())
-        if words:
-            items.append((row["item_id"], words))
-            size += len(row["text"])
-        if size >= block_bytes:
-            ship()
-    if items:
-        ship()
-    return blocks
+    def __iter__(self) -> Iterator[tuple]:
+        for name in self.files:
+            block = self.only or load_block(name)
+            if len(self.files) == 1:
+                self.only = block
+            if block[0]:
+                yield block
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -181,14 +208,14 @@ STEP_PLACES = 1 << 20
 REPORT_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>"
 
 
-def _report(table: pa.Table, blocks: list, window: int, share: int) -> dict:
+def _report(table: pa.Table, blocks: Blocks, window: int, share: int) -> dict:
     shard = _Shard(table)
     n = table.num_rows
     cover = np.zeros(shard.size + 1, np.int64)
     found: list[set] = [set() for _ in range(n)]
     for block in blocks:
-        items = block.value[0]
-        ids, order, item, (_, _, _, lo, hi), want = shard.search(block.value, window)
+        items = block[0]
+        ids, order, item, (_, _, _, lo, hi), want = shard.search(block, window)
         hit = np.flatnonzero(hi > lo)
         weight = np.cumsum((hi - lo)[hit])
         for part in np.split(hit, np.flatnonzero(np.diff(weight // STEP_PLACES)) + 1):
@@ -217,9 +244,10 @@ def _report(table: pa.Table, blocks: list, window: int, share: int) -> dict:
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, words inside a test window, the items found, and the verdict."""
     texts.small_batches(docs.sparkSession)
-    blocks = test_blocks(benchmark, window, block_bytes)
+    files = test_blocks(benchmark, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(files)
         for table in texts.text_slices(batches, step=SHARD_BYTES, gather=True):
             got = _report(table, blocks, window, share)
             yield pa.RecordBatch.from_arrays(
@@ -237,15 +265,16 @@ MATCH_SCHEMA = "item_id string, item_word long, length long, doc_id long, doc_wo
 def longest_match_report(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each test suffix's longest verbatim match in each shard, with all of its places; ``least`` words or more."""
     texts.small_batches(docs.sparkSession)
-    blocks = test_blocks(benchmark, WINDOW, block_bytes)
+    files = test_blocks(benchmark, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(files)
         for table in texts.text_slices(batches, step=SHARD_BYTES, gather=True):
             shard = _Shard(table)
             doc_ids = table["doc_id"].combine_chunks()
             for block in blocks:
-                items, _, _, starts = block.value
-                _, order, item, (length, lo, hi, _, _), _ = shard.search(block.value, WINDOW)
+                items, _, _, starts = block
+                _, order, item, (length, lo, hi, _, _), _ = shard.search(block, WINDOW)
                 good = np.flatnonzero(length >= least)
                 for part in np.array_split(good, max(1, int((hi - lo)[good].sum()) // STEP_PLACES)):
                     at, which = _intervals(lo[part], hi[part])
@@ -269,9 +298,10 @@ def longest_match_report(docs: DataFrame, benchmark: DataFrame, least: int = WIN
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated."""
     texts.small_batches(docs.sparkSession)
-    blocks = test_blocks(benchmark, window, block_bytes)
+    files = test_blocks(benchmark, block_bytes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(files)
         for table in texts.text_slices(batches, step=SHARD_BYTES, gather=True):
             bad = _report(table, blocks, window, share)["contaminated"]
             yield from table.filter(pa.array(~bad)).combine_chunks().to_batches()

@@ -6,8 +6,9 @@ product over its words. Piece probabilities are learned by expectation-maximisat
 training words). The prediction is the language with the highest posterior under equal priors, ties to the
 first in code-point order; the score is that posterior.
 
-Words are runs of ASCII letters (lower-cased) and non-ASCII characters; a run of over LONGEST characters is
-cut into parts of that length. A character outside the vocabulary has one small probability in all languages.
+Words are runs of ASCII letters (lower-cased) and non-ASCII characters, of any length; the sums are scaled on the way,
+so that a long run (a sentence without spaces) neither under- nor overflows. For learning only, a run of over
+LONGEST characters is cut into parts of that length. A character outside the vocabulary has one small probability in all languages.
 Learning uses about ``ROWS`` documents, shared evenly by all languages, or LEAST_ROWS of each where that is more
 (the model grows with the number of languages), drawn by hash from the rows with a language whose ids are not held out. Null texts and texts
 without a letter are ``und`` with score 0, as is every text when nothing could be learned. Repeated rows score
@@ -34,9 +35,10 @@ EM_ROUNDS = 3
 SMOOTHING = 0.01
 #: Scale of a character, so that products over a word stay near 1.
 SCALE = np.exp(2.5)
-#: Words a worker remembers before it starts anew; fewer where there are over 200 languages.
-CACHE_WORDS = 1_000_000
-CACHE_LANGUAGES = 200
+#: Bytes of the words that a task remembers (8 for each word and language) before it starts anew.
+CACHE_BYTES = 24 << 20
+#: Characters of the words whose segmentations are summed together, and of a step between two scalings.
+LATTICE_CHARS, RESCALE = 200_000, 32
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -88,12 +90,21 @@ class Lattice:
         self.cuts = np.searchsorted(step, np.arange(1, int(self.n_chars.max()) + 2))
         self.stop = self.start + pieces.length[self.piece]
 
-    def forward(self, weight: np.ndarray) -> np.ndarray:
-        """Sums over the segmentations up to each bound; weight: (pieces, languages)."""
+    def forward(self, weight: np.ndarray, reach: int = 0, logs: np.ndarray | None = None) -> np.ndarray:
+        """Sums over the segmentations up to each bound; weight: (pieces, languages).
+
+        With ``logs`` (words, languages) the last ``reach`` bounds, all that longer segmentations build on, are
+        divided by their greatest every RESCALE characters, and the divisors' logarithms are added to ``logs``."""
         alpha = np.zeros((int(self.first[-1] + self.n_chars[-1]) + 1, weight.shape[1]))
         alpha[self.first] = 1
-        for lo, hi in zip(self.cuts, self.cuts[1:]):
+        for end, (lo, hi) in enumerate(zip(self.cuts, self.cuts[1:]), 1):
             self._add(alpha, self.stop[lo:hi], alpha[self.start[lo:hi]] * weight[self.piece[lo:hi]])
+            if logs is not None and end % RESCALE == 0:
+                going = np.flatnonzero(self.n_chars > end)
+                near = self.first[going][:, None] + np.arange(max(0, end - reach), end + 1)
+                top = alpha[near].max(axis=1)
+                alpha[near] /= top[:, None, :]
+                logs[going] += np.log(top)
         return alpha
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
@@ -145,29 +156,27 @@ class Pieces:
         return out
 
 
-def text_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, starts and ends of the words, and the first word of each row (n + 1 entries)."""
-    low, starts, ends, edge = texts.word_spans(raw, offsets, _LUT)
-    if len(starts) and int((ends - starts).max()) > LONGEST:
-        char = (low & 0xC0) != 0x80
-        long = np.flatnonzero(ends - starts > LONGEST)
-        more = [starts]
-        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
-            own = np.flatnonzero(char[a:b]) + a
-            more.append(own[LONGEST::LONGEST])
-        begin = np.sort(np.concatenate(more))
-        owner = np.searchsorted(starts, begin, side="right") - 1
-        nxt = np.append(begin[1:], len(raw))
-        ends = np.minimum(nxt, ends[owner])
-        starts = begin
-        edge = np.searchsorted(starts, offsets)
-    return low, starts, ends, edge
-
-
-def _distinct(raw: np.ndarray, offsets: np.ndarray) -> tuple:
+def cut_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, edge: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of over LONGEST characters in parts of that length: starts, ends, and the first word of each row."""
+    if not len(starts) or int((ends - starts).max()) <= LONGEST:
+        return starts, ends, edge
+    char = (low & 0xC0) != 0x80
+    more = [starts]
+    long = np.flatnonzero(ends - starts > LONGEST)
+    for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+        own = np.flatnonzero(char[a:b]) + a
+        more.append(own[LONGEST::LONGEST])
+    begin = np.sort(np.concatenate(more))
+    owner = np.searchsorted(starts, begin, side="right") - 1
+    return begin, np.minimum(np.append(begin[1:], len(low)), ends[owner]), np.searchsorted(begin, offsets)
+
+
+def _distinct(raw: np.ndarray, offsets: np.ndarray, cut: bool = False) -> tuple:
     import pandas as pd
 
-    low, starts, ends, edge = text_words(raw, offsets)
+    low, starts, ends, edge = texts.word_spans(raw, offsets, _LUT)
+    if cut:
+        starts, ends, edge = cut_words(low, starts, ends, edge, offsets)
     codes, keys = pd.factorize(texts.span_hashes(low, starts, ends))
     first = np.empty(len(keys), np.int64)
     first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
@@ -191,7 +200,7 @@ class LanguageModel:
         weight = np.zeros((len(vocab) + 1, len(languages)))
         for k, lang in enumerate(languages):
             column = pa.chunked_array([pa.array([t for t, own in rows if own == lang], pa.string())])
-            codes, keys, spans, _, data = _distinct(*texts.text_bytes(column))
+            codes, keys, spans, _, data = _distinct(*texts.text_bytes(column), cut=True)
             times = np.bincount(codes, minlength=len(keys)).astype(np.float64)
             prob = np.full((len(vocab) + 1, 1), 1 / (len(vocab) + 1))
             parts = [(Lattice(pieces, [data[a:b] for a, b in spans[lo : lo + 20_000]]), times[lo : lo + 20_000]) for lo in range(0, len(spans), 20_000)]
@@ -213,7 +222,7 @@ class LanguageModel:
 
     def word_logs(self, keys: np.ndarray, spans: list[tuple[int, int]], data: bytes) -> np.ndarray:
         """Log probability (scaled) of each distinct word under each language; remembers words by hash."""
-        if (len(self.keys) + len(keys)) * max(1, len(self.languages) / CACHE_LANGUAGES) > CACHE_WORDS:
+        if (len(self.keys) + len(keys)) * 8 * (len(self.languages) + 1) > CACHE_BYTES:
             self.keys, self.logs = self.keys[:0], self.logs[:0]
         slot = np.searchsorted(self.keys, keys)
         slot[slot == len(self.keys)] = 0
@@ -221,9 +230,12 @@ class LanguageModel:
         new = np.flatnonzero(~known)
         if len(new):
             logs = []
-            for lo in range(0, len(new), 20_000):
-                lattice = Lattice(self.pieces, [data[slice(*spans[k])] for k in new[lo : lo + 20_000].tolist()])
-                logs.append(np.log(np.maximum(lattice.totals(lattice.forward(self.weight)), 1e-300)))
+            size = np.cumsum([spans[k][1] - spans[k][0] for k in new.tolist()])
+            for part in np.split(new, np.flatnonzero(np.diff(size // LATTICE_CHARS)) + 1):
+                lattice = Lattice(self.pieces, [data[slice(*spans[k])] for k in part.tolist()])
+                scaled = np.zeros((len(part), len(self.languages)))
+                total = lattice.totals(lattice.forward(self.weight, self.pieces.longest, scaled))
+                logs.append(np.log(np.maximum(total, 1e-300)) + scaled)
             order = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
             self.keys = np.concatenate([self.keys, keys[new]])[order]
             self.logs = np.concatenate([self.logs, *logs])[order]
@@ -268,28 +280,23 @@ def fit_language(docs: DataFrame, model_path: str, rows: int = ROWS, mod: int =
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, _share double")
     drawn = open_rows.select("doc_id", "text", "lang").join(F.broadcast(shares), "lang")  # a row for each language
     drawn = drawn.filter(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
-    found = [(r["text"], r["lang"]) for r in drawn.select("text", "lang").limit(2 * max(rows, most * len(counts))).collect()]
+    order = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    found = [(r["text"], r["lang"]) for r in samples.bounded(drawn.select("doc_id", "text", "lang"), order, 2 * max(rows, most * len(counts)))]
     return LanguageModel.fit(found, vocabulary(model_path))
 
 
 LANGUAGE_SCHEMA = "doc_id long, lang_pred string, score double"
-_MODELS: dict[str, LanguageModel] = {}
 
 
 def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text."""
-    import uuid
-
     texts.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.vocab, model.languages, model.weight))  # vocabulary x languages
-    name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _MODELS:  # kept from task to task with its remembered words
-            _MODELS.clear()
-            _MODELS[name] = LanguageModel(*texts.sent_value(sent))
+        own = LanguageModel(*texts.sent_value(sent))
         for table in texts.text_slices(batches):
-            langs, score = _MODELS[name].predict(*texts.text_bytes(table["text"]))
+            langs, score = own.predict(*texts.text_bytes(table["text"]))
             yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks().cast(pa.int64()), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     found = docs.select("doc_id", "text").mapInArrow(scan, LANGUAGE_SCHEMA)

@@ -6,16 +6,22 @@ its source's size, and what is over is shared again by weight until none is abov
 
 A source takes every document floor(target / size) times; the rest of its budget is fitted by once more taking
 some documents. Documents are counted by exact length (the histogram is all that a source's task sees, so
-its size is bounded by the number of different lengths). Each length first gets its proportional share, then
-a bounded knapsack over the remaining counts (reachable sums as bit sets) fills the last words exactly where
-they can be; if more words than it works on are left, because all other documents are too long for the steps
-before, the longest document that fits is taken. Which documents of a length are taken is decided by a seeded hash of id and text: the k smallest,
-found through counts in hash ranges, so that no task ranks a whole length or source.
+its size is bounded by the number of different lengths). Each length first gets its proportional share; single
+documents follow until what is left is no more than the exact step works on, which is twice the longest document or
+more. A bounded knapsack over all remaining counts (reachable sums as bit sets) then finds the largest sum that fits. So
+the words left over are fewer than the shortest document that is left. Where a whole budget is within the exact
+step and the shares stand in the way of a better sum, the knapsack works on all of it. Documents of over
+``MOST_EXACT`` / 2 words are taken longest first before the exact step, as long as they fit.
+
+Which documents of a length are taken is decided by a seeded hash of id and text: the k smallest,
+found through counts in hash ranges, so that no task ranks a whole length or source. Rows that agree in id and text
+are taken one by one like all others: of those at the last hash as many as are still needed.
 
 Targets need only sums over the sources, so the driver holds a few numbers. Reruns agree. A null source is a
-source, and so is an empty one. Rows that agree in id and text are taken together. Empty texts have size 0 and
-are taken as often as their source's base says. An empty table gives an empty mix. Extra columns are kept by
-``mix_documents`` (those named like its working columns ``_key _size _hash`` must be renamed before).
+source, and so is an empty one. Empty texts have size 0 and
+are taken as often as their source's base says. An empty table gives an empty mix. Extra columns, of any name, are kept by
+``mix_documents`` and ignored by ``mix_report``; of rows that agree in id and text but not in other columns the mix
+may repeat one.
 """
 
 from __future__ import annotations
@@ -25,13 +31,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import store
+from . import skew, store
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 SEED = 17
-#: Largest budget in words that the knapsack works on.
-KNAPSACK_WORDS = 1 << 16
+#: Words that the exact step works on at least, and at most.
+KNAPSACK_WORDS, MOST_EXACT = 1 << 16, 1 << 24
 #: Hash ranges of one length: no task ranks more than one of them.
 RANGE_BITS = 12
 
@@ -43,25 +49,34 @@ def word_count(text: Column) -> Column:
 
 
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many of each length to take so that the sum is the largest that does not exceed ``budget``."""
+    """How many of each length to take so that the sum is the largest that does not exceed ``budget``.
+
+    The reachable sums are the bits of one integer; for each sum the step that reached it first is kept."""
     mask = (1 << (budget + 1)) - 1
     reach, steps = 1, []
+    first = np.full(budget + 1, -1, np.int32)
     for k, (length, count) in enumerate(zip(lengths, counts)):
         count = min(count, budget // length) if length else 0
         part = 1
         while count > 0 and not reach >> budget & 1:
             use = min(part, count)
-            steps.append((k, use, reach))
-            reach |= reach << (use * length) & mask
+            more = reach | reach << (use * length) & mask
+            new = np.frombuffer((more ^ reach).to_bytes(budget // 8 + 1, "little"), np.uint8)
+            some = np.flatnonzero(new)
+            bits = np.unpackbits(new[some], bitorder="little").reshape(-1, 8)
+            row, col = np.nonzero(bits)
+            first[some[row] * 8 + col] = len(steps)
+            steps.append((k, use))
+            reach = more
             count -= use
             part *= 2
         if reach >> budget & 1:
             break
     best, taken = reach.bit_length() - 1, [0] * len(lengths)
-    for k, use, before in reversed(steps):
-        if not before >> best & 1:
-            taken[k] += use
-            best -= use * lengths[k]
+    while best:  # what is left without a sum's first step was reached by earlier steps
+        k, use = steps[first[best]]
+        taken[k] += use
+        best -= use * lengths[k]
     return taken
 
 
@@ -73,38 +88,46 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int
         return taken
     if budget >= total:
         return np.where(lengths > 0, counts, 0)
-    share = counts * (budget / total)
+    room = int(min(max(limit, 2 * lengths.max()), MOST_EXACT))
+    share = np.where(lengths > 0, counts * (budget / total), 0)
     taken = np.minimum(np.floor(share).astype(np.int64), counts)
-    taken[lengths == 0] = 0
     rest = budget - int((lengths * taken).sum())
     for k in np.argsort(-(share - taken), kind="stable").tolist():  # one more, by the part that was cut off
-        if 0 < lengths[k] <= rest - limit // 2 and taken[k] < counts[k]:
+        if rest <= room:
+            break
+        if 0 < lengths[k] <= rest and taken[k] < counts[k]:
             taken[k] += 1
             rest -= int(lengths[k])
     for k in np.argsort(-lengths, kind="stable").tolist():
-        if rest <= limit:
+        if rest <= room:
             break
         if lengths[k]:
-            more = min(int(counts[k] - taken[k]), (rest - limit // 2) // int(lengths[k]))
-            if more > 0:
-                taken[k] += more
-                rest -= more * int(lengths[k])
-    if rest > limit:  # all that is left and fits is longer than rest - limit // 2, so one document at most: the longest
-        fits = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
-        if len(fits):
-            k = int(fits[np.argmax(lengths[fits])])
-            taken[k] += 1
-            rest -= int(lengths[k])
-    if 0 < rest:
+            more = min(int(counts[k] - taken[k]), rest // int(lengths[k]))
+            if lengths[k] * 2 <= room:  # leave the exact step its room
+                more = min(more, -(-(rest - room) // int(lengths[k])))
+            taken[k] += more
+            rest -= more * int(lengths[k])
+    if rest > 0:
         small = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
         small = small[np.argsort(-(share - taken)[small], kind="stable")]
-        taken[small] += np.array(knapsack(lengths[small].tolist(), (counts - taken)[small].tolist(), min(rest, limit)), np.int64)
+        more = np.array(knapsack(lengths[small].tolist(), (counts - taken)[small].tolist(), min(rest, room)), np.int64)
+        taken[small] += more
+        rest -= int((lengths[small] * more).sum())
+    if rest > 0 and budget <= room:
+        again = np.array(knapsack(lengths.tolist(), counts.tolist(), budget), np.int64)
+        if int((lengths * again).sum()) > budget - rest:
+            taken = again
     return taken
 
 
-def _keyed(docs: DataFrame, seed: int) -> DataFrame:
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    return docs.withColumns({"_key": key, "_size": word_count(F.col("text")), "_hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))})
+def _key(column: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), column), F.lit(""))
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, _key, _size and _hash of every row, as a written table."""
+    rows = docs.select("doc_id", "source", _key(F.col("source")).alias("_key"), word_count(F.col("text")).alias("_size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_hash"))
+    return store.materialise(rows, "sizes")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -139,7 +162,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """From rows (_key, source, _size, _hash): the sources' targets, and for each (_key, _size) that takes some
-    documents once more the last hash that does (``cut``)."""
+    documents once more the last hash that does (``cut``), of how many rows (``ties``), and how many of these (``need``)."""
     sizes = rows.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"))
     targets = store.materialise(source_targets(sizes, weights, most), "targets")
     histogram = rows.groupBy("_key", "_size").count()
@@ -152,34 +175,67 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     takes = histogram.join(targets.filter("budget > 0").select("_key", "budget"), "_key").groupBy("_key").applyInPandas(fit, "_key string, _size long, n long, take long")
     takes = store.materialise(takes, "takes")
     by = ["_key", "_size"]
-    whole = takes.filter("take >= n").select(*by, F.lit(2**63 - 1).alias("cut"))
+    zero = F.lit(0).cast("long")
+    whole = takes.filter("take >= n").select(*by, F.lit(2**63 - 1).alias("cut"), zero.alias("ties"), zero.alias("need"))
     some = takes.filter("take < n").select(*by, "take")
-    # the k-th smallest hash: counts by hash range, then ranks in the one range where the count is reached
+    # the k-th smallest hash: counts by hash range, then counts by hash in the one range where the count is reached
     span = F.shiftright(F.col("_hash"), 64 - RANGE_BITS)
     ranged = rows.select(*by, "_hash", span.alias("span"))
     counts = ranged.groupBy(*by, "span").count()
     upto = F.sum("count").over(Window.partitionBy(*by).orderBy("span"))  # 2**RANGE_BITS rows at most
-    edge = counts.join(some, by).withColumn("upto", upto).filter("upto >= take and upto - count < take").select(*by, "span", (F.col("take") - F.col("upto") + F.col("count")).alias("k"))
-    near = ranged.join(edge, [*by, "span"])
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "span").orderBy("_hash"))).filter("rank = k")
-    return targets, store.materialise(whole.unionByName(ranked.select(*by, F.col("_hash").alias("cut"))), "cuts")
+    edge = counts.join(some, by).withColumn("upto", upto).filter("upto >= take and upto - count < take")
+    edge = store.materialise(edge.select(*by, "span", (F.col("take") - F.col("upto") + F.col("count")).alias("k"), "count"), "edges")
+    near = skew.join_counted(ranged, edge, [*by, "span"], "count", rows.count()).groupBy(*by, "span", "k", "_hash").agg(F.count(F.lit(1)).alias("ties"))
+    upto = F.sum("ties").over(Window.partitionBy(*by, "span").orderBy("_hash"))
+    last = near.withColumn("upto", upto).filter("upto >= k and upto - ties < k")
+    last = last.select(*by, F.col("_hash").alias("cut"), "ties", (F.col("k") - F.col("upto") + F.col("ties")).alias("need"))
+    return targets, store.materialise(whole.unionByName(last), "cuts")
+
 
+def _planned(rows: DataFrame, targets: DataFrame, cuts: DataFrame, counted: DataFrame) -> DataFrame:
+    """rows with the plan of their source and length; ``counted`` has the rows of each length."""
+    plan = store.materialise(counted.join(cuts, ["_key", "_size"], "left").join(targets, "_key"), "plan")
+    return skew.join_counted(rows, plan, ["_key", "_size"], "count", rows.count())
 
-def _copies(rows: DataFrame, targets: DataFrame, cuts: DataFrame) -> DataFrame:
-    extra = F.when(F.col("_hash") <= F.col("cut"), 1).otherwise(0)
-    return rows.join(cuts, ["_key", "_size"], "left").join(targets, "_key").withColumn("copies", (F.col("base") + extra).cast("long"))
+
+def _extra() -> Column:
+    """Whether a row is taken once more; rows at a cut that takes only some of its equal rows are not settled here."""
+    partly = (F.col("_hash") == F.col("cut")) & (F.col("need") < F.col("ties"))
+    return F.when(partly, F.lit(None).cast("int")).when(F.col("_hash") <= F.col("cut"), 1).otherwise(0)
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words that the mix takes of it."""
-    rows = store.materialise(_keyed(docs, seed).select("doc_id", "source", "_key", "_size", "_hash"), "sizes")
-    found = _copies(rows, *mix_plan(rows, weights, most))
-    return found.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"))
+    rows = _sized(docs, seed)
+    targets, cuts = mix_plan(rows, weights, most)
+    found = _planned(rows, targets, cuts, rows.groupBy("_key", "_size").count()).withColumn("extra", _extra()).withColumn("part", F.spark_partition_id())
+    found = store.materialise(found.select("doc_id", "_key", "_size", "source_size", "target", "base", "extra", "need", "part"), "mixed")
+    # equal rows at a cut: those of the first parts, whose counts come first, and inside a part the first
+    open_ = found.filter("extra is null")
+    by = ["_key", "_size"]
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each part
+    parts = open_.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    nth = F.row_number().over(Window.partitionBy(*by, "part").orderBy("doc_id"))
+    settled = open_.join(parts.drop("n"), [*by, "part"]).withColumn("extra", (nth + F.col("before") <= F.col("need")).cast("int"))
+    every = found.filter("extra is not null").unionByName(settled.select(*found.columns))
+    return every.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("base") + F.col("extra"))).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself: the documents with all their columns, each as often as it is taken."""
-    keyed = _keyed(docs, seed)
-    rows = store.materialise(keyed.select("source", "_key", "_size", "_hash"), "sizes")
-    found = _copies(keyed, *mix_plan(rows, weights, most))
-    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = _sized(docs, seed)
+    targets, cuts = mix_plan(rows, weights, most)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # so that no column clashes with ours
+    keyed = whole.select("row", _key(F.col("row.source")).alias("_key"), word_count(F.col("row.text")).alias("_size"), F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.col("row.text")).alias("_hash"))
+    plan = store.materialise(rows.groupBy("_key", "_size").count().join(cuts, ["_key", "_size"], "left").join(targets, "_key"), "plan")
+    found = skew.join_counted(keyed, plan, ["_key", "_size"], "count", rows.count())
+    found = found.select("row", "_key", "_size", "_hash", "base", "need", _extra().alias("extra"))
+    times = found.withColumn("times", (F.col("base") + F.coalesce("extra", F.lit(0))).cast("int"))
+    mixed = times.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
+    some = cuts.filter("need < ties").select(F.col("_key").alias("k"), F.col("_size").alias("s"), F.col("cut").alias("h"), "need")
+    if some.limit(1).count():  # equal rows at a cut: one of them as often as is needed
+        same = (F.col("_key") == F.col("k")) & (F.col("_size") == F.col("s")) & (F.col("_hash") == F.col("h"))
+        ties = keyed.join(F.broadcast(some), same) if some.count() <= 10_000 else keyed.join(some, same)
+        one = ties.groupBy("k", "s", "h", "need").agg(F.first("row").alias("row"))
+        mixed = mixed.unionByName(one.select("row", F.explode(F.array_repeat(F.lit(0), F.col("need").cast("int"))).alias("copy")))
+    return mixed.select("row.*")

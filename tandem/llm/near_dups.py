@@ -372,7 +372,7 @@ def _with_nodes(docs: DataFrame, sketch: bool, name: str = "_node") -> DataFrame
             else:
                 columns = [c.combine_chunks() for c in table.columns]
                 batch = pa.RecordBatch.from_arrays([*columns, nodes], names)
-                yield batch.take(pa.array(_first_of_each(table["doc_id"].to_pylist(), keys, table["text"])))
+                yield batch.take(pa.array(_first_of_each(table["doc_id"].to_pylist(), keys, table["text"]), pa.int64()))
 
     return docs.mapInArrow(scan, schema)
 

@@ -109,11 +109,11 @@ def op1_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = f"""
-WITH e AS (SELECT kind, lower(value) AS value, category, action, CAST(dated AS DATE) AS dated FROM {_ENTRIES_SQL} AS t(kind, value, category, action, dated)),
+WITH e AS (SELECT kind, CASE WHEN kind = 'prefix' THEN rtrim(lower(split_part(value, '/', 1)), '.') || regexp_replace(regexp_extract(value, '^[^/]*(.*)', 1), '/+$', '') ELSE rtrim(lower(value), '.') END AS value, category, action, CAST(dated AS DATE) AS dated FROM {_ENTRIES_SQL} AS t(kind, value, category, action, dated)),
 d AS (SELECT kind, value, dated, max(CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS is_on, max(category) FILTER (WHERE action = 'add') AS category FROM e GROUP BY ALL),
 v AS (SELECT kind, value, category, is_on, CAST(dated AS TIMESTAMP) AS since, CAST(lead(dated) OVER (PARTITION BY kind, value ORDER BY dated) AS TIMESTAMP) AS until FROM d),
 p AS (SELECT page_id, url, TIMESTAMP '2024-01-01 12:00:00' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched_at,
-  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+  nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
   regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages),
 m AS (SELECT p.page_id, v.kind, v.value, v.category, v.since,
   row_number() OVER (PARTITION BY p.page_id ORDER BY length(v.value) DESC, v.kind DESC) AS k

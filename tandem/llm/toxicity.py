@@ -1,8 +1,9 @@
 """Toxicity: a convolutional text classifier in numpy (operator 9).
 
-Tokens (lower-cased runs of word characters, or of signs) are hashed; hashes that stand in LEAST_DOCS
-learning rows or more own an embedding, all others share one, since a maximum over a long text would else
-learn rare words by heart. Filters of several widths run over the sequence, each filter keeps its maximum
+Tokens (lower-cased runs of word characters, or of signs) are hashed. A word's hash that stands in LEAST_DOCS
+learning rows or more owns an embedding; a rarer word takes the embedding of its stem, the hash of its first
+STEMS characters (longer stems first), where that stands in as many rows; all others share one, since a maximum over
+a long text would else learn rare words by heart. Filters of several widths run over the sequence, each filter keeps its maximum
 over the text, and a logistic layer reads the maxima. Only the windows that reached a maximum get a gradient,
 so a training step touches few embeddings. The first dimension of an embedding starts from the word's
 association with the label (signed root of the log-likelihood ratio, less ASSOCIATION), the others at random.
@@ -10,13 +11,15 @@ association with the label (signed root of the log-likelihood ratio, less ASSOCI
 For scoring, each filter's share of each hashed word at each offset is tabulated once (the table is bounded by
 the sample); a window is then a sum of table rows. Windows never reach into the next text: padding stands between texts.
 
-Score: the logistic output, moved by a constant so that the score is THRESHOLD where learning rows are cut
-best. Beside it, thresholds by language are calibrated on learning rows (a language with too few rows takes the common one);
+Score: the logistic output, moved by a constant so that the score is THRESHOLD where rows are cut best that the model
+has not learned from: for the calibration FOLDS models are learned, each scores the rows it was not given. From the same
+scores come the thresholds by language (a language with too few rows takes the common one);
 ``rejected`` uses them. The score itself knows the text alone.
 
 Learning uses at most ``SAMPLE`` labelled rows, drawn by hash. Null and empty texts score as texts of padding.
 Without learning rows of both classes every score is 0 (1 if all are toxic). Repeated rows score alike; extra columns are
-ignored by the report and kept by ``drop_toxic``.
+ignored by the report and kept by ``drop_toxic``. A very long text is taken alone, with about 100 bytes for each of its
+words and each filter.
 """
 
 from __future__ import annotations
@@ -43,28 +46,48 @@ THRESHOLD = 0.3
 ASSOCIATION = 4.0
 #: A language needs so many learning rows of each class for a threshold of its own.
 LEAST_ROWS = 40
-#: A language's threshold stays in this range, since scores of learning rows are too sure.
-THRESHOLD_RANGE = (0.2, 0.5)
+#: Characters of a rare word's stems, longest first; and the models learned for the calibration.
+STEMS = (6, 5, 4, 3)
+FOLDS = 2
+#: A clean row lost at a threshold costs so much more than a toxic one kept, each as a share of its kind.
+CLEAN_WEIGHT = 3.0
 #: Padding tokens between texts: the widest filter less one.
 GAP = max(WIDTHS) - 1
 
 
 def token_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every token, and the first token of each row (n + 1 entries)."""
+    """The hashes of every token and its stems, one row for each token, and the first token of each text (n + 1 entries).
+
+    A word without so long a stem has its own hash there."""
     low = quality._LOWER[raw]
     starts, ends, edge = quality.token_spans(raw, offsets)
-    return texts.span_hashes(low, starts, ends), edge
+    whole = texts.span_hashes(low, starts, ends)
+    out = np.empty((len(starts), 1 + len(STEMS)), np.uint64)
+    out[:, 0] = whole
+    chars = np.flatnonzero((low & 0xC0) != 0x80)
+    first = np.searchsorted(chars, starts)
+    bound = np.append(chars, np.full(max(STEMS), len(low)))
+    for k, n in enumerate(STEMS, 1):
+        stop = bound[first + n]
+        stem = stop < ends
+        out[:, k] = whole
+        out[stem, k] = texts.span_hashes(low, starts[stem], stop[stem]) ^ np.uint64(n)
+    return out, edge
 
 
 def word_ids(hashes: np.ndarray, edge: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Embedding numbers of all rows with GAP + 1 padding (0) behind each row, and where each row begins.
 
-    The sorted ``keys`` own the numbers from 2 on; 1 is every other hash."""
+    The sorted ``keys`` own the numbers from 2 on; 1 is every token of which neither the hash nor a stem is a key."""
+    ids = np.ones(len(hashes), np.int64)
     if len(keys):
-        slot = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        ids = np.where(keys[slot] == hashes, slot + 2, 1)
-    else:
-        ids = np.ones(len(hashes), np.int64)
+        open_ = np.arange(len(hashes))
+        for k in range(hashes.shape[1]):
+            own = hashes[open_, k]
+            slot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = keys[slot] == own
+            ids[open_[hit]] = slot[hit] + 2
+            open_ = open_[~hit]
     n = np.diff(edge)
     begin = edge[:-1] + np.arange(len(n)) * (GAP + 1)
     out = np.zeros(len(ids) + len(n) * (GAP + 1), np.int64)
@@ -99,6 +122,28 @@ class ConvModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, int, str | None]], epochs: int = EPOCHS, rate: float = 0.1, seed: int = 5) -> ConvModel:
+        """A model of all rows, calibrated by models of parts of them."""
+        y = np.array([r[1] for r in rows], np.int64)
+        model = cls._learn(rows, epochs, rate, seed)
+        if np.bincount(y, minlength=2).min() < 2 * FOLDS:
+            return model
+        fold = np.zeros(len(rows), np.int64)
+        for value in (0, 1):
+            own = np.flatnonzero(y == value)
+            fold[own] = np.arange(len(own)) % FOLDS
+        score = np.zeros(len(rows))
+        for k in range(FOLDS):
+            part = cls._learn([r for r, f in zip(rows, fold) if f != k], epochs, rate, seed + 1 + k)
+            score[fold == k] = part.scores([r[0] for r, f in zip(rows, fold) if f == k])
+        model._calibrate(score, rows, y)
+        return model
+
+    def scores(self, items: list[str | None]) -> np.ndarray:
+        batch = pa.RecordBatch.from_pydict({"text": pa.array([t or "" for t in items], pa.large_string())})
+        return np.concatenate([np.zeros(0), *(self.predict(*texts.text_bytes(t["text"])) for t in texts.text_slices(iter([batch])))])
+
+    @classmethod
+    def _learn(cls, rows: list[tuple[str, int, str | None]], epochs: int, rate: float, seed: int) -> ConvModel:
         spans = sum(WIDTHS)
         y = np.array([r[1] for r in rows], np.int64)
         if len(set(y.tolist())) < 2:
@@ -168,15 +213,12 @@ class ConvModel:
         for i, w in enumerate(WIDTHS):
             table[:, k] += shift[i]
             k += w
-        model = cls(keys, table.astype(np.float32), out.astype(np.float64), float(bias), {})
-        model._calibrate(rows, y)
-        return model
+        return cls(keys, table.astype(np.float32), out.astype(np.float64), float(bias), {})
 
-    def _calibrate(self, rows: list[tuple[str, int, str | None]], y: np.ndarray) -> None:
+    def _calibrate(self, score: np.ndarray, rows: list[tuple[str, int, str | None]], y: np.ndarray) -> None:
         """Move the bias so that the best common cut is THRESHOLD; then a cut for each language."""
-        parts = [pa.chunked_array([pa.array([r[0] or "" for r in rows[lo : lo + 200]], pa.string())]) for lo in range(0, len(rows), 200)]
-        score = np.concatenate([self.predict(*texts.text_bytes(part)) for part in parts])
-        logit = np.log(score) - np.log1p(-np.minimum(score, 1 - 1e-12))
+        score = np.clip(score, 1e-12, 1 - 1e-12)
+        logit = np.log(score) - np.log1p(-score)
         cut = _best_cut(logit, y, None)
         self.bias += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
         logit += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
@@ -185,7 +227,7 @@ class ConvModel:
             mine = langs == lang
             if lang and np.bincount(y[mine], minlength=2).min() >= LEAST_ROWS:
                 own = _best_cut(logit[mine], y[mine], np.log(THRESHOLD / (1 - THRESHOLD)))
-                self.thresholds[str(lang)] = float(np.clip(1 / (1 + np.exp(-own)), *THRESHOLD_RANGE))
+                self.thresholds[str(lang)] = float(1 / (1 + np.exp(-own)))
 
 
 def _association(hashes: list, y: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -195,7 +237,7 @@ def _association(hashes: list, y: np.ndarray, keys: np.ndarray) -> np.ndarray:
         own = np.unique(h)
         slot = np.searchsorted(keys, own)
         slot = slot[(slot < len(keys)) & (keys[np.minimum(slot, len(keys) - 1)] == own)] if len(keys) else slot[:0]
-        counts[label, slot] += 1
+        counts[label, np.unique(slot)] += 1
     expected = counts.sum(axis=0) * (np.bincount(y, minlength=2) / len(y))[:, None]
     ratio = 2 * (counts * np.log(np.maximum(counts, 1e-9) / expected)).sum(axis=0)
     root = np.sqrt(np.maximum(ratio, 0)) * np.sign(counts[1] - expected[1])
@@ -203,12 +245,12 @@ def _association(hashes: list, y: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _best_cut(score: np.ndarray, y: np.ndarray, prefer: float | None) -> float:
-    """In the score gap with the highest sum of the two classes' hit rates: its middle, or the place next to ``prefer``."""
+    """In the score gap with the highest weighted sum of the two classes' hit rates: its middle, or the place next to ``prefer``."""
     order = np.argsort(score, kind="stable")
     s, toxic = score[order], y[order]
     below_clean = np.concatenate([[0], np.cumsum(1 - toxic)]) / max(1, (1 - toxic).sum())
     above_toxic = (toxic.sum() - np.concatenate([[0], np.cumsum(toxic)])) / max(1, toxic.sum())
-    gain = below_clean + above_toxic
+    gain = CLEAN_WEIGHT * below_clean + above_toxic
     split = np.concatenate([[True], s[1:] > s[:-1], [True]])
     best = np.flatnonzero(split & (gain >= gain[split].max() - 1e-12))
     edges = np.concatenate([[s[0] - 1], s, [s[-1] + 1]])

@@ -1,20 +1,21 @@
 """URL filters: a temporal list join (operator 1), in DataFrame operations only.
 
 A list has dated entries (kind, value, category, action, dated). Kind ``domain`` holds for a host and all below
-it, ``prefix`` for a host and path from their start, whole path segments. ``add`` starts an interval at its
+it, ``prefix`` for a host and path from their start, whole path segments. Hosts compare without case and last dot,
+paths as they are; slashes at a path's end do not count. ``add`` starts an interval at its
 date, the next entry of the same kind and value ends it. Of entries with one kind, value and date an ``add``
 beats a ``remove``, and the greatest category wins. So a key has one entry a day at most, and its intervals,
 kept as one array, are bounded by the days of the list's history.
 
 Each capture is evaluated against the entries active at its fetch time (as-of). Keys are looked up once for
 each distinct host (each distinct host and path only where the list has prefixes of that host), so the frequent
-hosts are reduced before the join; the result, usually few blocked hosts, meets the captures in one join whose
-form (broadcast below the session's size threshold, or a shuffle that splits skewed hosts) the planner picks by
-the measured size.
+hosts are reduced before the join; the result, usually few blocked hosts, meets the captures in one join, each host
+in SALTS parts, so that a frequent host's captures are spread; the planner broadcasts the result where it is small.
 
 Verdict: the longest active value, a prefix before a domain of equal length. A capture with a null or hostless
-url or a null fetch time is not blocked. Repeated rows are judged alike; all columns of the captures are kept,
-and one that is named like an output column must be renamed before.
+url or a null fetch time is not blocked. Repeated rows are judged alike. All columns of the captures are kept, but for
+those named like a column of the verdict (host, blocked, list_kind, list_value, list_category, listed_since), which
+it replaces. An empty list blocks nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,17 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
 
+#: Parts of a host's captures.
+SALTS = 16
+
+
+def listed_value(kind: Column, value: Column) -> Column:
+    """A list value as it is compared."""
+    host = F.rtrim(F.lower(F.split(value, "/")[0]), F.lit("."))
+    path = F.regexp_replace(F.regexp_extract(value, "^[^/]*(.*)", 1), "/+$", "")
+    return F.when(kind == "prefix", F.concat(host, path)).otherwise(F.rtrim(F.lower(value), F.lit(".")))
+
+
 def host_of(url: Column) -> Column:
     """Lower-cased host without user, port and last dot; null if there is none."""
     host = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
@@ -50,7 +62,7 @@ def prefixes(host: Column, path: Column) -> Column:
 
 def validity(entries: DataFrame) -> DataFrame:
     """(kind, value, spans): the disjoint validity intervals of each listed key, in order."""
-    day = entries.select("kind", F.lower("value").alias("value"), F.col("dated").cast("date").alias("dated"), (F.col("action") == "add").alias("on"), "category").filter("kind is not null and value is not null and dated is not null and on is not null")
+    day = entries.select("kind", listed_value(F.col("kind"), F.col("value")).alias("value"), F.col("dated").cast("date").alias("dated"), (F.col("action") == "add").alias("on"), "category").filter("kind is not null and value is not null and dated is not null and on is not null")
     day = day.groupBy("kind", "value", "dated").agg(F.max(F.struct("on", "category")).alias("e"))
     listed = day.groupBy("kind", "value").agg(F.sort_array(F.collect_list(F.struct("dated", "e.on", "e.category"))).alias("days"))
     n = F.size("days")
@@ -71,30 +83,34 @@ def _hits(keys: DataFrame, by: list[str], listed: DataFrame, name: str) -> DataF
 def apply_lists(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """The captures with host, blocked, list_kind, list_value, list_category and listed_since."""
     listed = validity(entries)
-    rows = captures.withColumns({"host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    row = F.struct(*[F.col(f"`{c}`") for c in captures.columns]).alias("row")  # so that no column clashes with ours
+    whole = captures.select(row, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"), F.col(f"`{fetched}`").cast("timestamp").alias("at"))
     domains = listed.filter("kind = 'domain'").select("value", "spans")
     by_path = listed.filter("kind = 'prefix'").select("value", "spans")
-    hosts = rows.filter("host is not null").select("host").distinct()
-    of_host = _hits(hosts.select("host", suffixes(F.col("host")).alias("key")), ["host"], domains, "_domain_hits")
+    hosts = whole.filter("host is not null").select("host").distinct()
+    of_host = _hits(hosts.select("host", suffixes(F.col("host")).alias("key")), ["host"], domains, "domain_hits")
     with_prefix = by_path.select(F.split("value", "/")[0].alias("host")).distinct()
-    places = rows.select("host", "_path").join(with_prefix, "host", "left_semi").distinct()
-    of_path = _hits(places.select("host", "_path", prefixes(F.col("host"), F.col("_path")).alias("key")), ["host", "_path"], by_path, "_path_hits")
-    at = F.col(fetched).cast("timestamp")
+    places = whole.select("host", "path").join(with_prefix, "host", "left_semi").distinct()
+    of_path = _hits(places.select("host", "path", prefixes(F.col("host"), F.col("path")).alias("key")), ["host", "path"], by_path, "path_hits")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64(F.col(f"row.`{url}`"), "at"), F.lit(SALTS)).cast("int").alias("salt")
 
     def active(hits: str, kind: str) -> Column:
-        live = F.filter(hits, lambda h: (h["since"] <= at) & (h["until"].isNull() | (at < h["until"])))
+        live = F.filter(hits, lambda h: (h["since"] <= F.col("at")) & (h["until"].isNull() | (F.col("at") < h["until"])))
         best = F.array_max(live)
         return F.when(best.isNotNull(), F.struct(best["size"].alias("size"), F.lit(kind).alias("kind"), best["value"].alias("value"), best["category"].alias("category"), best["since"].alias("since")))
 
-    joined = rows.join(of_host, "host", "left").join(of_path, ["host", "_path"], "left")
-    best = F.greatest(active("_domain_hits", "domain"), active("_path_hits", "prefix"))
-    done = joined.withColumn("_best", best)
-    return done.select(
-        *[F.col(c) for c in captures.columns],
-        "host",
-        F.col("_best").isNotNull().alias("blocked"),
-        F.col("_best.kind").alias("list_kind"),
-        F.col("_best.value").alias("list_value"),
-        F.col("_best.category").alias("list_category"),
-        F.col("_best.since").alias("listed_since"),
-    )
+    salted = whole.select("*", salt)
+    joined = salted.join(of_host.select("*", salts), ["host", "salt"], "left").join(of_path.select("*", salts), ["host", "path", "salt"], "left")
+    best = F.greatest(active("domain_hits", "domain"), active("path_hits", "prefix"))
+    done = joined.select("row", "host", best.alias("best"))
+    verdict = {
+        "host": F.col("host"),
+        "blocked": F.col("best").isNotNull(),
+        "list_kind": F.col("best.kind"),
+        "list_value": F.col("best.value"),
+        "list_category": F.col("best.category"),
+        "listed_since": F.col("best.since"),
+    }
+    kept = [F.col(f"row.`{c}`") for c in captures.columns if c not in verdict]
+    return done.select(*kept, *[c.alias(name) for name, c in verdict.items()])

@@ -9,6 +9,8 @@ announced length and both digests agree. After a failed check the reader searche
 inflates to a version line (in plain archives: the next version line), goes on from there, and logs the bytes
 between as a quarantined gap with the reason.
 
+Archives are read through a window, so that a task holds one record (its compressed and its plain bytes) at a time.
+
 A null html is an empty payload. A null page_id never is the smallest; where all page_ids of a payload are
 null, all its records are responses. Rows that repeat the smallest page_id with its payload are all responses.
 A null or empty url gives a record without a target; control characters in a url are percent-encoded. Extra columns are ignored.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import store, texts
 
-#: An archive is closed beyond this size, so that a reader can hold one.
+#: An archive is closed beyond this size.
 ARCHIVE_BYTES = 64 << 20
 _ID_SPACE = 0x7061676573 << 80  # marks our record ids; the low 64 bits hold the page_id
 _NO_ID = 1 << 64
@@ -78,26 +80,57 @@ class Damaged(ValueError):
     pass
 
 
-def _parse(data: bytes) -> tuple[dict, int]:
-    """A checked record at the start of ``data``, and its length there."""
-    if not _VERSION.match(data):
+#: Bytes read at once from an archive, inflated at once, and of the longest record header.
+STEP, PART, HEADER = 1 << 20, 1 << 16, 1 << 20
+
+
+class Archive:
+    """Bytes of an archive at any place: of a file, or of an object in memory."""
+
+    def __init__(self, source, size: int | None = None):
+        self.source, self.size = source, len(source) if size is None else size
+        self.at, self.held = 0, b""
+
+    @classmethod
+    def open(cls, uri: str) -> Archive:
+        fs, path = store.filesystem(uri)
+        file = fs.open_input_file(path)
+        return cls(file, file.size())
+
+    def read(self, at: int, n: int) -> bytes:
+        if not hasattr(self.source, "read_at"):
+            return bytes(self.source[at : at + n])
+        n = max(0, min(n, self.size - at))
+        if not self.at <= at <= at + n <= self.at + len(self.held):
+            self.at, self.held = at, self.source.read_at(max(n, min(STEP, self.size - at)), at)
+        return self.held[at - self.at : at - self.at + n]
+
+
+def _parse(data: Archive, at: int = 0) -> tuple[dict, int]:
+    """A checked record at ``at``, and where it ends."""
+    top = data.read(at, 4096)
+    if not _VERSION.match(top):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = top.find(b"\r\n\r\n")
+    if end < 0:
+        top = data.read(at, HEADER)
+        end = top.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("header without end")
     fields = {}
-    for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in top[:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().lower()] = value.strip()
     length = fields.get("content-length", "")
-    if not length.isdigit():
+    if not (length.isascii() and length.isdigit()) or len(length) > 18:
         raise Damaged("no content length")
-    stop = end + 4 + int(length)
-    block = data[end + 4 : stop]
-    if len(block) < int(length) or data[stop : stop + 4] != b"\r\n\r\n":
+    start = at + end + 4
+    stop = start + int(length)
+    if stop + 4 > data.size or data.read(stop, 4) != b"\r\n\r\n":
         raise Damaged("block of another length")
+    block = data.read(start, int(length))
     kind = fields.get("warc-type", "")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1_32(block)}":
@@ -116,14 +149,14 @@ def _parse(data: bytes) -> tuple[dict, int]:
     return record, stop + 4
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
+def _member(data: Archive, at: int) -> tuple[bytes, int]:
     """The inflated gzip member at ``at`` and where it ends."""
     opener = zlib.decompressobj(31)
     out, step = [], at
     try:
         while not opener.eof:
-            part = data[step : step + (1 << 20)]
-            if not len(part):
+            part = data.read(step, PART)
+            if not part:
                 raise Damaged("truncated member")
             out.append(opener.decompress(part))
             step += len(part)
@@ -132,35 +165,34 @@ def _member(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(out), step - len(opener.unused_data)
 
 
-def _begins(data: memoryview, at: int) -> bool:
+def _begins(data: Archive, at: int) -> bool:
     """Whether a gzip member with a version line may begin here."""
     try:
-        return zlib.decompressobj(31).decompress(data[at : at + 4096], 16).startswith(b"WARC/1.")
+        return zlib.decompressobj(31).decompress(data.read(at, 4096), 16).startswith(b"WARC/1.")
     except zlib.error:
         return False
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, object, int, int]]:
-    """("record", record, start, end) and ("gap", reason, start, end) over a whole archive, in order."""
-    view, at, size = memoryview(data), 0, len(data)
+def salvage(source) -> Iterator[tuple[str, object, int, int]]:
+    """("record", record, start, end) and ("gap", reason, start, end) over a whole archive (or its bytes), in order."""
+    data = source if isinstance(source, Archive) else Archive(source)
+    at, size = 0, data.size
     gap, why = None, ""
     while at < size:
         try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                inner, end = _member(view, at)
-                record, used = _parse(inner)
+            if data.read(at, 3) == b"\x1f\x8b\x08":
+                inner, end = _member(data, at)
+                record, used = _parse(Archive(inner))
                 if used != len(inner):
                     raise Damaged("bytes behind the record")
             else:
-                stop = len(data) if not _VERSION.match(data, at) else None
-                if stop:
+                if not _VERSION.match(data.read(at, 16)):
                     raise Damaged("neither a member nor a version line")
-                record, used = _parse(data[at:])
-                end = at + used
+                record, end = _parse(data, at)
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = _next_start(data, view, at + 1)
+            at = _next_start(data, at + 1)
             continue
         if gap is not None:
             yield "gap", why, gap, at
@@ -171,30 +203,44 @@ def salvage(data: bytes) -> Iterator[tuple[str, object, int, int]]:
         yield "gap", why, gap, size
 
 
-def _next_start(data: bytes, view: memoryview, at: int) -> int:
-    """The next place where a member or a plain record may begin."""
-    plain = data.find(b"WARC/1.", at)
-    while plain > 0 and data[plain - 1 : plain] != b"\n":
-        plain = data.find(b"WARC/1.", plain + 1)
-    packed = data.find(b"\x1f\x8b\x08", at)
-    while packed >= 0 and (plain < 0 or packed < plain):
-        if _begins(view, packed):
-            return packed
-        packed = data.find(b"\x1f\x8b\x08", packed + 1)
-    return plain if plain >= 0 else len(data)
+def _next_start(data: Archive, at: int) -> int:
+    """The next place where a member or a plain record may begin: both marks are looked for window by window."""
+    while at < data.size:
+        part = data.read(at, STEP)
+        for mark in re.finditer(rb"\x1f\x8b\x08|WARC/1\.", part):
+            place = at + mark.start()
+            if mark[0][:1] == b"W":
+                if place and data.read(place - 1, 1) == b"\n" or not place:
+                    return place
+            elif _begins(data, place):
+                return place
+        at += max(1, len(part) - 6)
+    return data.size
 
 
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
+#: Payloads that occur twice or more are broadcast up to this number (about 100 bytes each), and joined by a shuffle beyond.
+BROADCAST_PAYLOADS = 200_000
+#: Parts of the rows of one payload in that shuffle.
+SALTS = 32
+
+
 def with_roles(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     """page_id, url, html and ``refers_to`` (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha1(F.encode(payload, "UTF-8")).alias("digest"), (F.octet_length(payload) >= min_payload).alias("counts"))
     shared = rows.filter("counts").groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
-    same = (rows["digest"] == shared["digest"]) & rows["counts"]
+    shared = store.materialise(shared.select("digest", "first_id", F.lit(True).alias("counts")), "payloads")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return rows.join(shared, same, "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    if shared.count() <= BROADCAST_PAYLOADS:
+        joined = rows.join(F.broadcast(shared), ["digest", "counts"], "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        parts = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", salt).join(parts, ["digest", "counts", "salt"], "left")
+    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, out_dir: str, min_payload: int = 0) -> list[str]:
@@ -236,7 +282,7 @@ def read_warc(spark, files: list[str]) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
-                for kind, what, start, stop in salvage(store.read_all(name)):
+                for kind, what, start, stop in salvage(Archive.open(name)):
                     if kind == "gap":
                         rows.append({"file": name, "start": start, "stop": stop, "gap": what})
                     else:

@@ -180,3 +180,92 @@ def test_language_query_on_odd_rows(spark):
     assert len(rows) == len(ODD) + 30 and {r["lang_pred"] for r in rows} <= {"en", "und"}
     nothing = docs.withColumn("lang", docs["lang"].substr(0, 0)).filter("lang is null")
     assert language.identify_language(nothing, language.fit_language(nothing, path)).count() == nothing.count()
+
+
+def test_long_runs_are_summed_whole(model):
+    """A run far beyond the scaling steps has the product form's logarithm: held against a plain sum in logarithms."""
+    weight = {p: model.weight[i] for i, p in enumerate(model.vocab)}
+    word = "derhausgarten" * 40 + "é" * 200
+    full, logs = "▁" + word, [np.zeros(len(model.languages))]
+    for e in range(1, len(full) + 1):
+        ways = []
+        for b in range(max(0, e - model.pieces.longest), e):
+            w = weight.get(full[b:e], model.weight[-1] if e - b == 1 else None)
+            if w is not None:
+                ways.append(logs[b] + np.log(w))
+        logs.append(np.logaddexp.reduce(ways, axis=0))
+    raw = np.frombuffer(word.encode(), np.uint8)
+    _, keys, spans, _, data = language._distinct(raw, np.array([0, len(raw)]))
+    assert np.allclose(model.word_logs(keys, spans, data)[0], logs[-1])
+
+
+# --- plain scorers -----------------------------------------------------------------------------------------------------
+
+
+def tokens_of(text):
+    return re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+|[!-/:-@\[-`{-~]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def span_hash(data):
+    return texts.span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0]
+
+
+def test_quality_equals_a_walk_of_every_token(labelled):
+    model = quality.SubwordModel.fit([(t, q) for _, t, q, _ in labelled[:120]], epochs=1)
+
+    def plain(text):
+        found, last = [], None
+        for token in tokens_of(text):
+            data = b"<" + (quality.SAME if token == last else token.encode()) + b">"
+            last = token
+            chars, bounds = len(data.decode()), [len(data.decode()[:k].encode()) for k in range(len(data.decode()) + 1)]
+            found.append(span_hash(data))
+            for n in quality.NGRAMS:
+                if chars > n:
+                    found += [span_hash(data[bounds[k] : bounds[k + n]]) for k in range(chars - n + 1)]
+        sums = [float(model.score[int(h % np.uint64(quality.BUCKETS))]) for h in found]
+        return 1 / (1 + np.exp(-(model.bias + (sum(sums) / len(sums) if sums else 0))))
+
+    some = [t for _, t, _, _ in labelled[:6]] + ["", "a a é!! Straße b-c", "x"]
+    assert np.allclose(model.predict(*column(some)), [plain(t) for t in some], atol=1e-6)
+
+
+def test_toxicity_equals_convolution_by_loops(labelled):
+    model = toxicity.ConvModel.fit([(t, x, None) for _, t, _, x in labelled[:200]], epochs=1)
+    place = {int(k): n + 2 for n, k in enumerate(model.keys)}
+
+    def number(token):
+        tries = [span_hash(token.encode())] + [span_hash(token[:n].encode()) ^ np.uint64(n) for n in toxicity.STEMS if len(token) > n]
+        return next((place[int(h)] for h in tries if int(h) in place), 1)
+
+    def plain(text):
+        ids, maxima, at = [number(t) for t in tokens_of(text)] + [0] * (toxicity.GAP + 1), [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                maxima.append(max(0, *(sum(float(model.table[ids[p + j], at + j, f]) for j in range(width)) for p in range(len(ids) - width + 1))))
+            at += width
+        return 1 / (1 + np.exp(-(np.dot(maxima, model.out) + model.bias)))
+
+    some = [t for _, t, _, _ in labelled[:8]] + ["", "idiot", "!!! morons é"]
+    assert np.allclose(model.predict(*column(some)), [plain(t) for t in some], atol=1e-4)
+
+
+def test_forest_equals_a_walk_of_each_tree():
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (300, 4))
+    forest = rules.IsolationForest.fit(x, trees=20, rows=64)
+
+    def path(row, t):
+        k = 1
+        while not forest.child[t, k]:
+            k = 2 * k + (row[forest.feature[t, k]] >= forest.split[t, k])
+        return forest.path[t, k]
+
+    want = [2 ** (-np.mean([path(row, t) for t in range(20)]) / forest.norm) for row in x]
+    assert np.allclose(forest.score(x), want)
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([(k, "x" * 100) for k in range(50)], "doc_id long, text string")
+    assert [r["doc_id"] for r in samples.bounded(rows, rows["doc_id"], 30, 1000)] == list(range(10))
+    assert len(samples.bounded(rows, rows["doc_id"], 30)) == 30

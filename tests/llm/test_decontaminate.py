@@ -73,3 +73,14 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert dc.contamination_report(d, b).first()["n_hit"] == 0
     assert dc.contamination_report(none, b).count() == 0
+
+
+def test_blocks_one_after_the_other(spark):
+    rng = random.Random(8)
+    texts_ = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    items = [(k, " ".join(texts_[k].split()[:20]) or None) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = dc.contamination_report(docs, bench), dc.contamination_report(docs, bench, block_bytes=64)
+    assert len(dc.test_blocks(bench, 64)) > 5
+    assert sorted(map(tuple, one.drop("item_ids").collect())) == sorted(map(tuple, many.drop("item_ids").collect()))

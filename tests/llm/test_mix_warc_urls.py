@@ -165,3 +165,72 @@ def test_as_of_lists(spark):
     assert {r["list_category"] for r in got if r["list_value"] == "tie.com"} == {"b"}
     none = entries.filter("kind = 'no'")
     assert not any(r["blocked"] for r in url_lists.apply_lists(spark.createDataFrame(rows, "page_id long, url string, fetched_at string, want string"), none).collect())
+
+
+def test_mix_of_repeated_rows(spark):
+    rows = [(7, "a b c d e", "x", k) for k in range(100)] + [(8, "w " * 1000, "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size int").repartition(3)
+    got = mixing.mix_report(docs, weights=(1.0, 3.2)).collect()
+    mine = [r for r in got if r["doc_id"] == 7]
+    target = mine[0]["target"]
+    assert len(got) == 101 and len(mine) == 100 and abs(sum(r["taken"] for r in mine) - target) < 5
+    assert max(r["taken"] for r in mine) <= 15
+    mixed = mixing.mix_documents(docs, weights=(1.0, 3.2))
+    assert mixed.columns == docs.columns and abs(5 * mixed.filter("source = 'x'").count() - target) < 5
+
+
+def test_fit_of_long_documents_is_the_best_sum():
+    lengths, counts = np.array([1000, 50000, 70000]), np.array([5, 1, 3])
+    assert (lengths * mixing.fit_lengths(lengths, counts, 150000)).sum() == 145000
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 70_000, 8))
+        counts = rng.integers(1, 30, len(lengths))
+        budget = int((lengths * counts).sum() * rng.uniform(0.05, 0.95))
+        taken = mixing.fit_lengths(lengths, counts, budget)
+        rest = budget - int((lengths * taken).sum())
+        assert 0 <= rest and (taken <= counts).all() and rest < lengths[taken < counts].min()
+
+
+def test_salvage_of_plain_archives_is_linear():
+    import time
+
+    record = gzip.decompress(warc.encode_record(1, "http://a", b"x" * 200, None))
+    took = []
+    for n in (4000, 16000):
+        start = time.time()
+        assert sum(k == "record" for k, *_ in warc.salvage(record * n)) == n
+        took.append(time.time() - start)
+    assert took[1] < 10 * took[0]
+
+
+def test_archive_files_are_read_through_a_window(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STEP", 700)
+    monkeypatch.setattr(warc, "PART", 100)
+    data = bytearray(b"".join(warc.encode_record(k, "http://a", bytes([65 + k]) * 900, None) for k in range(9)))
+    data[20:29] = b"?" * 9
+    (tmp_path / "a.warc.gz").write_bytes(bytes(data))
+    got = [(k, a, b) for k, _, a, b in warc.salvage(warc.Archive.open(f"file://{tmp_path}/a.warc.gz"))]
+    assert got == [(k, a, b) for k, _, a, b in warc.salvage(bytes(data))] and got[0][0] == "gap" and len(got) == 9
+
+
+def test_shared_payloads_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "same" if k % 3 else None) for k in range(30)], "page_id long, url string, html string")
+    want = {(r["page_id"], r["refers_to"]) for r in warc.with_roles(pages).collect()}
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
+    assert {(r["page_id"], r["refers_to"]) for r in warc.with_roles(pages).collect()} == want == {(k, None if k in (0, 1) else int(k % 3 > 0)) for k in range(30)}
+    empty = pages.filter("page_id < 0")
+    assert warc.read_warc(spark, warc.write_warc(empty, store.shared_dir(spark, "w"))).count() == 0
+
+
+def test_list_values_and_clashing_columns(spark):
+    entries = spark.createDataFrame([("prefix", "OK.org/Foo/", "c", "add", "2024-01-01"), ("domain", "Bad.COM.", "d", "add", "2024-01-01")], "kind string, value string, category string, action string, dated string")
+    urls = ["http://ok.org/Foo/x", "http://ok.org/foo/x", "http://OK.org./Foo", "http://a.bad.com/", "http://bad.com.:80/", None]
+    pages = spark.createDataFrame([(k, u, "2024-02-01 00:00:00", "mine", "p", "h") for k, u in enumerate(urls)], "page_id int, url string, fetched_at string, _path string, _best string, host string")
+    got = url_lists.apply_lists(pages, entries)
+    assert got.columns == ["page_id", "url", "fetched_at", "_path", "_best", "host", "blocked", "list_kind", "list_value", "list_category", "listed_since"]
+    rows = got.orderBy("page_id").collect()
+    assert [r["blocked"] for r in rows] == [True, False, True, True, True, False]
+    assert {r["_path"] for r in rows} == {"mine"} and [r["host"] for r in rows] == ["ok.org", "ok.org", "ok.org", "a.bad.com", "bad.com", None]
+    assert url_lists.apply_lists(pages.filter("page_id < 0"), entries).count() == 0
+    assert url_lists.apply_lists(pages, entries.filter("kind is null")).filter("blocked").count() == 0
