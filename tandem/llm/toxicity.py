@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 
 from . import quality, samples, texts
 
-SAMPLE = {1: 2500, 0: 3500}
+SAMPLE = {1: 1500, 0: 2500}
 #: A hash needs so many learning rows for an embedding of its own.
 LEAST_DOCS = 6
 DIMENSIONS = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-EPOCHS = 4
+EPOCHS = 3
 #: Embeddings move slower than filters, by this factor.
 EMBED_RATE = 0.05
 THRESHOLD = 0.3
