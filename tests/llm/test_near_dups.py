@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from tandem.llm import near_dups as nd
-from tandem.llm.components import components
 
 
 def distance(a, b):
@@ -223,8 +222,12 @@ def test_empty_table(spark):
     assert nd.near_duplicates(d).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [100_000, 5])
+def test_components(spark, monkeypatch, one_task):
+    from tandem.llm import components as comp
+
+    monkeypatch.setattr(comp, "ONE_TASK", one_task)
     links = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20), *[(100, 101 + k) for k in range(50)]]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["root"] for r in comp.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert len({got[k] for k in (1, 2, 3, 4)}) == 1 and len({got[k] for k in range(100, 151)}) == 1
     assert len(set(got.values())) == 3 and 20 not in got
