@@ -249,3 +249,15 @@ def stem(s: pd.Series) -> pd.Series:
     from .stemmer import stem_word
 
     return s.map(lambda w: None if w is None else stem_word(w))
+
+
+def clean_fields(df, cleaners: dict[str, Callable[[Column], Column]]):
+    """The rows with each named field cleaned by its own cleaner."""
+    return df.withColumns({f: clean(F.col(f)) for f, clean in cleaners.items()})
+
+
+def erased_counts(df, cleaners: dict[str, Callable[[Column], Column]]):
+    """(field, n, n_erased): of each field, how many texts are blank only after cleaning; one pass over the rows."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.trim(F.coalesce(clean(F.col(f)), F.lit(""))) == "").alias("blank"), (F.trim(F.coalesce(F.col(f), F.lit(""))) == "").alias("was")) for f, clean in cleaners.items()])
+    each = df.select(F.explode(cells).alias("c")).select("c.*")
+    return each.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("blank") & ~F.col("was")).alias("n_erased"))

@@ -66,3 +66,25 @@ def by_year(hits: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     j = anchors.select("anchor", F.year("creation_ts").alias("year"), F.month("creation_ts").alias("month")).join(hits, "anchor", "left")
     hit = F.coalesce(F.col("pos") <= k, F.lit(False))
     return j.groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_queries"), F.count_if(hit).alias("n_hits"), F.count_if(F.coalesce(F.col("pos") == 1, F.lit(False))).alias("n_first"))
+
+
+def label_counts(pairs: DataFrame) -> DataFrame:
+    """One row: positive and negative labels, and negatives for each positive."""
+    pos, neg = F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)
+    return pairs.agg(pos.alias("n_positive"), neg.alias("n_negative"), F.try_divide(neg, pos).alias("ratio"))
+
+
+def run_statistics(runs: DataFrame) -> DataFrame:
+    """(method, mean, std, n) over runs (method, run, value); the deviation is that of the runs themselves."""
+    return runs.groupBy("method").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def long_recall(runs: DataFrame) -> DataFrame:
+    """(method, run, k, rate) from an array of rates by k (from 1) in ``rates``."""
+    return runs.select("method", "run", F.posexplode("rates").alias("p", "rate")).select("method", "run", (F.col("p") + 1).alias("k"), "rate")
+
+
+def metric_rows(precision: Column, recall: Column, epsilon: float = EPSILON) -> Column:
+    """An array of (name, value) for a metric log, F1 with an epsilon in its divisor."""
+    f1 = 2 * precision * recall / (precision + recall + epsilon)
+    return F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in (("precision", precision), ("recall", recall), ("f1", f1))])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import STEPS, draw
+
 
 def pair_key(a: Column, b: Column) -> Column:
     """Key of an unordered pair, in numeric order."""
@@ -38,7 +40,7 @@ def random_negatives(anchors: DataFrame, reports: DataFrame, per_anchor: int, se
     n = reports.count()
     places = dense_places(reports.select("bug_id", "root")).withColumnsRenamed({"bug_id": "bug2", "root": "root2"})
     draws = anchors.select(F.col("bug_id").alias("bug1"), F.col("root").alias("root1"), F.posexplode(F.array_repeat(F.lit(0), per_anchor + extra)).alias("i", "_"))
-    draws = draws.withColumn("place", F.pmod(F.xxhash64("bug1", "i", F.lit(seed)), F.lit(n)))
+    draws = draws.withColumn("place", F.pmod(draw("bug1", "i", seed=seed), F.lit(n)))
     found = draws.join(places, "place").filter("root1 <> root2")
     key = pair_key(F.col("bug1"), F.col("bug2"))
     once = found.withColumn("key", key).withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("i", "bug1"))).filter("_k = 1")
@@ -64,7 +66,7 @@ def non_zero_loss(anchors: DataFrame, reports: DataFrame, score, per_anchor: int
 def shrink_to_rate(positives: DataFrame, n_negatives: int, rate: float, seed: int = 0) -> DataFrame:
     """At most n_negatives / rate positives, by hash order, so that the rate holds."""
     most = int(n_negatives / rate)
-    return positives.orderBy(F.xxhash64("bug1", "bug2", F.lit(seed)), "bug1", "bug2").limit(most)
+    return positives.orderBy(draw("bug1", "bug2", seed=seed), "bug1", "bug2").limit(most)
 
 
 def product_mix_negatives(anchors: DataFrame, reports: DataFrame, per_anchor: int, seed: int = 0) -> DataFrame:
@@ -73,10 +75,10 @@ def product_mix_negatives(anchors: DataFrame, reports: DataFrame, per_anchor: in
     sized = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     places = dense_places(keyed, ("key",)).withColumnsRenamed({"bug_id": "bug2", "root": "root2"})
     draws = anchors.select("bug_id", "root", "product", "component", F.posexplode(F.array_repeat(F.lit(0), per_anchor)).alias("i", "_"))
-    third = F.pmod(F.xxhash64("bug_id", "i", F.lit(seed + 1)), F.lit(3))
+    third = F.pmod(draw("bug_id", "i", seed=seed + 1), F.lit(3))
     key = F.when(third == 0, "*").when(third == 1, F.concat(F.lit("p|"), "product")).otherwise(F.concat_ws("|", F.lit("c"), "product", F.col("component").cast("string")))
     draws = draws.select(F.col("bug_id").alias("bug1"), F.col("root").alias("root1"), "i", key.alias("key")).join(sized, "key")
-    draws = draws.withColumn("place", F.pmod(F.xxhash64("bug1", "i", F.lit(seed + 2)), F.col("n")))
+    draws = draws.withColumn("place", F.pmod(draw("bug1", "i", seed=seed + 2), F.col("n")))
     found = draws.join(places, ["key", "place"]).filter("root1 <> root2")
     return found.select("bug1", "bug2", F.substring("key", 1, 1).alias("level")).distinct()
 
@@ -84,7 +86,7 @@ def product_mix_negatives(anchors: DataFrame, reports: DataFrame, per_anchor: in
 def preranked_draw(anchors: DataFrame, ranked: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """One negative of each anchor, drawn from the first ``most`` of its list; ranked: anchor, rank, cand."""
     size = ranked.filter(F.col("rank") <= most).groupBy("anchor").agg(F.max("rank").alias("n"))
-    want = anchors.select("anchor").join(size, "anchor").withColumn("rank", (F.pmod(F.xxhash64("anchor", F.lit(seed)), F.col("n")) + 1).cast("int"))
+    want = anchors.select("anchor").join(size, "anchor").withColumn("rank", (F.pmod(draw("anchor", seed=seed), F.col("n")) + 1).cast("int"))
     return want.join(ranked, ["anchor", "rank"]).select("anchor", "cand", "rank")
 
 
@@ -94,7 +96,7 @@ def mixture(parts: list[tuple[DataFrame, float]], seed: int = 0) -> DataFrame:
         raise ValueError("rates must sum to 1")
     out = None
     for k, (df, rate) in enumerate(parts):
-        kept = df.filter(F.pmod(F.xxhash64("bug1", "bug2", F.lit(seed + k)), F.lit(1 << 20)) < int(rate * (1 << 20))).withColumn("generator", F.lit(k))
+        kept = df.filter(F.pmod(draw("bug1", "bug2", seed=seed + k), F.lit(STEPS)) < int(rate * STEPS)).withColumn("generator", F.lit(k))
         out = kept if out is None else out.unionByName(kept)
     return out
 
@@ -113,5 +115,53 @@ def cross_split_pairs(pairs: DataFrame, ignore_positive: bool = False) -> DataFr
 
 
 def random_inversion(pairs: DataFrame, seed: int = 0, share: float = 0.5) -> DataFrame:
-    swap = F.pmod(F.xxhash64("bug1", "bug2", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+    swap = F.pmod(draw("bug1", "bug2", seed=seed), F.lit(STEPS)) < int(share * STEPS)
     return pairs.withColumns({"bug1": F.when(swap, F.col("bug2")).otherwise(F.col("bug1")), "bug2": F.when(swap, F.col("bug1")).otherwise(F.col("bug2"))})
+
+
+def unseen_master_negatives(anchors: DataFrame, masters: DataFrame, used: DataFrame, per_anchor: int, seed: int = 0) -> DataFrame:
+    """(bug1, bug2, label): draws among the masters, no key of ``used`` (key) and no key twice; sets are not compared.
+
+    ``anchors`` and ``masters``: bug_id. What repeats a key is left out, not drawn again."""
+    n = masters.count()
+    places = dense_places(masters.select("bug_id")).withColumnRenamed("bug_id", "bug2")
+    draws = anchors.select(F.col("bug_id").alias("bug1"), F.explode(F.sequence(F.lit(0), F.lit(per_anchor - 1))).alias("i"))
+    found = draws.withColumn("place", F.pmod(draw("bug1", "i", seed=seed), F.lit(n))).join(places, "place").filter("bug1 <> bug2")
+    keyed = found.withColumn("key", pair_key(F.col("bug1"), F.col("bug2"))).join(used, "key", "left_anti")
+    once = keyed.groupBy("key").agg(F.min(F.struct("bug1", "i", "bug2")).alias("r"))
+    return once.select("r.bug1", "r.bug2", F.lit(0).alias("label"))
+
+
+def half_anchored_negatives(reports: DataFrame, duplicates: DataFrame, total: int, seed: int = 0) -> DataFrame:
+    """(bug1, bug2, origin): half of ``total`` draws pair two random reports, half a random duplicate with a random
+    report; pairs of one set and repeats are left out. ``reports``: bug_id, root; ``duplicates``: bug_id, root."""
+    n, d = reports.count(), duplicates.count()
+    to = dense_places(reports.select("bug_id", "root"))
+    dup = dense_places(duplicates.select("bug_id", "root"))
+    spark = reports.sparkSession
+
+    def half(origin: str, left: DataFrame, size: int, count: int, shift: int) -> DataFrame:
+        draws = spark.range(count).select("id", F.pmod(draw("id", seed=seed + shift), F.lit(max(1, size))).alias("p1"), F.pmod(draw("id", seed=seed + shift + 1), F.lit(max(1, n))).alias("p2"))
+        a = left.select(F.col("place").alias("p1"), F.col("bug_id").alias("bug1"), F.col("root").alias("root1"))
+        b = to.select(F.col("place").alias("p2"), F.col("bug_id").alias("bug2"), F.col("root").alias("root2"))
+        found = draws.join(a, "p1").join(b, "p2").filter("root1 <> root2")
+        return found.select("bug1", "bug2", F.lit(origin).alias("origin"))
+
+    both = half("random", to, n, total - total // 2, 1).unionByName(half("duplicate", dup, d, total // 2, 3))
+    once = both.groupBy(F.least("bug1", "bug2").alias("lo"), F.greatest("bug1", "bug2").alias("hi")).agg(F.min(F.struct("origin", "bug1", "bug2")).alias("r"))
+    return once.select("r.bug1", "r.bug2", "r.origin")
+
+
+def best_of_random(drawn: DataFrame, score: Column, keep: int) -> DataFrame:
+    """Of each anchor's random negatives (bug1, bug2) the ``keep`` with the highest score, ties to the smaller id."""
+    scored = drawn.withColumn("score", score)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("bug1").orderBy(F.desc("score"), "bug2"))).filter(F.col("rank") <= keep).select("bug1", "bug2", "score", "rank")
+
+
+def preranked_non_zero(ranked: DataFrame, loss: Column, n_pairs: int) -> DataFrame:
+    """From ranked lists (anchor, rank, cand and what ``loss`` reads): each anchor's first ceil(n_pairs / anchors)
+    candidates whose loss is above zero, in list order."""
+    anchors = ranked.select("anchor").distinct().count()
+    quota = -(-n_pairs // max(1, anchors))
+    hit = ranked.withColumn("loss", loss).filter("loss > 0")
+    return hit.withColumn("nth", F.row_number().over(Window.partitionBy("anchor").orderBy("rank"))).filter(F.col("nth") <= quota).select("anchor", "cand", "rank", "loss")

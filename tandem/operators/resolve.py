@@ -10,15 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's shared folder (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tandem-"))
-    return df.checkpoint()
+from ..sources.shared import cut_lineage
 
 
 def first_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:

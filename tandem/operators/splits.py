@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
+
 ORDER = ("creation_ts", "bug_id")
 
 
@@ -64,4 +66,4 @@ def carve_validation_by_date(flagged: DataFrame, date: str) -> DataFrame:
 
 def folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Fold number by hash."""
-    return df.withColumn("fold", F.pmod(F.xxhash64("bug_id", F.lit(seed)), F.lit(k)))
+    return df.withColumn("fold", F.pmod(draw("bug_id", seed=seed), F.lit(k)))
