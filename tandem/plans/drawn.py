@@ -18,7 +18,8 @@ def random_sql(per: int, seed: int = 0, extra: int = 3, name: str = "rn") -> str
     """CTEs that end in ``name`` (bug1, bug2, label): distinct random pairs of different sets."""
     return f"""{name}_dr AS (SELECT bug_id AS bug1, root AS root1, i FROM fl, range({per + extra}) t(i) WHERE is_dup),
 {name}_pl AS (SELECT bug_id AS bug2, root AS root2, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM re),
-{name}_fo AS (SELECT bug1, i, bug2 FROM {name}_dr JOIN {name}_pl ON place = {draw_sql('bug1', 'i', seed=seed)} % (SELECT count(*) FROM re) WHERE root1 <> root2),
+{name}_at AS (SELECT *, {draw_sql('bug1', 'i', seed=seed)} % (SELECT count(*) FROM re) AS place FROM {name}_dr),
+{name}_fo AS (SELECT bug1, i, bug2 FROM {name}_at JOIN {name}_pl USING (place) WHERE root1 <> root2),
 {name}_on AS (SELECT *, row_number() OVER (PARTITION BY least(bug1, bug2), greatest(bug1, bug2) ORDER BY i, bug1) AS k FROM {name}_fo),
 {name}_nn AS (SELECT bug1, bug2, row_number() OVER (PARTITION BY bug1 ORDER BY i) AS nn FROM {name}_on WHERE k = 1),
 {name} AS (SELECT bug1, bug2, 0 AS label FROM {name}_nn WHERE nn <= {per})"""
@@ -46,7 +47,8 @@ def _events(spark, sf_dir):
 
 @query(f"""WITH {FLAGGED}, ma AS (SELECT bug_id AS bug2, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM fl WHERE NOT is_dup),
 us AS (SELECT DISTINCT least(bug_id, dup_id) || '|' || greatest(bug_id, dup_id) AS key FROM fl WHERE dup_id IS NOT NULL),
-fo AS (SELECT d.bug_id AS bug1, i, bug2 FROM fl d, range(2) t(i), ma WHERE d.is_dup AND ma.place = {draw_sql('d.bug_id', 'i', seed=3)} % (SELECT count(*) FROM ma)),
+dr AS (SELECT d.bug_id AS bug1, i, {draw_sql('d.bug_id', 'i', seed=3)} % (SELECT count(*) FROM ma) AS place FROM fl d, range(2) t(i) WHERE d.is_dup),
+fo AS (SELECT bug1, i, bug2 FROM dr JOIN ma USING (place)),
 kk AS (SELECT *, least(bug1, bug2) || '|' || greatest(bug1, bug2) AS key FROM fo WHERE bug1 <> bug2)
 SELECT bug1, bug2, 0 AS label FROM kk WHERE key NOT IN (SELECT key FROM us) QUALIFY row_number() OVER (PARTITION BY key ORDER BY bug1, i) = 1""")
 def master_negatives(spark, sf_dir):
@@ -57,8 +59,9 @@ def master_negatives(spark, sf_dir):
 
 
 def _half_sql(origin: str, left: str, count: int, shift: int) -> str:
-    return f"""SELECT a.bug_id AS bug1, b.bug_id AS bug2, '{origin}' AS origin FROM range({count}) t(id)
-JOIN {left} a ON a.place = {draw_sql('id', seed=shift)} % (SELECT count(*) FROM {left}) JOIN ap b ON b.place = {draw_sql('id', seed=shift + 1)} % (SELECT count(*) FROM ap) WHERE a.root <> b.root"""
+    places = f"{draw_sql('id', seed=shift)} % (SELECT count(*) FROM {left}) AS p1, {draw_sql('id', seed=shift + 1)} % (SELECT count(*) FROM ap) AS p2"
+    return f"""SELECT a.bug_id AS bug1, b.bug_id AS bug2, '{origin}' AS origin FROM (SELECT {places} FROM range({count}) t(id)) d
+JOIN {left} a ON a.place = d.p1 JOIN ap b ON b.place = d.p2 WHERE a.root <> b.root"""
 
 
 @query(f"""WITH {FLAGGED}, ap AS (SELECT bug_id, root, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM re),
