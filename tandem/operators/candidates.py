@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
+from . import splits
+from .pairs import dense_places
+
 #: A query side of at most so many rows may be broadcast; a larger one is joined in blocks.
 BROADCAST_ROWS = 200_000
 BLOCKS = 64
@@ -64,10 +68,15 @@ def deshmukh_candidates(anchors: DataFrame, reports: DataFrame) -> DataFrame:
 def preselect(anchors: DataFrame, reports: DataFrame, n: int, only_masters: bool = False) -> DataFrame:
     """(anchor, pos, cand): the newest n reports before each anchor, newest first; if no true duplicate is
     among them, the newest earlier member of the anchor's set takes the last place."""
-    pool = reports.filter("bug_id = root") if only_masters else reports
-    found = _theta(anchors, pool, precedes()).select(F.col("a.bug_id").alias("anchor"), F.col("a.root").alias("own"), F.col("c.bug_id").alias("cand"), F.col("c.root").alias("root"), F.col("c.creation_ts").alias("ts"))
-    newest = Window.partitionBy("anchor").orderBy(F.desc("ts"), F.desc("cand"))
-    top = found.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= n).withColumn("true", (F.col("root") == F.col("own")).cast("int"))
+    # places in the order of time and id, so that the newest n before an anchor are a range of places
+    pool = F.col("bug_id") == F.col("root") if only_masters else F.lit(True)
+    counted = splits.running_count(reports.withColumn("pool", pool), F.col("pool"), "upto")
+    place = counted.filter("pool").select(F.col("upto").alias("place"), F.col("bug_id").alias("cand"), "root")
+    mine = counted.select("bug_id", (F.col("upto") - F.col("pool").cast("long")).alias("before"))
+    wanted = anchors.select("bug_id", F.col("root").alias("own")).join(mine, "bug_id").filter("before > 0")
+    wanted = wanted.select(F.col("bug_id").alias("anchor"), "own", "before", F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - n + 1), F.col("before"))).alias("place"))
+    found = wanted.join(place, "place")
+    top = found.withColumn("pos", (F.col("before") - F.col("place") + 1).cast("int")).withColumn("true", (F.col("root") == F.col("own")).cast("int"))
     lists = top.withColumn("any", F.max("true").over(Window.partitionBy("anchor"))).withColumn("size", F.max("pos").over(Window.partitionBy("anchor")))
     a, c = anchors.alias("a"), reports.alias("c")
     own = c.join(a, (F.col("c.root") == F.col("a.root")) & precedes()).groupBy(F.col("a.bug_id").alias("anchor")).agg(F.max(F.struct("c.creation_ts", "c.bug_id"))["bug_id"].alias("sure"))
@@ -80,6 +89,24 @@ def tuning_candidates(anchors: DataFrame, reports: DataFrame, n: int) -> DataFra
     """(anchor, cand, is_dup): all members of the anchor's set with smaller ids, and the n nearest smaller ids outside it."""
     a, c = anchors.alias("a"), reports.alias("c")
     own = c.join(a, (F.col("c.root") == F.col("a.root")) & (F.col("c.bug_id") < F.col("a.bug_id"))).select(F.col("a.bug_id").alias("anchor"), F.col("c.bug_id").alias("cand"), F.lit(True).alias("is_dup"))
-    other = _theta(anchors, reports, (F.col("c.bug_id") < F.col("a.bug_id")) & (F.col("c.root") != F.col("a.root"))).select(F.col("a.bug_id").alias("anchor"), F.col("c.bug_id").alias("cand"))
+    # n others lie among the n and as many ids before the anchor as its set has smaller ids
+    placed = dense_places(reports.select("bug_id", "root"))
+    smaller = own.groupBy("anchor").agg(F.count(F.lit(1)).alias("smaller"))
+    at = anchors.select(F.col("bug_id").alias("anchor"), F.col("root").alias("own")).join(placed.select(F.col("bug_id").alias("anchor"), F.col("place").alias("mine")), "anchor").join(smaller, "anchor", "left")
+    first = F.greatest(F.lit(0), F.col("mine") - n - F.coalesce("smaller", F.lit(0)))
+    wanted = at.filter("mine > 0").select("anchor", "own", F.explode(F.sequence(first, F.col("mine") - 1)).alias("place"))
+    other = wanted.join(placed.select("place", F.col("bug_id").alias("cand"), "root"), "place").filter("root <> own").select("anchor", "cand")
     near = other.withColumn("_n", F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("cand")))).filter(F.col("_n") <= n)
     return own.unionByName(near.select("anchor", "cand", F.lit(False).alias("is_dup")))
+
+
+def random_preselect(anchors: DataFrame, reports: DataFrame, n: int, by_date: bool = False, seed: int = 0) -> DataFrame:
+    """(anchor, pos, cand): n draws among the reports before each anchor, each report once, in the order of the draws or,
+    ``by_date``, newest first."""
+    counted = splits.running_count(reports.select("bug_id", "creation_ts"), F.lit(True), "place")
+    at = anchors.select(F.col("bug_id").alias("anchor")).join(counted.select(F.col("bug_id").alias("anchor"), (F.col("place") - 1).alias("before")), "anchor").filter("before > 0")
+    draws = at.select("anchor", "before", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    draws = draws.withColumn("place", F.pmod(draw("anchor", "i", seed=seed), F.col("before")) + 1).groupBy("anchor", "place").agg(F.min("i").alias("i"))
+    found = draws.join(counted.select("place", F.col("bug_id").alias("cand")), "place")
+    order = F.desc("place") if by_date else F.asc("i")
+    return found.withColumn("pos", F.row_number().over(Window.partitionBy("anchor").orderBy(order))).select("anchor", "pos", "cand")

@@ -5,6 +5,8 @@ A postings table has a row for each (bug_id, field, n, token) with ``tf``; field
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ def relative_tf(post: DataFrame) -> DataFrame:
     return post.withColumn("rtf", F.col("tf") / F.sum("tf").over(w))
 
 
+def doc_freq_of(reports: DataFrame, tokenize: Callable[[Column], Column], sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(n, token, df) straight from the reports: a report's distinct tokens are taken before they become rows, so
+    only partial counts are shuffled."""
+    fields = [tx.or_empty_token(tokenize(F.coalesce(c, F.lit("")))) for c in ("short_desc", "description")]
+    both = reports.select(F.array(*fields).alias("fields"))
+
+    def grams(n: int) -> Column:
+        each = F.flatten(F.transform("fields", lambda t: tx.ngrams(t, n)))
+        return F.transform(F.array_distinct(each), lambda t: F.struct(F.lit(n).alias("n"), t.alias("token")))
+
+    every = both.select(F.inline(F.flatten(F.array(*[grams(n) for n in sizes]))))
+    return every.groupBy("n", "token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def doc_freq(post: DataFrame) -> DataFrame:
     """(n, token, df) over both fields: a report counts once for a token."""
     return post.groupBy("n", "token", "bug_id").agg(F.lit(1).alias("_")).groupBy("n", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -48,16 +64,25 @@ def average_lengths(post: DataFrame) -> DataFrame:
     return field_lengths(post).groupBy("field", "n").agg(F.avg("len").alias("avg_len"))
 
 
-def tfidf(tf: DataFrame, n_docs: int, binary: bool = False, max_features: int | None = None) -> DataFrame:
-    """(bug_id, token, w): smoothed TF-IDF of unit length; ``tf`` has bug_id, token, tf."""
+def fit_tfidf(tf: DataFrame, max_features: int | None = None) -> DataFrame:
+    """(token, df) of the tokens, or of the most frequent ones; ``tf`` has bug_id, token, tf."""
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if max_features:
         df = df.orderBy(F.desc("total"), "token").limit(max_features)
+    return df.select("token", "df")
+
+
+def transform_tfidf(tf: DataFrame, fitted: DataFrame, n_docs: int, binary: bool = False) -> DataFrame:
+    """(bug_id, token, w): smoothed TF-IDF of unit length over fitted tokens; ``binary`` counts a token once."""
     weight = (F.lit(1.0) if binary else F.col("tf")) * (F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
-    raw = tf.join(df, "token").select("bug_id", "token", weight.alias("w"))
+    raw = tf.join(fitted, "token").select("bug_id", "token", weight.alias("w"))
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("bug_id"))))
 
 
+def tfidf(tf: DataFrame, n_docs: int, binary: bool = False, max_features: int | None = None) -> DataFrame:
+    return transform_tfidf(tf, fit_tfidf(tf, max_features), n_docs, binary)
+
+
 def vocabulary(post: DataFrame, least: int = 2) -> DataFrame:
     """(token, cnt) of tokens that stand ``least`` times or more."""
     return post.groupBy("token").agg(F.sum("tf").alias("cnt")).filter(F.col("cnt") >= least)
@@ -93,6 +118,15 @@ def categorical_values(reports: DataFrame, fields: list[str]) -> DataFrame:
     return values.withColumn("code", F.row_number().over(Window.partitionBy("field").orderBy("value")))
 
 
+def encode_categories(reports: DataFrame, lex: DataFrame, fields: list[str]) -> DataFrame:
+    """The fields' codes in place of their values, 0 for values that the lexicon (field, value, code) lacks."""
+    out = reports
+    for f in fields:
+        own = lex.filter(F.col("field") == f).select(F.col("value").alias("_value"), F.col("code").cast("long").alias("_code"))
+        out = out.join(own, F.lower(F.col(f).cast("string")) == F.col("_value"), "left").withColumn(f, F.coalesce("_code", F.lit(0).cast("long"))).drop("_value", "_code")
+    return out
+
+
 def sorted_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     """Place of each value among the sorted distinct values, from 0; the distinct values are ranked, not the rows."""
     codes = df.select(col).distinct().withColumn(name, F.row_number().over(Window.orderBy(col)) - 1)

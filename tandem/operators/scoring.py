@@ -45,8 +45,8 @@ def cosine_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
 def bm25f_terms(post: DataFrame) -> DataFrame:
     """(bug_id, n, token, tf_sum, tf_desc, len_sum, len_desc): both fields of a token side by side."""
     both = post.groupBy("bug_id", "n", "token").agg(*[F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).alias(f"tf_{f}") for f in ("sum", "desc")])
-    lengths = post.groupBy("bug_id", "n").agg(*[F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).alias(f"len_{f}") for f in ("sum", "desc")])
-    return both.join(lengths, ["bug_id", "n"])
+    own = Window.partitionBy("bug_id", "n")  # the tokens of one report
+    return both.withColumns({f"len_{f}": F.sum(f"tf_{f}").over(own) for f in ("sum", "desc")})
 
 
 def bm25f_ext(queries: DataFrame, docs: DataFrame, idf: DataFrame, averages: DataFrame, uni: Bm25fWeights = Bm25fWeights(), bi: Bm25fWeights = Bm25fWeights(), w_uni: float = 0.9, w_bi: float = 0.2, same: bool = False) -> DataFrame:
@@ -109,6 +109,44 @@ def shared_idf_features(pairs: DataFrame, bags: DataFrame, idfs: DataFrame) -> D
     return sums
 
 
+def three_bags(post: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """The bags of a report (either field's tokens, and both fields' together) and an idf for each of these bags."""
+    rows = post.select("bug_id", F.explode(F.array("field", F.lit("both"))).alias("bag"), "n", "token").distinct()
+    idfs = rows.groupBy(F.col("bag").alias("idf_name"), "n", "token").agg(F.log2(F.lit(float(n_docs)) / F.count(F.lit(1))).alias("idf"))
+    return rows, idfs
+
+
+#: Names of the bags, in the order of the features.
+BAGS = ("sum", "desc", "both")
+
+
+def wide_features(pairs: DataFrame, sums: DataFrame) -> DataFrame:
+    """The pairs with ``features``: 54 numbers, unigram sums and unigram-and-bigram sums of every two bags and idf; 0 where
+    no token is shared."""
+    cells = [(x, y, z) for x in BAGS for y in BAGS for z in BAGS]
+
+    def cell(x: str, y: str, z: str, value: str) -> Column:
+        mine = (F.col("bag_a") == x) & (F.col("bag_b") == y) & (F.col("idf_name") == z)
+        return F.sum(F.when(mine, F.col(value)).otherwise(0.0))
+
+    every = [cell(*c, v) for c in cells for v in ("uni", "uni_bi")]
+    rows = sums.groupBy("a", "b").agg(F.array(*every).alias("features"))
+    none = F.array_repeat(F.lit(0.0), 2 * len(cells))
+    return pairs.join(rows, ["a", "b"], "left").withColumn("features", F.coalesce("features", none))
+
+
+def svm_predictions(rows: DataFrame, max_iter: int = 50) -> DataFrame:
+    """(a, b, label, prediction): learned on all rows (label 1 or other) after standardising the features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    given = rows.select("a", "b", "label", (F.col("label") == 1).cast("double").alias("y"), array_to_vector("features").alias("raw"))
+    steps = Pipeline(stages=[StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="scaled"), LinearSVC(maxIter=max_iter, featuresCol="scaled", labelCol="y")])
+    return steps.fit(given).transform(given).select("a", "b", "label", F.col("prediction").cast("int").alias("prediction"))
+
+
 # --- losses ------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.draws import STEPS, draw_sql
-from ..operators import metrics, pairs, splits
+from ..operators import candidates, metrics, pairs, splits
 from ..sources.views import DOC_REPORTS, EVENT_REPORTS, doc_reports, event_reports, table
 from .entity import FLAGGED, flagged_events
 from .registry import SQL, query
@@ -137,3 +137,24 @@ SELECT unnest(['precision', 'recall', 'f1']) AS name, round(unnest([p, r, 2 * p
 def metric_log(spark, sf_dir):
     m = metrics.binary_metrics(table(spark, sf_dir, "labels"), "quality", "toxic")
     return m.select(F.inline(metrics.metric_rows(F.col("precision"), F.col("recall")))).select("name", F.round("value", 9).alias("value"))
+
+
+_PRESELECT = f"""WITH {EVENT_REPORTS}, pl AS (SELECT bug_id, row_number() OVER (ORDER BY creation_ts, bug_id) AS place FROM re),
+dr AS (SELECT bug_id AS anchor, {draw_sql('bug_id', 'i')} % (place - 1) + 1 AS place, i FROM pl, range(10) t(i) WHERE place > 1), once AS (SELECT anchor, place, min(i) AS i FROM dr GROUP BY 1, 2)
+SELECT anchor, row_number() OVER (PARTITION BY anchor ORDER BY {{order}}) AS pos, bug_id AS cand FROM once JOIN pl USING (place)"""
+
+
+def _preselected(spark, sf_dir, by_date: bool):
+    r = event_reports(spark, sf_dir).select("bug_id", "creation_ts")
+    out = candidates.random_preselect(r, r, 10, by_date)
+    return out.select("anchor", F.col("pos").cast("long").alias("pos"), "cand")
+
+
+@query(_PRESELECT.format(order="i"))
+def preselect_random(spark, sf_dir):
+    return _preselected(spark, sf_dir, False)
+
+
+@query(_PRESELECT.format(order="place DESC"))
+def preselect_random_by_date(spark, sf_dir):
+    return _preselected(spark, sf_dir, True)

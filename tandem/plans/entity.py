@@ -333,11 +333,15 @@ def sorted_codes(spark, sf_dir):
     return features.sorted_codes(order_reports(spark, sf_dir), "priority", "code").select("bug_id", F.col("code").cast("long").alias("code"))
 
 
-@query(f"WITH {EVENT_REPORTS} SELECT bug_id, CASE product WHEN 'click' THEN 1 ELSE 0 END AS known, day FROM re")
+@query(f"""WITH {EVENT_REPORTS}, tr AS (SELECT * FROM re WHERE bug_id % 3 > 0), p AS (SELECT v, row_number() OVER (ORDER BY v) AS code FROM (SELECT DISTINCT lower(product) AS v FROM tr WHERE product <> 'click')), c AS (SELECT v, row_number() OVER (ORDER BY v) AS code FROM (SELECT DISTINCT CAST(component AS VARCHAR) AS v FROM tr)),
+  y AS (SELECT v, row_number() OVER (ORDER BY v) AS code FROM (SELECT DISTINCT CAST(priority AS VARCHAR) AS v FROM tr))
+  SELECT bug_id, coalesce(p.code, 0) AS product, coalesce(c.code, 0) AS component, coalesce(y.code, 0) AS priority, day FROM re LEFT JOIN p ON p.v = lower(product) LEFT JOIN c ON c.v = CAST(component AS VARCHAR) LEFT JOIN y ON y.v = CAST(priority AS VARCHAR)""")
 def categorical_encode(spark, sf_dir):
+    """Codes of a lexicon fitted on two thirds of the reports, without one of the products, which is then unknown (0)."""
     r = event_reports(spark, sf_dir)
-    lex = spark.sql("SELECT 'click' AS product, 1 AS code")
-    return r.join(lex, "product", "left").select("bug_id", F.coalesce("code", F.lit(0)).alias("known"), "day")
+    fields = ["product", "component", "priority"]
+    seen = r.filter("bug_id % 3 > 0").withColumn("product", F.when(F.col("product") != "click", F.col("product")))
+    return features.encode_categories(r, features.categorical_values(seen, fields), fields).select("bug_id", *fields, "day")
 
 
 @query("SELECT event_type AS token, CAST(min(event_id) AS BIGINT) AS first_seen, dense_rank() OVER (ORDER BY min(event_id)) - 1 AS token_id FROM events GROUP BY event_type")

@@ -115,11 +115,11 @@ def term_blocks(spark, sf_dir):
     return rp.block_postings(rp.read_blocks(spark, path, 5000))
 
 
-@query("SELECT * FROM (VALUES ('k1_unigram', 1.5), ('k1_bigram', 2.0), ('k3_unigram', 0.1), ('w_component', 2.28), ('total_weight_unigram', 0.9)) t(name, value)")
+@query("SELECT * FROM (VALUES ('unigram', 'total weight', 0.9), ('unigram', 'k1', 1.5), ('unigram', 'k3', 0.1), ('bigram', 'k1', 2.0), ('bigram', 'component weight', 2.28)) t(section, label, value)")
 def weight_file(spark, sf_dir):
     """A weight file of two sections (its text is the fixture)."""
     text = "[unigram] BM25F Parameter\n[total weight] = 0.9\n[k1, x] = 1.5\n[k3, x] = 0.1\n[bigram] BM25F Parameter\n[k1, x] = 2.0\n[component weight] = 2.28\n"
-    return spark.createDataFrame(sorted(rp.parse_weights(text).items()), "name string, value double")
+    return spark.createDataFrame(rp.read_weights(text), "section string, label string, value double")
 
 
 def _ranked(spark, sf_dir):

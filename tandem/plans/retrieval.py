@@ -315,13 +315,13 @@ def jensen_shannon(spark, sf_dir):
     return j.select(F.col("a.bug_id").alias("anchor"), F.col("c.bug_id").alias("cand"), F.round(vx.jensen_shannon(F.col("qp"), F.col("p")), 6).alias("js"))
 
 
-@query("SELECT vec_id, label FROM embeddings")
+@query("SELECT vec_id, CASE WHEN label < 5 THEN label ELSE label + 100 END AS label FROM embeddings")
 def merge_vectors(spark, sf_dir):
     from ..sources.reports import merge_vectors as merge
 
     e, _ = _vectors(spark, sf_dir)
     main = e.filter("label < 5").select("vec_id", "label")
-    return merge(main, e.select("vec_id", "label"), "vec_id")
+    return merge(main, e.select("vec_id", (F.col("label") + 100).alias("label")), "vec_id")
 
 
 @query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import features, neural, pairs, ranking, scoring, topics
 from ..sources import reports as rp
+from ..sources.shared import written
 from ..sources.views import DOC_REPORTS, TOKENS_SQL, doc_reports, table
 from .registry import query
 from .retrieval import EVERY
@@ -91,7 +92,11 @@ def repeated_punct(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(tokens, " ")).alias("tokens_md5"), F.size(tokens).cast("long").alias("n_tokens"))
 
 
-@query()
+_QUOTED = r"""WITH p AS (SELECT page_id, list_filter(string_split_regex(replace(html, '"', ' " '), '\s+'), lambda t: t <> '') AS t FROM pages)
+SELECT page_id, md5(array_to_string(list_transform(t, lambda x, i: CASE WHEN NOT regexp_matches(x, '^["`'']$') THEN x WHEN len(list_filter(t[1:i], lambda y: regexp_matches(y, '^["`'']$'))) % 2 = 1 THEN '``' ELSE '''''' END), ' ')) AS tokens_md5 FROM p"""
+
+
+@query(_QUOTED)
 def neutral_quotes(spark, sf_dir):
     tokens = tx.neutral_quotes(tx.tokens_space(F.regexp_replace("html", '"', ' " ')))
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
@@ -103,9 +108,10 @@ def word_tokens(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).alias("n_tokens"))
 
 
-@query()
+@query(r"WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+([\p{Lu}\p{N}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s")
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).alias("n_sentences"))
+    s = tx.sentences(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
 
 
 @query()
@@ -119,7 +125,10 @@ def clean_soft(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("text_md5"))
 
 
-@query()
+_ADLER = "list_transform(range(strlen(token)), lambda k: CAST('0x' || substr(hex(encode(token)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))"
+
+
+@query(f"WITH {DOC_REPORTS}, w AS (SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS token FROM rd), b AS (SELECT token, {_ADLER} AS b FROM w), a AS (SELECT token, (1 + list_sum(b)) % 65521 AS lo, (len(b) + list_sum(list_transform(b, lambda x, i: x * (len(b) - i + 1)))) % 65521 AS hi FROM b) SELECT token, CAST((hi * 65536 + lo) % 10007 AS BIGINT) AS code FROM a")
 def hash_lexicon(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens_alnum(F.lower("text"))).alias("token")).distinct()
     return words.select("token", tx.hash_code(F.col("token"), 10007).alias("code"))
@@ -186,7 +195,7 @@ def tf_relative(spark, sf_dir):
 
 @query(f"WITH {POST} SELECT n, token, count(DISTINCT bug_id) AS df FROM post GROUP BY n, token")
 def doc_freq(spark, sf_dir):
-    return features.doc_freq(_postings(spark, sf_dir))
+    return features.doc_freq_of(doc_reports(spark, sf_dir), _tokens)
 
 
 IDF = "idf AS (SELECT n, token, log2((SELECT count(*) FROM documents) / count(DISTINCT bug_id)) AS idf FROM post GROUP BY n, token)"
@@ -198,7 +207,8 @@ def _idf(spark, sf_dir, post):
 
 @query(f"WITH {POST}, {IDF} SELECT n, token, round(idf, 9) AS idf FROM idf")
 def idf_log2(spark, sf_dir):
-    return _idf(spark, sf_dir, _postings(spark, sf_dir)).select("n", "token", F.round("idf", 9).alias("idf"))
+    df = features.doc_freq_of(doc_reports(spark, sf_dir), _tokens)
+    return features.idf_log2(df, table(spark, sf_dir, "documents").count()).select("n", "token", F.round("idf", 9).alias("idf"))
 
 
 @query(f"WITH {POST} SELECT field, n, round(avg(len), 6) AS avg_len FROM (SELECT bug_id, field, n, sum(tf) AS len FROM post GROUP BY ALL) GROUP BY field, n")
@@ -317,11 +327,12 @@ BM_BENCH = f"WITH {BENCH_REPORTS}, {BM25}, {_postings_sql('rb', 'qp')}, {_terms_
 
 
 def _bm25_parts(spark, sf_dir):
-    post = _postings(spark, sf_dir)
-    terms = scoring.bm25f_terms(post)
-    lengths = terms.select("bug_id", "n", "len_sum", "len_desc").distinct()
+    """Terms, written once since scores, lengths and document frequencies all read them; idf; averages."""
+    terms = written(scoring.bm25f_terms(_postings(spark, sf_dir)), "terms")
+    lengths = terms.groupBy("bug_id", "n").agg(F.first("len_sum").alias("len_sum"), F.first("len_desc").alias("len_desc"))
     averages = lengths.groupBy("n").agg(F.avg("len_sum").alias("avg_sum"), F.avg("len_desc").alias("avg_desc"))
-    return terms, _idf(spark, sf_dir, post), averages
+    df = terms.groupBy("n", "token").agg(F.count(F.lit(1)).alias("df"))
+    return terms, features.idf_log2(df, table(spark, sf_dir, "documents").count()).select("n", "token", "idf"), averages
 
 
 def _bench_scores(spark, sf_dir):
@@ -364,16 +375,14 @@ def ensemble(spark, sf_dir):
     return _rep(spark, sf_dir).select("anchor", "cand", F.round(scoring.ensemble(F.col("score"), near, 0.7), 6).alias("score"))
 
 
-@query(f"""WITH {POST}, pr AS (SELECT a.bug_id AS a, b.bug_id AS b FROM rd a JOIN rd b ON a.root = b.root AND a.bug_id < b.bug_id), bg AS (SELECT DISTINCT bug_id, field AS bag, n, token FROM post),
-  idfs AS (SELECT field AS idf_name, n, token, log2((SELECT count(*) FROM documents) / count(DISTINCT bug_id)) AS idf FROM post GROUP BY ALL)
+@query(f"""WITH {POST}, pr AS (SELECT a.bug_id AS a, b.bug_id AS b FROM rd a JOIN rd b ON a.root = b.root AND a.bug_id < b.bug_id), bg AS (SELECT DISTINCT bug_id, field AS bag, n, token FROM post UNION ALL SELECT DISTINCT bug_id, 'both', n, token FROM post),
+  idfs AS (SELECT field AS idf_name, n, token, log2((SELECT count(*) FROM documents) / count(DISTINCT bug_id)) AS idf FROM post GROUP BY ALL UNION ALL SELECT 'both', n, token, log2((SELECT count(*) FROM documents) / count(DISTINCT bug_id)) FROM post GROUP BY n, token)
   SELECT a, b, x.bag AS bag_a, y.bag AS bag_b, idf_name, round(sum(CASE WHEN x.n = 1 THEN idf ELSE 0 END), 5) AS uni, round(sum(idf), 5) AS uni_bi FROM pr JOIN bg x ON x.bug_id = a JOIN bg y ON y.bug_id = b AND y.n = x.n AND y.token = x.token JOIN idfs ON idfs.n = x.n AND idfs.token = x.token GROUP BY ALL""")
 def sun_features(spark, sf_dir):
     post = _postings(spark, sf_dir)
     r = doc_reports(spark, sf_dir)
     pr = pairs.positive_pairs(r.select("bug_id", "root")).select(F.col("bug1").alias("a"), F.col("bug2").alias("b"))
-    bags = post.select("bug_id", F.col("field").alias("bag"), "n", "token").distinct()
-    n = r.count()
-    idfs = post.groupBy(F.col("field").alias("idf_name"), "n", "token").agg(F.log2(F.lit(float(n)) / F.count_distinct("bug_id")).alias("idf"))
+    bags, idfs = scoring.three_bags(post, r.count())
     out = scoring.shared_idf_features(pr, bags, idfs)
     return out.select("a", "b", "bag_a", "bag_b", "idf_name", F.round("uni", 5).alias("uni"), F.round("uni_bi", 5).alias("uni_bi"))
 
@@ -404,3 +413,28 @@ def siamese_forward(spark, sf_dir):
     r = doc_reports(spark, sf_dir)
     seqs = r.select("bug_id", F.slice(tx.or_empty_token(_tokens(F.col("text"))), 1, 350).alias("tokens"))
     return neural.encode_reports(seqs, neural.Encoder.random("gru", dims=8, seed=2))
+
+
+@query(f"""WITH {DOC_REPORTS}, {_postings_sql('rd', 'post')}, tf AS (SELECT bug_id, token, sum(tf) AS tf FROM post GROUP BY ALL), fit AS (SELECT token, count(*) AS df FROM tf GROUP BY token ORDER BY sum(tf) DESC, token LIMIT 2000),
+  raw AS (SELECT bug_id, token, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1 AS w FROM tf JOIN fit USING (token) WHERE bug_id % 2 = 1)
+  SELECT bug_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY bug_id)), 6) AS w FROM raw""")
+def tfidf_binary_grams(spark, sf_dir):
+    """Fitted on all reports, the 2,000 most frequent tokens and bigrams (the feature limit is the operator's), and
+    applied, as presence alone, to the reports with an odd id."""
+    tf = _postings(spark, sf_dir).groupBy("bug_id", "token").agg(F.sum("tf").alias("tf"))
+    n = table(spark, sf_dir, "documents").count()
+    out = features.transform_tfidf(tf.filter("bug_id % 2 = 1"), features.fit_tfidf(tf, max_features=2000), n, binary=True)
+    return out.select("bug_id", "token", F.round("w", 6).alias("w"))
+
+
+@query()
+def svm_on_shared_idf(spark, sf_dir):
+    """Standardised shared-idf features of duplicate and of random pairs, told apart by a linear support vector machine."""
+    post = written(_postings(spark, sf_dir), "postings")
+    r = doc_reports(spark, sf_dir).select("bug_id", "root")
+    good = pairs.positive_pairs(r)
+    bad = pairs.random_negatives(good.select(F.col("bug1").alias("bug_id")).distinct().join(r, "bug_id"), r, 2)
+    pr = good.unionByName(bad).select(F.col("bug1").alias("a"), F.col("bug2").alias("b"), "label")
+    bags, idfs = scoring.three_bags(post, r.count())
+    wide = scoring.wide_features(pr, scoring.shared_idf_features(pr, bags, idfs))
+    return scoring.svm_predictions(written(wide, "features"))

@@ -139,27 +139,18 @@ def block_postings(blocks: DataFrame) -> DataFrame:
     return terms.select("bug_id", "field", F.split("t", ":")[0].cast("int").alias("token_id"), F.split("t", ":")[1].cast("int").alias("tf"))
 
 
-#: What names a weight in a line of a weight file.
-WEIGHT_NAMES = (
-    ("total weight", "total_weight"), ("[k1,", "k1"), ("[summary weight", "w_sum"), ("[summary b", "b_sum"),
-    ("[description weight", "w_desc"), ("[description b", "b_desc"), ("[k3,", "k3"),
-    ("[component weight", "w_component"), ("[sub component weight", "w_sub_component"), ("[report type weight", "w_type"),
-    ("[priority weight", "w_priority"), ("[version weight", "w_version"),
-)
-
-
-def parse_weights(text: str) -> dict[str, float]:
-    """Numbers of a weight file; those of an n-gram section carry its name."""
-    section, out = "", {}
+def read_weights(text: str) -> list[tuple[str, str, float]]:
+    """(section, label, number) of ``[label, ...] = number`` lines; a bracketed line without a number begins a section."""
+    section, out = "", []
     for line in text.splitlines():
-        if line.startswith(("[unigram] BM25F", "[bigram] BM25F")):
-            section = line[1 : line.index("]")]
+        head, closed, rest = line.strip().removeprefix("[").partition("]")
+        if not closed or not line.strip().startswith("["):
             continue
-        name = next((v for k, v in WEIGHT_NAMES if k in line), None)
-        value = re.search(r"\] = ([0-9.-]+)", line)
-        if name and value:
-            shared = name in ("w_component", "w_sub_component", "w_type", "w_priority", "w_version")
-            out[name if shared or not section else f"{name}_{section}"] = float(value[1])
+        number = re.fullmatch(r"\s*=\s*(-?\d+(?:\.\d*)?)\s*", rest)
+        if number:
+            out.append((section, head.split(",")[0].strip(), float(number[1])))
+        else:
+            section = head.strip()
     return out
 
 

@@ -29,3 +29,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     shared_base(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write as Parquet in the shared folder and read back, for a table that several branches of a plan read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

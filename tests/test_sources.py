@@ -35,7 +35,7 @@ def test_blocks_round_trip(spark, tmp_path):
 
 def test_weights():
     text = "[unigram] BM25F Parameter...\n[k1, x] = 1.5\n[summary weight] = 2.0\n[bigram] BM25F Parameter...\n[k1, x] = 0.5\n[component weight] = 3\n"
-    assert rp.parse_weights(text) == {"k1_unigram": 1.5, "w_sum_unigram": 2.0, "k1_bigram": 0.5, "w_component": 3.0}
+    assert rp.read_weights(text) == [("unigram", "k1", 1.5), ("unigram", "summary weight", 2.0), ("bigram", "k1", 0.5), ("bigram", "component weight", 3.0)]
 
 
 def test_vectors_and_lexicons(spark, tmp_path):
