@@ -3,9 +3,11 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, with the columns
 of ``documents`` in all stages but the last. ``run`` applies them to ``documents``, each stage's result written as
 Parquet in the shared folder and read again. SQL can express neither the classifier, the alignment, the knapsack nor the tokenizer, so
-there is no ORACLE_SQL; the tests hold the pipeline against a brute-force version.
+there is no ORACLE_SQL; ``tests/llm/test_pipeline.py`` holds each stage's result against plain computations.
 
-The mix takes some documents more than once; those rows follow each other in the shards.
+The mix takes some documents more than once; those rows follow each other in the shards. Null texts pass the first
+three stages and have size 0 in the mix; rows without an id and repeated rows are handled as the stages' modules say; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
