@@ -132,9 +132,32 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, files).filter("gap is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP10_SQL = """
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(hex, CAST(k // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h JOIN f USING (hex)
+"""
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3_SQL = f"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, s, array_to_string(w[k:k + s - 1], ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS s, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM iw WHERE len(w) > 0)),
+dw AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS_SQL} AS w FROM documents),
+dg AS (SELECT rid, s, k, array_to_string(w[k:k + s - 1], ' ') AS g FROM (SELECT rid, w, s, unnest(range(1, len(w) - s + 2)) AS k FROM dw, (SELECT DISTINCT s FROM win) WHERE len(w) >= s)),
+hit AS (SELECT rid, s, k, item FROM dg JOIN win USING (s, g)),
+n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + s)) AS p FROM hit) GROUP BY rid),
+i AS (SELECT rid, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_lists, op2_token_shards, op3_decontaminate, op4_quality, op5_near_duplicates, op6_mixing, op7_language, op8_quality_rules, op9_toxicity, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_lists": OP1_SQL}
+    return {"op1_url_lists": OP1_SQL, "op3_decontaminate": OP3_SQL, "op10_warc": OP10_SQL}

@@ -1,27 +1,23 @@
 """Files in the folder that the driver and all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is unset
-(tests, one machine). Files are reached through Arrow's file systems (local, HDFS, S3, GCS), are written
+on a local master (tests, one machine). Files are reached through Arrow's file systems (local, HDFS, S3, GCS), are written
 under an attempt's own name and renamed, so a retried or speculative task leaves one whole file.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_base
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tandem-")
-        spark.sparkContext.setCheckpointDir(base)
+    base = shared_base(spark)
     if "://" not in base and not base.startswith("file:"):
         base = "file://" + base
     elif base.startswith("file:/") and not base.startswith("file://"):
