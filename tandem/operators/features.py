@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import placed
 
 
 def postings(reports: DataFrame, tokenize=tx.dbrd_tokens, sizes: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -129,8 +130,7 @@ def encode_categories(reports: DataFrame, lex: DataFrame, fields: list[str]) ->
 
 def sorted_codes(df: DataFrame, col: str, name: str) -> DataFrame:
     """Place of each value among the sorted distinct values, from 0; the distinct values are ranked, not the rows."""
-    codes = df.select(col).distinct().withColumn(name, F.row_number().over(Window.orderBy(col)) - 1)
-    return df.join(codes, col)
+    return df.join(placed(df.select(col).distinct(), [col], name), col)
 
 
 def inverted_lists(reports: DataFrame) -> DataFrame:

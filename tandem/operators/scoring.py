@@ -167,8 +167,18 @@ def log_loss(p: Column, y: Column) -> Column:
 
 
 def alpha_sweep(pairs: DataFrame, steps: int = 100) -> DataFrame:
-    """(alpha, total): sum of reciprocal first-hit places for each mixing weight; pairs: anchor, cand, a, b, is_dup."""
-    grid = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("score", F.round(F.col("i") / steps * F.col("a") + (1 - F.col("i") / steps) * F.col("b"), 9))
-    ranked = grid.withColumn("rank", F.row_number().over(Window.partitionBy("i", "anchor").orderBy(F.desc("score"), "cand")))
-    first = ranked.filter("is_dup").groupBy("i", "anchor").agg(F.min("rank").alias("pos"))
+    """(alpha, total): sum of reciprocal first-hit places for each mixing weight; pairs: anchor, cand, a, b, is_dup.
+
+    An anchor's place is one more than its pairs ahead of its best duplicate, so nothing is sorted and only partial
+    counts are shuffled."""
+
+    def mixed(i: Column) -> Column:
+        return F.struct(F.round(i / steps * F.col("a") + (1 - i / steps) * F.col("b"), 9).alias("score"), (-F.col("cand")).alias("cand"))
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i")
+    dups = pairs.filter("is_dup").select("anchor", "cand", "a", "b", every)
+    best = dups.groupBy("anchor", "i").agg(F.max(mixed(F.col("i"))).alias("best"))
+    lists = best.groupBy("anchor").agg(F.sort_array(F.collect_list(F.struct("i", "best"))).alias("bests"))  # steps + 1 entries
+    each = pairs.join(lists, "anchor").select("anchor", "cand", "a", "b", F.explode("bests").alias("e")).select("anchor", "cand", "a", "b", "e.i", "e.best")
+    first = each.groupBy("i", "anchor").agg((F.count_if(mixed(F.col("i")) > F.col("best")) + 1).alias("pos"))
     return first.groupBy("i").agg(F.sum(1.0 / F.col("pos")).alias("total")).select((F.col("i") / steps).alias("alpha"), "total")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.draws import draw_sql
 from ..operators import encoding
 from ..sources import reports as rp
-from ..sources.shared import shared_path
+from ..sources.shared import placed, shared_path
 from ..sources.views import DOC_REPORTS, EVENT_REPORTS, TOKENS_SQL, doc_reports, event_reports, table
 from .drawn import PAIRS
 from .registry import query
@@ -37,8 +36,8 @@ def split_file(spark, sf_dir):
     """The format is one line of all ids, so one task writes and reads it."""
     path = shared_path(spark, "split")
     d = doc_reports(spark, sf_dir).select("bug_id", "dup_id")
-    placed = d.select(F.col("bug_id").cast("string").alias("bug_id"), (F.row_number().over(Window.orderBy("bug_id")) - 1).alias("position"), F.col("dup_id").isNotNull().alias("is_duplicate"))
-    rp.write_split(placed, path, "all documents")
+    ordered = rp.id_order(d).select(F.col("bug_id").cast("string").alias("bug_id"), F.col("place").alias("position"), F.col("dup_id").isNotNull().alias("is_duplicate"))
+    rp.write_split(ordered, path, "all documents")
     return rp.read_split(spark, path).select("bug_id", F.col("position").cast("long").alias("position"), "is_duplicate")
 
 
@@ -194,7 +193,7 @@ def lexicon_file(spark, sf_dir):
     """One token a line, its line number is its id: one file by format."""
     path = shared_path(spark, "lexicon")
     words = doc_reports(spark, sf_dir).select(F.explode(tx.tokens_alnum(F.lower("text"))).alias("token")).distinct()
-    rp.write_lexicon(words.withColumn("token_id", F.row_number().over(Window.orderBy("token")) - 1), path)
+    rp.write_lexicon(placed(words, ["token"], "token_id"), path)
     return rp.read_lexicon(spark, path)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import placed
+
 #: Raw report fields (JSON lines); a list instead of a text means empty.
 REPORT_FIELDS = (
     "bug_id", "dup_id", "short_desc", "description", "product", "component", "version", "bug_severity", "priority",
@@ -238,7 +240,7 @@ def best_runs(runs: DataFrame, metrics: DataFrame, metric_pattern: str, params:
 
 def id_order(df: DataFrame, key: str = "bug_id") -> DataFrame:
     """Rows with a dense place by id, for files whose line order is meant."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
+    return placed(df, [key], "place")
 
 
 # --- logs ----------------------------------------------------------------------------------------------------------

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -36,3 +37,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """df with the place of each row, from 0, in the order of ``by``: the rows are dealt into ranges, written, and
+    numbered in each range behind the counts of the ranges before, so no task orders the whole table."""
+    ranged = written(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    numbered = ranged.join(F.broadcast(before), "_range")  # as many rows as ranges
+    return numbered.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1 + F.col("_before")).drop("_range", "_before")
