@@ -50,7 +50,7 @@ EDIT_SHARE = 5
 #: Orders that are joined to a bucket's own in the later rounds; the last round takes all that are left at once.
 ROUNDS = ([1], list(range(2, BANDS)))
 #: Nodes and words of a block in the exact last step, about; and the words counted in one matrix product.
-BLOCK = 256
+BLOCK = 512
 BLOCK_WORDS = 1 << 18
 BLOCK_CODES = 1 << 12
 #: Expected number of k-mers below the bound that preselects the minima.
@@ -481,7 +481,8 @@ def _finish_buckets(members: DataFrame, sketches: DataFrame, words: DataFrame, r
     """``roots`` (node, root) after all pairs of a bucket (band, key) that are in different components are compared.
 
     A component with a block or more of a bucket's nodes has blocks of its own there, which are not paired with
-    each other; all others of the bucket are dealt to its mixed blocks (``own`` empty) by hash."""
+    each other; all others of the bucket are dealt to its mixed blocks (``own`` empty) by hash. Blocks hold texts of one
+    length class, and only blocks of equal or adjacent classes are paired, since the lengths of others differ too much."""
     by = ["band", "key"]
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = store.materialise(rooted, "rooted")
@@ -491,18 +492,24 @@ def _finish_buckets(members: DataFrame, sketches: DataFrame, words: DataFrame, r
         return roots
     groups = rest.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     groups = groups.withColumn("own", F.when((F.col("c") >= BLOCK) | (F.col("w") >= BLOCK_WORDS), F.col("root")).otherwise(F.lit(b"")))
-    blocks = F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(F.sum("w") / BLOCK_WORDS), F.lit(1)).alias("blocks")
-    parts = store.materialise(groups.groupBy(*by, "own").agg(blocks), "parts")
-    dealt = rest.join(groups.select(*by, "root", "own"), [*by, "root"]).join(parts, [*by, "own"])
-    dealt = dealt.select(*by, "own", F.pmod(F.xxhash64("node"), "blocks").alias("no"), "node", "root")
-
-    every = parts.select(*by, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"))
-    other = every.withColumnsRenamed({"own": "own2", "no": "no2"})
-    units = every.join(other, by).filter("own < own2 or (own = own2 and own = X'' and no <= no2)")
+    # a class's lengths grow by the ratio that alike texts may reach, so these are one class apart at most
+    ratio = EDIT_SHARE / (EDIT_SHARE - 1)
+    rest = rest.join(groups.select(*by, "root", "own"), [*by, "root"]).withColumn("cls", F.floor(F.log("n") / float(np.log(ratio))))
+    rest = store.materialise(rest, "classed")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS), F.lit(1)).alias("blocks")
+    parts = store.materialise(rest.groupBy(*by, "own", "cls").agg(blocks, F.count(F.lit(1)).alias("size")), "parts")
+    place = ["own", "cls", "no"]
+    dealt = skew.join_counted(rest, parts, [*by, "own", "cls"], "size", rest.count())
+    dealt = dealt.select(*by, "own", "cls", F.pmod(F.xxhash64("node"), "blocks").alias("no"), "node", "root")
+
+    every = parts.select(*by, "own", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"))
+    other = every.withColumnsRenamed({c: f"{c}2" for c in place})
+    units = every.withColumn("cls2", F.explode(F.array(*[F.col("cls") + k for k in (-1, 0, 1)]))).join(other, [*by, "cls2"])
+    units = units.filter("own < own2 or (own = own2 and own = X'' and (cls < cls2 or (cls = cls2 and no <= no2)))")
     units = store.materialise(units.withColumn("unit", F.monotonically_increasing_id()), "units")
-    one = units.select(*by, "own", "no", "unit", F.lit(0).alias("side"))
-    two = units.filter("own <> own2 or no <> no2").select(*by, F.col("own2").alias("own"), F.col("no2").alias("no"), "unit", F.lit(1).alias("side"))
-    sent = dealt.join(one.unionByName(two), [*by, "own", "no"]).select("unit", "side", "band", "node", "root")
+    one = units.select(*by, *place, "unit", F.lit(0).alias("side"))
+    two = units.filter("own <> own2 or cls <> cls2 or no <> no2").select(*by, *[F.col(f"{c}2").alias(c) for c in place], "unit", F.lit(1).alias("side"))
+    sent = dealt.join(one.unionByName(two), [*by, *place]).select("unit", "side", "band", "node", "root")
     sent = sent.join(sketches, "node").join(words, "node").select("unit", "side", "band", "root", "sketch", "words")
 
     def compare(table: pa.Table) -> pa.Table:

@@ -191,12 +191,12 @@ def test_recall_against_all_pairs(spark):
     assert all(find(i) == find(c) or texts[i] == texts[c] for i, c in cls.items())
 
 
-@pytest.mark.parametrize("block", [nd.BLOCK, 32])
+@pytest.mark.parametrize("block", [nd.BLOCK, 16])
 def test_star_of_independent_copies(spark, monkeypatch, block):
     monkeypatch.setattr(nd, "BLOCK", block)
     big = starred(1, 200, 600 if block == nd.BLOCK else 60)
     docs = big + starred(2, 200, 40) + starred(3, 200, 3)
-    want = brute_classes(docs) if block == 32 else [0] * len(big) + [len(big)] * 41 + [len(big) + 41] * 4
+    want = brute_classes(docs) if block == 16 else [0] * len(big) + [len(big)] * 41 + [len(big) + 41] * 4
     got = nd.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect()
     assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)] == want
 
