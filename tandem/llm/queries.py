@@ -140,6 +140,15 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM h JOIN f USING (hex)
 """
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new cache for each call, so that a run encodes every distinct text."""
+    from . import token_cache
+
+    return token_cache.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), store.shared_dir(spark, "token-cache"))
+
+
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP3_SQL = f"""
 WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
@@ -156,7 +165,7 @@ FROM dw LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_lists, op2_token_shards, op3_decontaminate, op4_quality, op5_near_duplicates, op6_mixing, op7_language, op8_quality_rules, op9_toxicity, op10_warc)}
+    return {f.__name__: f for f in (op1_url_lists, op2_token_shards, op3_decontaminate, op4_quality, op5_near_duplicates, op6_mixing, op7_language, op8_quality_rules, op9_toxicity, op10_warc, op12_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
