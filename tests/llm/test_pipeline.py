@@ -75,7 +75,7 @@ def test_every_stage(spark, tmp_path):
 def test_registered_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, SF).toPandas()
