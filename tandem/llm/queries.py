@@ -142,6 +142,36 @@ FROM h JOIN f USING (hex)
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c takes the first crc32(c) % 4 turns of conversation c - c % 20."""
+    from pyspark.sql import functions as F
+
+    from . import prefix_trie as pt
+
+    arrays = pt.turn_arrays(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 20)
+    return pt.prefix_trie(pt.share_heads(arrays, F.crc32(F.col("conv_id").cast("string")) % 4, 3))
+
+
+_CRC_SQL = (
+    "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),"
+    " lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) FOR i IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"
+)
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+d AS (SELECT conv_id, turn, substr(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), 1, 32) AS dig, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t),
+own AS (SELECT conv_id, list(struct_pack(dig := dig, words := words) ORDER BY turn NULLS FIRST, dig) AS own, xor({_CRC_SQL}, 4294967295) % 4 AS h FROM d GROUP BY conv_id),
+re AS (SELECT o.conv_id, list_concat(coalesce(b.own[1:o.h], []), o.own[o.h + 1:]) AS turns FROM own AS o LEFT JOIN own AS b ON b.conv_id = o.conv_id - o.conv_id % 20),
+k AS (SELECT conv_id, list_transform(turns, lambda x: x.dig) AS digs, list_transform(turns, lambda x: x.words) AS words FROM re),
+m AS (SELECT conv_id, n AS depth, array_to_string(digs[1:n], ',') AS node, CASE WHEN n > 0 THEN words[n] ELSE 0 END AS words, n = len(digs) AS ends, array_to_string(digs[1:n - 1], ',') AS parent FROM (SELECT *, unnest(range(0, len(digs) + 1)) AS n FROM k)),
+n AS (SELECT node, depth, any_value(CASE WHEN depth > 0 THEN parent END) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY node, depth),
+c AS (SELECT n.*, (SELECT count(*) FROM n AS x WHERE x.parent = n.node AND x.depth = n.depth + 1) AS n_children FROM n),
+a AS (SELECT CASE WHEN up = 0 THEN '' ELSE array_to_string(string_split(node, ',')[1:up], ',') END AS node, up AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM c) GROUP BY ALL)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM c JOIN a ON a.node = c.node AND a.depth = c.depth LEFT JOIN n AS p ON c.parent = p.node AND p.depth = c.depth - 1
+"""
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new cache for each call, so that a run encodes every distinct text."""
     from . import token_cache
@@ -185,8 +215,8 @@ FROM dw LEFT JOIN n USING (rid) LEFT JOIN i USING (rid)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_lists, op2_token_shards, op3_decontaminate, op4_quality, op5_near_duplicates, op6_mixing, op7_language, op8_quality_rules, op9_toxicity, op10_warc, op12_token_counts, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_url_lists, op2_token_shards, op3_decontaminate, op4_quality, op5_near_duplicates, op6_mixing, op7_language, op8_quality_rules, op9_toxicity, op10_warc, op11_prefix_trie, op12_token_counts, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_lists": OP1_SQL, "op3_decontaminate": OP3_SQL, "op10_warc": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_url_lists": OP1_SQL, "op3_decontaminate": OP3_SQL, "op10_warc": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op13_hard_negatives": OP13_SQL}
