@@ -67,3 +67,27 @@ def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_REPORTS = "ro AS (SELECT o_orderkey AS bug_id, o_orderdate AS creation_ts, o_custkey AS set_id, o_orderpriority AS priority, o_orderstatus AS status FROM orders)"
+
+
+def turn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as text reports: the first sentence and the rest; a conversation is one set, and version
+    numbers rise with the conversations."""
+    t = table(spark, sf_dir, "conversations").filter("conv_id is not null and turn is not null")
+    text = F.coalesce("text", F.lit(""))
+    cut = F.instr(text, ".")
+    return t.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("bug_id"),
+        F.col("conv_id").alias("root"),
+        F.when(cut > 0, F.substring(text, F.lit(1), cut)).otherwise(text).alias("short_desc"),
+        F.when(cut > 0, F.substring(text, cut + 1, F.length(text))).otherwise("").alias("description"),
+        F.col("role").alias("product"),
+        (F.length(text).cast("long") % 4).alias("component"),
+        (F.col("turn") % 2).alias("severity"),
+        F.floor(F.col("conv_id") / 4).cast("long").alias("version"),
+        F.col("turn").alias("priority"),
+    )
+
+
+TURN_REPORTS = """rt AS (SELECT conv_id * 100 + turn AS bug_id, conv_id AS root, CASE WHEN cut > 0 THEN text[1:cut] ELSE text END AS short_desc, CASE WHEN cut > 0 THEN text[cut + 1:] ELSE '' END AS description,
+  role AS product, length(text) % 4 AS component, turn % 2 AS severity, CAST(floor(conv_id / 4) AS BIGINT) AS version, turn AS priority
+  FROM (SELECT *, instr(text, '.') AS cut FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)))"""
