@@ -1,7 +1,7 @@
-"""Positive pairs, pair keys, triplets, and negatives: random, hardest, by product, pre-ranked, mixed.
+"""Positive pairs, pair keys, triplets, and what is done with drawn negatives: hardest, pre-ranked, mixed.
 
-Random draws are hashes of (anchor, draw number, seed), so reruns agree. A draw names a place in a dense numbering of the
-candidates; places are counted by range of ids, never in one task.
+Random choices are hashes of ids and a seed, so reruns agree; negatives are drawn in ``operators.negatives``. Places of a
+dense numbering are counted by range of ids, never in one task.
 """
 
 from __future__ import annotations
@@ -34,55 +34,18 @@ def dense_places(ids: DataFrame, by: tuple[str, ...] = (), span: int = 8192) ->
     return numbered.withColumn("place", F.row_number().over(Window.partitionBy(*by, "_r").orderBy("bug_id")) - 1 + F.col("_b")).drop("_r", "_b")
 
 
-def random_negatives(anchors: DataFrame, reports: DataFrame, per_anchor: int, seed: int = 0, extra: int = 3) -> DataFrame:
-    """(bug1, bug2, label): distinct pairs of different sets; ``anchors``: bug_id, root. ``extra`` draws a place more
-    than needed replace pairs of one set and repeats; what is missing after them is missing in the result."""
-    n = reports.count()
-    places = dense_places(reports.select("bug_id", "root")).withColumnsRenamed({"bug_id": "bug2", "root": "root2"})
-    draws = anchors.select(F.col("bug_id").alias("bug1"), F.col("root").alias("root1"), F.posexplode(F.array_repeat(F.lit(0), per_anchor + extra)).alias("i", "_"))
-    draws = draws.withColumn("place", F.pmod(draw("bug1", "i", seed=seed), F.lit(n)))
-    found = draws.join(places, "place").filter("root1 <> root2")
-    key = pair_key(F.col("bug1"), F.col("bug2"))
-    once = found.withColumn("key", key).withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("i", "bug1"))).filter("_k = 1")
-    kept = once.withColumn("_n", F.row_number().over(Window.partitionBy("bug1").orderBy("i"))).filter(F.col("_n") <= per_anchor)
-    return kept.select("bug1", "bug2", F.lit(0).alias("label"))
-
-
 def hardest_negatives(negatives: DataFrame, loss: Column, keep: int, least: float = 0.0, decimals: int = 3) -> DataFrame:
     """Of each anchor's negatives the ``keep`` with the highest rounded loss above ``least``."""
     scored = negatives.withColumn("loss", F.round(loss, decimals)).filter(F.col("loss") > least)
     return scored.withColumn("_n", F.row_number().over(Window.partitionBy("bug1").orderBy(F.desc("loss"), "bug2"))).filter(F.col("_n") <= keep).drop("_n")
 
 
-def non_zero_loss(anchors: DataFrame, reports: DataFrame, score, per_anchor: int, tries: int = 3, seed: int = 0) -> DataFrame:
-    """Negatives with a loss that is not zero, drawn anew up to ``tries`` times; ``score(pairs)`` adds ``loss``."""
-    found = None
-    for t in range(tries):
-        more = score(random_negatives(anchors, reports, per_anchor, seed + 7919 * t)).filter("loss > 0")
-        found = more if found is None else found.unionByName(more.join(found.select("bug1", "bug2"), ["bug1", "bug2"], "left_anti"))
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("bug1").orderBy(F.desc("loss"), "bug2"))).filter(F.col("_n") <= per_anchor).drop("_n")
-
-
 def shrink_to_rate(positives: DataFrame, n_negatives: int, rate: float, seed: int = 0) -> DataFrame:
     """At most n_negatives / rate positives, by hash order, so that the rate holds."""
     most = int(n_negatives / rate)
     return positives.orderBy(draw("bug1", "bug2", seed=seed), "bug1", "bug2").limit(most)
 
 
-def product_mix_negatives(anchors: DataFrame, reports: DataFrame, per_anchor: int, seed: int = 0) -> DataFrame:
-    """A third of the draws from all reports, a third from the same product, a third from the same product and component."""
-    keyed = reports.select("bug_id", "root", F.explode(F.array(F.lit("*"), F.concat(F.lit("p|"), "product"), F.concat_ws("|", F.lit("c"), "product", F.col("component").cast("string")))).alias("key"))
-    sized = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    places = dense_places(keyed, ("key",)).withColumnsRenamed({"bug_id": "bug2", "root": "root2"})
-    draws = anchors.select("bug_id", "root", "product", "component", F.posexplode(F.array_repeat(F.lit(0), per_anchor)).alias("i", "_"))
-    third = F.pmod(draw("bug_id", "i", seed=seed + 1), F.lit(3))
-    key = F.when(third == 0, "*").when(third == 1, F.concat(F.lit("p|"), "product")).otherwise(F.concat_ws("|", F.lit("c"), "product", F.col("component").cast("string")))
-    draws = draws.select(F.col("bug_id").alias("bug1"), F.col("root").alias("root1"), "i", key.alias("key")).join(sized, "key")
-    draws = draws.withColumn("place", F.pmod(draw("bug1", "i", seed=seed + 2), F.col("n")))
-    found = draws.join(places, ["key", "place"]).filter("root1 <> root2")
-    return found.select("bug1", "bug2", F.substring("key", 1, 1).alias("level")).distinct()
-
-
 def preranked_draw(anchors: DataFrame, ranked: DataFrame, most: int, seed: int = 0) -> DataFrame:
     """One negative of each anchor, drawn from the first ``most`` of its list; ranked: anchor, rank, cand."""
     size = ranked.filter(F.col("rank") <= most).groupBy("anchor").agg(F.max("rank").alias("n"))
@@ -119,39 +82,6 @@ def random_inversion(pairs: DataFrame, seed: int = 0, share: float = 0.5) -> Dat
     return pairs.withColumns({"bug1": F.when(swap, F.col("bug2")).otherwise(F.col("bug1")), "bug2": F.when(swap, F.col("bug1")).otherwise(F.col("bug2"))})
 
 
-def unseen_master_negatives(anchors: DataFrame, masters: DataFrame, used: DataFrame, per_anchor: int, seed: int = 0) -> DataFrame:
-    """(bug1, bug2, label): draws among the masters, no key of ``used`` (key) and no key twice; sets are not compared.
-
-    ``anchors`` and ``masters``: bug_id. What repeats a key is left out, not drawn again."""
-    n = masters.count()
-    places = dense_places(masters.select("bug_id")).withColumnRenamed("bug_id", "bug2")
-    draws = anchors.select(F.col("bug_id").alias("bug1"), F.explode(F.sequence(F.lit(0), F.lit(per_anchor - 1))).alias("i"))
-    found = draws.withColumn("place", F.pmod(draw("bug1", "i", seed=seed), F.lit(n))).join(places, "place").filter("bug1 <> bug2")
-    keyed = found.withColumn("key", pair_key(F.col("bug1"), F.col("bug2"))).join(used, "key", "left_anti")
-    once = keyed.groupBy("key").agg(F.min(F.struct("bug1", "i", "bug2")).alias("r"))
-    return once.select("r.bug1", "r.bug2", F.lit(0).alias("label"))
-
-
-def half_anchored_negatives(reports: DataFrame, duplicates: DataFrame, total: int, seed: int = 0) -> DataFrame:
-    """(bug1, bug2, origin): half of ``total`` draws pair two random reports, half a random duplicate with a random
-    report; pairs of one set and repeats are left out. ``reports``: bug_id, root; ``duplicates``: bug_id, root."""
-    n, d = reports.count(), duplicates.count()
-    to = dense_places(reports.select("bug_id", "root"))
-    dup = dense_places(duplicates.select("bug_id", "root"))
-    spark = reports.sparkSession
-
-    def half(origin: str, left: DataFrame, size: int, count: int, shift: int) -> DataFrame:
-        draws = spark.range(count).select("id", F.pmod(draw("id", seed=seed + shift), F.lit(max(1, size))).alias("p1"), F.pmod(draw("id", seed=seed + shift + 1), F.lit(max(1, n))).alias("p2"))
-        a = left.select(F.col("place").alias("p1"), F.col("bug_id").alias("bug1"), F.col("root").alias("root1"))
-        b = to.select(F.col("place").alias("p2"), F.col("bug_id").alias("bug2"), F.col("root").alias("root2"))
-        found = draws.join(a, "p1").join(b, "p2").filter("root1 <> root2")
-        return found.select("bug1", "bug2", F.lit(origin).alias("origin"))
-
-    both = half("random", to, n, total - total // 2, 1).unionByName(half("duplicate", dup, d, total // 2, 3))
-    once = both.groupBy(F.least("bug1", "bug2").alias("lo"), F.greatest("bug1", "bug2").alias("hi")).agg(F.min(F.struct("origin", "bug1", "bug2")).alias("r"))
-    return once.select("r.bug1", "r.bug2", "r.origin")
-
-
 def best_of_random(drawn: DataFrame, score: Column, keep: int) -> DataFrame:
     """Of each anchor's random negatives (bug1, bug2) the ``keep`` with the highest score, ties to the smaller id."""
     scored = drawn.withColumn("score", score)

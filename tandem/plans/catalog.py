@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import drawn, entity, files, inputs, learned, registry, retrieval, textual  # noqa: F401  their queries register themselves
+from . import drawn, entity, files, inputs, learned, negatives, registry, retrieval, textual  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, registry.Query]:

@@ -14,92 +14,10 @@ from .registry import SQL, query
 PAIRS = f"{DOC_REPORTS}, pp AS (SELECT a.bug_id AS bug1, b.bug_id AS bug2, 1 AS label FROM rd a JOIN rd b USING (root) WHERE a.bug_id < b.bug_id)"
 
 
-def random_sql(per: int, seed: int = 0, extra: int = 3, name: str = "rn") -> str:
-    """CTEs that end in ``name`` (bug1, bug2, label): distinct random pairs of different sets."""
-    return f"""{name}_dr AS (SELECT bug_id AS bug1, root AS root1, i FROM fl, range({per + extra}) t(i) WHERE is_dup),
-{name}_pl AS (SELECT bug_id AS bug2, root AS root2, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM re),
-{name}_at AS (SELECT *, {draw_sql('bug1', 'i', seed=seed)} % (SELECT count(*) FROM re) AS place FROM {name}_dr),
-{name}_fo AS (SELECT bug1, i, bug2 FROM {name}_at JOIN {name}_pl USING (place) WHERE root1 <> root2),
-{name}_on AS (SELECT *, row_number() OVER (PARTITION BY least(bug1, bug2), greatest(bug1, bug2) ORDER BY i, bug1) AS k FROM {name}_fo),
-{name}_nn AS (SELECT bug1, bug2, row_number() OVER (PARTITION BY bug1 ORDER BY i) AS nn FROM {name}_on WHERE k = 1),
-{name} AS (SELECT bug1, bug2, 0 AS label FROM {name}_nn WHERE nn <= {per})"""
-
-
-_LOSS = "round(greatest(0, 1.0 / (1 + abs(a.priority - b.priority)) - 0.3), 3)"
 SQL["sample_anchors"] = f"SELECT event_id FROM events ORDER BY {draw_sql('event_id', seed=5)}, event_id LIMIT 100"
 SQL["proportion_sample"] = f"WITH {PAIRS} SELECT * FROM pp WHERE {draw_sql('bug1', 'bug2')} % {STEPS} < {STEPS // 2}"
 SQL["random_split"] = f"WITH {PAIRS}, d AS (SELECT *, ({draw_sql('bug1', 'bug2')} % {STEPS}) / {float(STEPS)} AS place FROM pp) SELECT bug1, bug2, label, CASE WHEN place < 0.8 THEN 'train' WHEN place < 0.9 THEN 'validation' ELSE 'test' END AS split FROM d"
 SQL["random_inversion"] = f"WITH {PAIRS}, d AS (SELECT *, {draw_sql('bug1', 'bug2')} % {STEPS} < {STEPS // 2} AS swap FROM pp) SELECT CASE WHEN swap THEN bug2 ELSE bug1 END AS bug1, CASE WHEN swap THEN bug1 ELSE bug2 END AS bug2, label FROM d"
-SQL["random_negatives"] = f"WITH {FLAGGED}, {random_sql(2)} SELECT * FROM rn"
-SQL["hard_k_negatives"] = f"WITH {FLAGGED}, {random_sql(6)}, l AS (SELECT bug1, bug2, label, {_LOSS} AS loss FROM rn JOIN re a ON a.bug_id = bug1 JOIN re b ON b.bug_id = bug2) SELECT bug1, bug2, label, loss FROM l WHERE loss > 0 QUALIFY row_number() OVER (PARTITION BY bug1 ORDER BY loss DESC, bug2) <= 2"
-SQL["mixture"] = f"WITH {FLAGGED}, {random_sql(2, 0, name='ra')}, {random_sql(2, 99, name='rb')} SELECT *, 0 AS generator FROM ra WHERE {draw_sql('bug1', 'bug2', seed=0)} % {STEPS} < {STEPS // 2} UNION ALL SELECT *, 1 FROM rb WHERE {draw_sql('bug1', 'bug2', seed=1)} % {STEPS} < {STEPS // 2}"
-SQL["product_mix_negatives"] = f"""WITH {FLAGGED}, ky AS (SELECT bug_id, root, unnest(['*', 'p|' || product, 'c|' || product || '|' || component]) AS key FROM re),
-pl AS (SELECT key, bug_id AS bug2, root AS root2, row_number() OVER (PARTITION BY key ORDER BY bug_id) - 1 AS place, count(*) OVER (PARTITION BY key) AS n FROM ky),
-sz AS (SELECT key, count(*) AS n FROM ky GROUP BY key),
-dr AS (SELECT bug_id AS bug1, root AS root1, i, CASE {draw_sql('bug_id', 'i', seed=1)} % 3 WHEN 0 THEN '*' WHEN 1 THEN 'p|' || product ELSE 'c|' || product || '|' || component END AS key FROM fl, range(3) t(i) WHERE is_dup),
-ds AS (SELECT bug1, root1, key, {draw_sql('bug1', 'i', seed=2)} % n AS place FROM dr JOIN sz USING (key))
-SELECT DISTINCT bug1, bug2, key[1:1] AS level FROM ds JOIN pl USING (key, place) WHERE root1 <> root2"""
-
-
-def _events(spark, sf_dir):
-    return event_reports(spark, sf_dir).select("bug_id", "root", "priority"), flagged_events(spark, sf_dir)
-
-
-@query(f"""WITH {FLAGGED}, ma AS (SELECT bug_id AS bug2, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM fl WHERE NOT is_dup),
-us AS (SELECT DISTINCT least(bug_id, dup_id) || '|' || greatest(bug_id, dup_id) AS key FROM fl WHERE dup_id IS NOT NULL),
-dr AS (SELECT d.bug_id AS bug1, i, {draw_sql('d.bug_id', 'i', seed=3)} % (SELECT count(*) FROM ma) AS place FROM fl d, range(2) t(i) WHERE d.is_dup),
-fo AS (SELECT bug1, i, bug2 FROM dr JOIN ma USING (place)),
-kk AS (SELECT *, least(bug1, bug2) || '|' || greatest(bug1, bug2) AS key FROM fo WHERE bug1 <> bug2)
-SELECT bug1, bug2, 0 AS label FROM kk WHERE key NOT IN (SELECT key FROM us) QUALIFY row_number() OVER (PARTITION BY key ORDER BY bug1, i) = 1""")
-def master_negatives(spark, sf_dir):
-    """Negatives among the masters, no pair twice and none that is a pair already."""
-    f = flagged_events(spark, sf_dir)
-    used = f.filter("dup_id is not null").select(pairs.pair_key(F.col("bug_id"), F.col("dup_id")).alias("key")).distinct()
-    return pairs.unseen_master_negatives(f.filter("is_dup").select("bug_id"), f.filter("not is_dup").select("bug_id"), used, 2, seed=3)
-
-
-def _half_sql(origin: str, left: str, count: int, shift: int) -> str:
-    places = f"{draw_sql('id', seed=shift)} % (SELECT count(*) FROM {left}) AS p1, {draw_sql('id', seed=shift + 1)} % (SELECT count(*) FROM ap) AS p2"
-    return f"""SELECT a.bug_id AS bug1, b.bug_id AS bug2, '{origin}' AS origin FROM (SELECT {places} FROM range({count}) t(id)) d
-JOIN {left} a ON a.place = d.p1 JOIN ap b ON b.place = d.p2 WHERE a.root <> b.root"""
-
-
-@query(f"""WITH {FLAGGED}, ap AS (SELECT bug_id, root, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM re),
-dp AS (SELECT bug_id, root, row_number() OVER (ORDER BY bug_id) - 1 AS place FROM fl WHERE is_dup),
-bo AS ({_half_sql('random', 'ap', 2000, 1)} UNION ALL {_half_sql('duplicate', 'dp', 2000, 3)})
-SELECT bug1, bug2, origin FROM bo QUALIFY row_number() OVER (PARTITION BY least(bug1, bug2), greatest(bug1, bug2) ORDER BY origin, bug1, bug2) = 1""")
-def half_anchored_negatives(spark, sf_dir):
-    """4,000 draws, half of them with a duplicate on one side; the number of draws is the sample asked for."""
-    r, f = _events(spark, sf_dir)
-    return pairs.half_anchored_negatives(r.select("bug_id", "root"), f.filter("is_dup").select("bug_id", "root"), 4000)
-
-
-def _near(df, r):
-    a, b = r.select(F.col("bug_id").alias("bug1"), F.col("priority").alias("p1")), r.select(F.col("bug_id").alias("bug2"), F.col("priority").alias("p2"))
-    return df.join(a, "bug1").join(b, "bug2")
-
-
-@query(f"WITH {FLAGGED}, {random_sql(8)} SELECT bug1, bug2, round(1.0 / (1 + abs(a.priority - b.priority)), 6) AS score, row_number() OVER (PARTITION BY bug1 ORDER BY 1.0 / (1 + abs(a.priority - b.priority)) DESC, bug2) AS rank FROM rn JOIN re a ON a.bug_id = bug1 JOIN re b ON b.bug_id = bug2 QUALIFY rank <= 3")
-def best_of_random_negatives(spark, sf_dir):
-    """The three closest of eight random negatives of each anchor."""
-    r, f = _events(spark, sf_dir)
-    drawn = pairs.random_negatives(f.filter("is_dup").select("bug_id", "root"), r, 8)
-    out = pairs.best_of_random(_near(drawn, r), 1.0 / (1 + F.abs(F.col("p1") - F.col("p2"))), 3)
-    return out.select("bug1", "bug2", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-@query(f"""WITH {FLAGGED}, {random_sql(8)}, l AS (SELECT bug1 AS anchor, bug2 AS cand, abs(a.priority - b.priority) AS gap FROM rn JOIN re a ON a.bug_id = bug1 JOIN re b ON b.bug_id = bug2),
-r AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY gap, cand) AS rank FROM l), n AS (SELECT CAST(ceil(20000.0 / count(DISTINCT anchor)) AS BIGINT) AS quota FROM r)
-SELECT anchor, cand, rank, CAST(gap - 1 AS DOUBLE) AS loss FROM r WHERE gap > 1 QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY rank) <= (SELECT quota FROM n)""")
-def preranked_non_zero(spark, sf_dir):
-    """Of ranked lists each anchor's first candidates with a loss, so many that 20,000 pairs can come of it."""
-    from pyspark.sql import Window
-
-    r, f = _events(spark, sf_dir)
-    drawn = _near(pairs.random_negatives(f.filter("is_dup").select("bug_id", "root"), r, 8), r)
-    lists = drawn.select(F.col("bug1").alias("anchor"), F.col("bug2").alias("cand"), F.abs(F.col("p1") - F.col("p2")).alias("gap"))
-    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy("gap", "cand")).cast("long"))
-    return pairs.preranked_non_zero(lists, (F.col("gap") - 1).cast("double"), 20_000)
 
 
 @query(f"WITH {DOC_REPORTS} SELECT bug_id, {draw_sql('bug_id', seed=0)} % 5 AS fold FROM rd")

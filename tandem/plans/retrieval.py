@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vx
 from ..operators import candidates, metrics, pairs, ranking, scoring
 from ..sources.views import EVENT_REPORTS, doc_reports, event_reports, table
-from .entity import FLAGGED, TRIPLETS, _triplets, flagged_events
+from .entity import TRIPLETS, _triplets, flagged_events
 from .registry import query
 
 #: Query reports of searches: ids divisible by 100, against all rows.
@@ -340,44 +340,7 @@ def dbr_logit(spark, sf_dir):
     return j.select("anchor", "cand", F.round(p, 6).alias("p"))
 
 
-# --- negatives, by hash draws: no SQL -----------------------------------------------------------------------------------------------
-
-
-def _anchored(spark, sf_dir):
-    r = event_reports(spark, sf_dir).select("bug_id", "root", "product", "component", "priority")
-    return r, flagged_events(spark, sf_dir).filter("is_dup").select("bug_id", "root", "product", "component")
-
-
-@query()
-def random_negatives(spark, sf_dir):
-    r, a = _anchored(spark, sf_dir)
-    return pairs.random_negatives(a, r, 2)
-
-
-def _with_loss(spark, sf_dir):
-    p = event_reports(spark, sf_dir).select("bug_id", "priority")
-    p1, p2 = p.select(F.col("bug_id").alias("bug1"), F.col("priority").alias("_1")), p.select(F.col("bug_id").alias("bug2"), F.col("priority").alias("_2"))
-    near = 1.0 / (1 + F.abs(F.col("_1") - F.col("_2")))
-    return lambda df: df.join(p1, "bug1").join(p2, "bug2").withColumn("loss", F.round(F.greatest(F.lit(0.0), near - 0.3), 3)).drop("_1", "_2")
-
-
-@query()
-def hard_k_negatives(spark, sf_dir):
-    r, a = _anchored(spark, sf_dir)
-    drawn = _with_loss(spark, sf_dir)(pairs.random_negatives(a, r, 6))
-    return pairs.hardest_negatives(drawn, F.col("loss"), 2)
-
-
-@query()
-def non_zero_negatives(spark, sf_dir):
-    r, a = _anchored(spark, sf_dir)
-    return pairs.non_zero_loss(a, r, _with_loss(spark, sf_dir), 2)
-
-
-@query()
-def product_mix_negatives(spark, sf_dir):
-    r, a = _anchored(spark, sf_dir)
-    return pairs.product_mix_negatives(a, r, 3)
+# --- lists drawn from, and pairs turned round ---------------------------------------------------------------------------------------
 
 
 @query()
@@ -386,12 +349,6 @@ def preranked_draw(spark, sf_dir):
     return pairs.preranked_draw(ranked.select("anchor").distinct(), ranked, 20)
 
 
-@query()
-def mixture(spark, sf_dir):
-    r, a = _anchored(spark, sf_dir)
-    return pairs.mixture([(pairs.random_negatives(a, r, 2), 0.5), (pairs.random_negatives(a, r, 2, seed=99), 0.5)])
-
-
 @query()
 def random_inversion(spark, sf_dir):
     p = pairs.positive_pairs(doc_reports(spark, sf_dir).select("bug_id", "root"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import features, neural, pairs, ranking, scoring, topics
+from ..operators import features, negatives, neural, pairs, ranking, scoring, topics
 from ..sources import reports as rp
 from ..sources.shared import written
 from ..sources.views import DOC_REPORTS, TOKENS_SQL, doc_reports, table
@@ -433,7 +433,7 @@ def svm_on_shared_idf(spark, sf_dir):
     post = written(_postings(spark, sf_dir), "postings")
     r = doc_reports(spark, sf_dir).select("bug_id", "root")
     good = pairs.positive_pairs(r)
-    bad = pairs.random_negatives(good.select(F.col("bug1").alias("bug_id")).distinct().join(r, "bug_id"), r, 2)
+    bad = negatives.random_negatives(good.select(F.col("bug1").alias("bug_id")).distinct().join(r, "bug_id"), r, 2)
     pr = good.unionByName(bad).select(F.col("bug1").alias("a"), F.col("bug2").alias("b"), "label")
     bags, idfs = scoring.three_bags(post, r.count())
     wide = scoring.wide_features(pr, scoring.shared_idf_features(pr, bags, idfs))
