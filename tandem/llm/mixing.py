@@ -7,11 +7,12 @@ its source's size, and what is over is shared again by weight until none is abov
 A source takes every document floor(target / size) times; the rest of its budget is fitted by once more taking
 some documents. Documents are counted by exact length (the histogram is all that a source's task sees, so
 its size is bounded by the number of different lengths). Each length first gets its proportional share; single
-documents follow until what is left is no more than the exact step works on, which is twice the longest document or
+documents follow until what is left is no more than the exact step works on, which is ROOM times the longest document or
 more. A bounded knapsack over all remaining counts (reachable sums as bit sets) then finds the largest sum that fits. So
-the words left over are fewer than the shortest document that is left. Where a whole budget is within the exact
-step and the shares stand in the way of a better sum, the knapsack works on all of it. Documents of over
-``MOST_EXACT`` / 2 words are taken longest first before the exact step, as long as they fit.
+the words left over are fewer than the shortest document that is left. Where words are left over, documents that were
+taken are given back, the longest first, until the exact step is full, and it chooses among all of them anew; a budget within
+the exact step is thus met by the best sum there is. Documents of over ``MOST_EXACT`` / ROOM words are taken longest first before
+the exact step, as long as they fit.
 
 Which documents of a length are taken is decided by a seeded hash of id and text: the k smallest,
 found through counts in hash ranges, so that no task ranks a whole length or source. Rows that agree in id and text
@@ -20,8 +21,8 @@ are taken one by one like all others: of those at the last hash as many as are s
 Targets need only sums over the sources, so the driver holds a few numbers. Reruns agree. A null source is a
 source, and so is an empty one. Empty texts have size 0 and
 are taken as often as their source's base says. An empty table gives an empty mix. Extra columns, of any name, are kept by
-``mix_documents`` and ignored by ``mix_report``; of rows that agree in id and text but not in other columns the mix
-may repeat one.
+``mix_documents`` and ignored by ``mix_report``; rows that agree in id and text stand in the order of a hash of all their
+columns (maps aside), so each is a document of its own there too.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MOST = 3
 SEED = 17
 #: Words that the exact step works on at least, and at most.
 KNAPSACK_WORDS, MOST_EXACT = 1 << 16, 1 << 24
+#: ... and as many of the longest documents, where that is more.
+ROOM = 4
 #: Hash ranges of one length: no task ranks more than one of them.
 RANGE_BITS = 12
 
@@ -88,7 +91,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int
         return taken
     if budget >= total:
         return np.where(lengths > 0, counts, 0)
-    room = int(min(max(limit, 2 * lengths.max()), MOST_EXACT))
+    room = int(min(max(limit, ROOM * lengths.max()), MOST_EXACT))
     share = np.where(lengths > 0, counts * (budget / total), 0)
     taken = np.minimum(np.floor(share).astype(np.int64), counts)
     rest = budget - int((lengths * taken).sum())
@@ -103,23 +106,35 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, limit: int
             break
         if lengths[k]:
             more = min(int(counts[k] - taken[k]), rest // int(lengths[k]))
-            if lengths[k] * 2 <= room:  # leave the exact step its room
+            if lengths[k] * ROOM <= room:  # leave the exact step its room
                 more = min(more, -(-(rest - room) // int(lengths[k])))
             taken[k] += more
             rest -= more * int(lengths[k])
-    if rest > 0:
-        small = np.flatnonzero((lengths > 0) & (lengths <= rest) & (taken < counts))
-        small = small[np.argsort(-(share - taken)[small], kind="stable")]
-        more = np.array(knapsack(lengths[small].tolist(), (counts - taken)[small].tolist(), min(rest, room)), np.int64)
-        taken[small] += more
-        rest -= int((lengths[small] * more).sum())
-    if rest > 0 and budget <= room:
-        again = np.array(knapsack(lengths.tolist(), counts.tolist(), budget), np.int64)
-        if int((lengths * again).sum()) > budget - rest:
-            taken = again
+    before, open_ = taken.copy(), rest
+    rest = _exact(lengths, counts, taken, min(rest, room), share) + max(0, rest - room)
+    if rest > 0:  # give taken documents back, the longest first, as far as the exact step has room, and choose anew
+        space = min(open_, room)
+        for k in np.argsort(-lengths, kind="stable").tolist():
+            if lengths[k]:
+                back = min(int(before[k]), (room - space) // int(lengths[k]))
+                before[k] -= back
+                space += back * int(lengths[k])
+        if space > open_ and _exact(lengths, counts, before, space, share) < rest:
+            taken = before
     return taken
 
 
+def _exact(lengths: np.ndarray, counts: np.ndarray, taken: np.ndarray, space: int, share: np.ndarray) -> int:
+    """Adds to ``taken`` the documents left that fill ``space`` best; gives the words that stay free."""
+    some = np.flatnonzero((lengths > 0) & (lengths <= space) & (taken < counts))
+    if space <= 0 or not len(some):
+        return max(0, space)
+    some = some[np.argsort(-(share - taken)[some], kind="stable")]
+    more = np.array(knapsack(lengths[some].tolist(), (counts - taken)[some].tolist(), space), np.int64)
+    taken[some] += more
+    return space - int((lengths[some] * more).sum())
+
+
 def _key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column), F.lit(""))
 
@@ -177,19 +192,24 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     by = ["_key", "_size"]
     zero = F.lit(0).cast("long")
     whole = takes.filter("take >= n").select(*by, F.lit(2**63 - 1).alias("cut"), zero.alias("ties"), zero.alias("need"))
-    some = takes.filter("take < n").select(*by, "take")
-    # the k-th smallest hash: counts by hash range, then counts by hash in the one range where the count is reached
-    span = F.shiftright(F.col("_hash"), 64 - RANGE_BITS)
-    ranged = rows.select(*by, "_hash", span.alias("span"))
-    counts = ranged.groupBy(*by, "span").count()
+    some = takes.filter("take < n").select(*by, "take", "n")
+    last = _nth_hash(skew.join_counted(rows, some, by, "n", rows.count()).select(*by, "_hash", "take"), by, "_hash", "take")
+    last = last.select(*by, "cut", "ties", "need")
+    return targets, store.materialise(whole.unionByName(last), "cuts")
+
+
+def _nth_hash(rows: DataFrame, by: list[str], value: str, nth: str) -> DataFrame:
+    """(by..., cut, ties, need) from rows (by..., value, nth), nth being the same in a group: the nth smallest value, how many rows have it, and
+    how many of these are among the first nth. Rows are counted by ranges of the value, then by value in one range."""
+    ranged = rows.select(*by, nth, value, F.shiftright(F.col(value), 64 - RANGE_BITS).alias("span"))
+    counts = ranged.groupBy(*by, nth, "span").count()
     upto = F.sum("count").over(Window.partitionBy(*by).orderBy("span"))  # 2**RANGE_BITS rows at most
-    edge = counts.join(some, by).withColumn("upto", upto).filter("upto >= take and upto - count < take")
-    edge = store.materialise(edge.select(*by, "span", (F.col("take") - F.col("upto") + F.col("count")).alias("k"), "count"), "edges")
-    near = skew.join_counted(ranged, edge, [*by, "span"], "count", rows.count()).groupBy(*by, "span", "k", "_hash").agg(F.count(F.lit(1)).alias("ties"))
-    upto = F.sum("ties").over(Window.partitionBy(*by, "span").orderBy("_hash"))
+    edge = counts.withColumn("upto", upto).filter(f"upto >= {nth} and upto - count < {nth}")
+    edge = store.materialise(edge.select(*by, "span", (F.col(nth) - F.col("upto") + F.col("count")).alias("k"), "count"), "edges")
+    near = skew.join_counted(ranged.drop(nth), edge, [*by, "span"], "count", rows.count()).groupBy(*by, "span", "k", value).agg(F.count(F.lit(1)).alias("ties"))
+    upto = F.sum("ties").over(Window.partitionBy(*by, "span").orderBy(value))
     last = near.withColumn("upto", upto).filter("upto >= k and upto - ties < k")
-    last = last.select(*by, F.col("_hash").alias("cut"), "ties", (F.col("k") - F.col("upto") + F.col("ties")).alias("need"))
-    return targets, store.materialise(whole.unionByName(last), "cuts")
+    return last.select(*by, F.col(value).alias("cut"), "ties", (F.col("k") - F.col("upto") + F.col("ties")).alias("need"))
 
 
 def _planned(rows: DataFrame, targets: DataFrame, cuts: DataFrame, counted: DataFrame) -> DataFrame:
@@ -232,10 +252,15 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: i
     found = found.select("row", "_key", "_size", "_hash", "base", "need", _extra().alias("extra"))
     times = found.withColumn("times", (F.col("base") + F.coalesce("extra", F.lit(0))).cast("int"))
     mixed = times.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
-    some = cuts.filter("need < ties").select(F.col("_key").alias("k"), F.col("_size").alias("s"), F.col("cut").alias("h"), "need")
-    if some.limit(1).count():  # equal rows at a cut: one of them as often as is needed
-        same = (F.col("_key") == F.col("k")) & (F.col("_size") == F.col("s")) & (F.col("_hash") == F.col("h"))
-        ties = keyed.join(F.broadcast(some), same) if some.count() <= 10_000 else keyed.join(some, same)
-        one = ties.groupBy("k", "s", "h", "need").agg(F.first("row").alias("row"))
-        mixed = mixed.unionByName(one.select("row", F.explode(F.array_repeat(F.lit(0), F.col("need").cast("int"))).alias("copy")))
+    some = cuts.filter("need < ties").withColumnRenamed("cut", "_hash")
+    if some.limit(1).count():  # rows of one id and text at a cut: the first in the order of all columns' hash
+        by, total = ["_key", "_size", "_hash"], rows.count()
+        plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        ties = skew.join_counted(keyed, some, by, "ties", total).select(*by, "need", "row", F.xxhash64(F.lit(seed), *plain).alias("all"))
+        ties = store.materialise(ties, "ties")
+        last = _nth_hash(ties.drop("row"), by, "all", "need").select(*by, F.col("cut").alias("at"), F.col("need").alias("left"))
+        cut = skew.join_counted(ties.drop("need"), last.join(some.select(*by, "ties"), by), by, "ties", total)
+        one = cut.filter(F.col("all") == F.col("at")).groupBy(*by, "left").agg(F.first("row").alias("row"))  # these rows are equal
+        again = F.explode(F.array_repeat(F.lit(0), F.col("left").cast("int"))).alias("copy")
+        mixed = mixed.unionByName(cut.filter(F.col("all") < F.col("at")).select("row", F.lit(0).alias("copy"))).unionByName(one.select("row", again))
     return mixed.select("row.*")

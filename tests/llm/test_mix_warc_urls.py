@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -234,3 +235,25 @@ def test_list_values_and_clashing_columns(spark):
     assert {r["_path"] for r in rows} == {"mine"} and [r["host"] for r in rows] == ["ok.org", "ok.org", "ok.org", "a.bad.com", "bad.com", None]
     assert url_lists.apply_lists(pages.filter("page_id < 0"), entries).count() == 0
     assert url_lists.apply_lists(pages, entries.filter("kind is null")).filter("blocked").count() == 0
+
+
+def test_rows_that_differ_in_another_column_only(spark):
+    """Ten rows of one id and text: each is a document of its own, in the report and in the mix."""
+    rows = [(1, "a b c", "s", m) for m in range(10)] + [(k, "x " * (k % 5 + 1), "t", 0) for k in range(2, 40)] + [(99, "y y", "s", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, meta int").repartition(3)
+    got = mixing.mix_documents(docs).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_documents(docs.repartition(5)).collect()))
+    times, stands = Counter(map(tuple, got)), Counter(rows)
+    assert set(times) <= set(stands) and all(times[r] <= 3 * stands[r] for r in times)
+    size = {"a b c": 3, "y y": 2}
+    taken = sum(r["taken"] for r in mixing.mix_report(docs).collect() if r["doc_id"] in (1, 99))
+    assert sum(size[r["text"]] for r in got if r["source"] == "s") == taken
+    one = {r[3] for r in times if r[0] == 1}
+    assert len(one) >= min(10, sum(n for r, n in times.items() if r[0] == 1))
+
+
+@pytest.mark.parametrize("lengths, counts, budget, best", [([40000, 30001, 7], [5, 5, 3], 150_003, 150_001), ([9_000_000, 7_000_000], [3, 3], 25_000_000, 25_000_000)])
+def test_taken_documents_are_swapped_for_a_better_sum(lengths, counts, budget, best):
+    lengths, counts = np.array(lengths), np.array(counts)
+    taken = mixing.fit_lengths(lengths, counts, budget)
+    assert (taken <= counts).all() and (lengths * taken).sum() == best
