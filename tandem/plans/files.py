@@ -159,14 +159,16 @@ def negative_matrix(spark, sf_dir):
     return m.select("report_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("p", "c")).select("report_id", (F.col("p") + 1).alias("rank"), F.col("c.ids").alias("neg_id"), F.col("c.scores").alias("score"))
 
 
-@query("SELECT 'w' || vec_id AS word, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 3) AS total, len(embedding) AS dims FROM embeddings")
+@query("SELECT 'w' || vec_id AS word, list_sum(list_transform(embedding, lambda x: CAST(round(round(CAST(x AS DOUBLE), 4) * 10000) AS BIGINT))) / 10000.0::DOUBLE AS total, len(embedding) AS dims FROM embeddings")
 def vector_file(spark, sf_dir):
     path = shared_path(spark, "vectors")
     e = table(spark, sf_dir, "embeddings")
     digits = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), " ")
     e.select(F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "), digits).alias("value")).write.text(path)
     v = rp.read_vectors(spark, path)
-    return v.select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.size("vec").cast("long").alias("dims"))
+    parts = F.transform("vec", lambda x: F.round(x * 10000).cast("long"))  # whole numbers, so that the sum has one value in any order
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x) / F.lit(10000.0)
+    return v.select("word", total.alias("total"), F.size("vec").cast("long").alias("dims"))
 
 
 _WORDS = f"{DOC_REPORTS}, wd AS (SELECT DISTINCT unnest({TOKENS_SQL.format('text')}) AS word FROM rd)"

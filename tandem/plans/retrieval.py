@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
-from ..operators import candidates, metrics, pairs, ranking, scoring
+from ..functions.draws import draw_sql
+from ..operators import candidates, dense, metrics, pairs, ranking, scoring
 from ..sources.views import EVENT_REPORTS, doc_reports, event_reports, table
 from .entity import TRIPLETS, _triplets, flagged_events
 from .registry import query
@@ -264,23 +265,25 @@ def _vectors(spark, sf_dir):
     return e, e.filter(F.col("vec_id") % EVERY == 0)
 
 
-def _cosine_lists(spark, sf_dir):
-    e, q = _vectors(spark, sf_dir)
-    q = q.select(F.col("vec_id").alias("bug_id"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    c = e.select(F.col("vec_id").alias("bug_id"), "label", "v")
-    pairs_ = candidates._theta(q, c, F.col("a.bug_id") != F.col("c.bug_id"))
-    return pairs_.select(F.col("a.bug_id").alias("anchor"), F.col("c.bug_id").alias("cand"), F.col("ql"), F.col("label"), F.round(vx.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
+def _stated(spark, sf_dir):
+    """The query vectors, every hundredth, and all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return e.filter(F.col("id") % EVERY == 0), e
 
 
-@query(f"WITH {VEC} SELECT q.vec_id AS anchor, c.vec_id AS cand, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM qv q JOIN ve c ON q.vec_id <> c.vec_id")
+COSINES = f"{VEC}, cl AS (SELECT q.vec_id AS anchor, c.vec_id AS cand, q.label AS ql, c.label, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM qv q JOIN ve c ON q.vec_id <> c.vec_id)"
+
+
+@query(f"WITH {COSINES} SELECT anchor, cand, score FROM cl")
 def dense_cosine(spark, sf_dir):
-    return _cosine_lists(spark, sf_dir).select("anchor", "cand", "score")
+    return dense.pair_scores(*_stated(spark, sf_dir)).select("anchor", "cand", "score")
 
 
-@query(f"WITH {VEC} SELECT anchor, cand, score, k FROM (SELECT q.vec_id AS anchor, c.vec_id AS cand, round(list_cosine_similarity(q.v, c.v), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 6) DESC, CAST(c.vec_id AS VARCHAR) DESC) AS k FROM qv q JOIN ve c ON q.label <> c.label) WHERE k <= 30")
+@query(f"WITH {COSINES} SELECT anchor, cand, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, CAST(cand AS VARCHAR) DESC) AS k FROM cl WHERE ql <> label QUALIFY k <= 300")
 def topk_negatives(spark, sf_dir):
-    other = _cosine_lists(spark, sf_dir).filter("ql <> label")
-    return ranking.recommend(other, 30, F.col("cand").cast("string").desc()).select("anchor", "cand", "score", F.col("rank").cast("long").alias("k"))
+    """The 300 nearest vectors of other labels of each query vector."""
+    q, e = _stated(spark, sf_dir)
+    return dense.top_lists(q, e, 300, other_label=True, text_ties=True).select("anchor", "cand", "score", F.col("rank").cast("long").alias("k"))
 
 
 @query(f"WITH {VEC}, d AS (SELECT vec_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM ve), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS sd FROM d GROUP BY i) SELECT vec_id, i, round((x - m) / sd, 6) AS z FROM d JOIN s USING (i)")
@@ -309,10 +312,8 @@ def activations(spark, sf_dir):
 def jensen_shannon(spark, sf_dir):
     e, _ = _vectors(spark, sf_dir)
     size = vx.total(F.transform("v", lambda x: F.abs(x)))
-    p = e.select("vec_id", size.alias("s"), "v").select(F.col("vec_id").alias("bug_id"), F.transform("v", lambda x: F.abs(x) / F.col("s")).alias("p"))
-    q = p.filter(F.col("bug_id") % EVERY == 0).withColumnRenamed("p", "qp")
-    j = candidates._theta(q, p, F.col("a.bug_id") != F.col("c.bug_id"))
-    return j.select(F.col("a.bug_id").alias("anchor"), F.col("c.bug_id").alias("cand"), F.round(vx.jensen_shannon(F.col("qp"), F.col("p")), 6).alias("js"))
+    p = e.select(F.col("vec_id").alias("id"), "label", size.alias("s"), "v").select("id", "label", F.transform("v", lambda x: F.abs(x) / F.col("s")).alias("v"))
+    return dense.pair_scores(p.filter(F.col("id") % EVERY == 0), p, dense.jensen_shannon).select("anchor", "cand", F.col("score").alias("js"))
 
 
 @query("SELECT vec_id, CASE WHEN label < 5 THEN label ELSE label + 100 END AS label FROM embeddings")
@@ -343,9 +344,14 @@ def dbr_logit(spark, sf_dir):
 # --- lists drawn from, and pairs turned round ---------------------------------------------------------------------------------------
 
 
-@query()
+_NEAREST = f"WITH {COSINES}, rl AS (SELECT anchor, cand, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, cand) AS rank FROM cl WHERE ql <> label)"
+
+
+@query(f"{_NEAREST}, sz AS (SELECT anchor, {draw_sql('anchor', seed=0)} % max(rank) + 1 AS rank FROM rl WHERE rank <= 20 GROUP BY anchor) SELECT anchor, cand, CAST(rank AS INTEGER) AS rank FROM sz JOIN rl USING (anchor, rank)")
 def preranked_draw(spark, sf_dir):
-    ranked = ranking.recommend(_cosine_lists(spark, sf_dir).filter("ql <> label"), 30)
+    """One of the 20 nearest vectors of other labels for each query vector."""
+    q, e = _stated(spark, sf_dir)
+    ranked = dense.top_lists(q, e, 20, other_label=True)
     return pairs.preranked_draw(ranked.select("anchor").distinct(), ranked, 20)
 
 

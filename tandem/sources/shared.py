@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,35 @@ def placed(df: DataFrame, by: list[str], name: str) -> DataFrame:
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
     numbered = ranged.join(F.broadcast(before), "_range")  # as many rows as ranges
     return numbered.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1 + F.col("_before")).drop("_range", "_before")
+
+
+def written_files(df: DataFrame, name: str, rows_per_file: int = 8192) -> list[str]:
+    """Write a table that tasks read block by block, in files of about ``rows_per_file`` rows; the files' URIs."""
+    path = shared_path(df.sparkSession, name)
+    df.repartition(max(1, df.count() // rows_per_file + 1)).write.parquet(path)
+    fs, folder, prefix = _arrow(path)
+    from pyarrow.fs import FileSelector
+
+    return sorted(f"{prefix}{f.path}" for f in fs.get_file_info(FileSelector(folder)) if f.base_name.endswith(".parquet"))
+
+
+def _arrow(uri: str):
+    """Arrow's file system of a URI or path, the path in it, and what turns such a path into a URI again."""
+    from pyarrow.fs import FileSystem
+
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    fs, path = FileSystem.from_uri(uri)
+    return fs, path, uri[: uri.index(path)] if path in uri else uri.split("://")[0] + "://"
+
+
+def blocks_of(files: list[str], rows: int) -> Iterator[pa.Table]:
+    """The rows of ``written_files`` in blocks of at most ``rows``, one in memory at a time."""
+    import pyarrow.parquet as pq
+
+    for name in files:
+        fs, path, _ = _arrow(name)
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=rows):
+                if batch.num_rows:
+                    yield pa.Table.from_batches([batch])
