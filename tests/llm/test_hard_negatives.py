@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tandem.llm import hard_negatives as hn
@@ -56,13 +57,31 @@ def test_one_label_and_empty_tables(spark):
     assert mined(spark, [(100, [1e30, 2.0], 0), (1, [1e30, 1.0], 0), (2, [1e30, 1.0], 1)]) != []  # held at the limit
 
 
-def test_small_steps(spark, monkeypatch):
-    for name, value in (("STEP_ROWS", 16), ("STEP_PAIRS", 8), ("PART_BYTES", 512)):
-        monkeypatch.setattr(hn, name, value)
+def test_small_steps(monkeypatch):
+    """One part and one block in this process, with steps of a few rows and pairs, against all pairs."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 6))
-    rows = [(i * 10, v.tolist(), i % 3) for i, v in enumerate(x)]
-    assert mined(spark, rows) == plain(rows)
+    v = np.floor(256 * rng.normal(size=(400, 6)) * 0.3).astype(np.int64)
+    v[200:260] = v[7]  # many equal vectors
+    label, books = np.arange(400) % 3, hn.fit_codebooks(v)
+    codes, bound = hn.encode(v, books)
+    lists = pa.array(v.tolist(), pa.list_(pa.int64()))
+    table = pa.table({"row": np.arange(400), "vec_id": np.arange(400) * 5, "label": label, "v": lists, "codes": [c.tobytes() for c in codes], "bound": bound})
+    dots = v @ v.T
+    for step, pairs in ((2048, 1 << 15), (16, 8)):
+        monkeypatch.setattr(hn, "STEP_ROWS", step)
+        monkeypatch.setattr(hn, "STEP_PAIRS", pairs)
+        rows, asked = hn.Rows(table, 6), table.slice(0, 40)
+        best = hn.positives_of(rows, hn.Anchors(asked, books, 6), 5)
+        firsts = {k: sorted((-dots[k, i], i * 5) for i in range(400) if i != k and label[i] == label[k])[:5] for k in range(40)}
+        assert [(g, -s, i) for g, s, i in zip(best.group, best.score, best.vec_id)] == [(k, s, i) for k in range(40) for s, i in firsts[k]]
+        windows = [[{"positive_score": int(-s)} for s, _ in firsts[k]] for k in range(40)]
+        found, wide = hn.windows_of(rows, hn.Anchors(asked.append_column("windows", pa.array(windows)), books, 6), 5, 80, 100)
+        want = []
+        for k in range(40):
+            for w, (s, _) in enumerate(firsts[k]):
+                inside = sorted((-dots[k, i], i * 5) for i in range(400) if label[i] != label[k] and -80 * s <= 100 * dots[k, i] <= -100 * s)[:5]
+                want += [(k * wide + w, t, i) for t, i in inside]
+        assert [(g, -s, i) for g, s, i in zip(found.group, found.score, found.vec_id)] == want
 
 
 @pytest.mark.parametrize("spread", [0.1, 5.0, 1e4])
