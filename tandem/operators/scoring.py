@@ -49,9 +49,8 @@ def bm25f_terms(post: DataFrame) -> DataFrame:
     return both.withColumns({f"len_{f}": F.sum(f"tf_{f}").over(own) for f in ("sum", "desc")})
 
 
-def bm25f_ext(queries: DataFrame, docs: DataFrame, idf: DataFrame, averages: DataFrame, uni: Bm25fWeights = Bm25fWeights(), bi: Bm25fWeights = Bm25fWeights(), w_uni: float = 0.9, w_bi: float = 0.2, same: bool = False) -> DataFrame:
-    """(anchor, cand, uni, bi, score). ``idf``: n, token, idf; ``averages``: n, avg_sum, avg_desc; query and document
-    terms as from ``bm25f_terms``. Without ``same`` a report is no candidate of itself."""
+def bm25f_sides(queries: DataFrame, docs: DataFrame, idf: DataFrame, averages: DataFrame, uni: Bm25fWeights = Bm25fWeights(), bi: Bm25fWeights = Bm25fWeights()) -> tuple[DataFrame, DataFrame]:
+    """(anchor, n, token, iw) and (cand, n, token, dw), whose products sum to a pair's scores of each n."""
 
     def pick(name: str) -> Column:
         return F.when(F.col("n") == 1, getattr(uni, name)).otherwise(getattr(bi, name))
@@ -68,6 +67,13 @@ def bm25f_ext(queries: DataFrame, docs: DataFrame, idf: DataFrame, averages: Dat
     qw = pick("w_sum") * F.col("tf_sum") + pick("w_desc") * F.col("tf_desc")
     query = queries.withColumn("qw", qw).join(idf, ["n", "token"])
     query = query.select(F.col("bug_id").alias("anchor"), "n", "token", (F.col("idf") * F.coalesce(F.try_divide((pick("k3") + 1) * F.col("qw"), pick("k3") + F.col("qw")), F.lit(0.0))).alias("iw"))
+    return query, cand
+
+
+def bm25f_ext(queries: DataFrame, docs: DataFrame, idf: DataFrame, averages: DataFrame, uni: Bm25fWeights = Bm25fWeights(), bi: Bm25fWeights = Bm25fWeights(), w_uni: float = 0.9, w_bi: float = 0.2, same: bool = False) -> DataFrame:
+    """(anchor, cand, uni, bi, score). ``idf``: n, token, idf; ``averages``: n, avg_sum, avg_desc; query and document
+    terms as from ``bm25f_terms``. Without ``same`` a report is no candidate of itself."""
+    query, cand = bm25f_sides(queries, docs, idf, averages, uni, bi)
     pairs = query.join(cand, ["n", "token"])
     if not same:
         pairs = pairs.filter("anchor <> cand")

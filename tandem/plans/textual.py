@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import features, negatives, neural, pairs, ranking, scoring, topics
+from ..operators import features, impact, negatives, neural, pairs, ranking, scoring, topics
 from ..sources import reports as rp
 from ..sources.shared import written
 from ..sources.views import DOC_REPORTS, TOKENS_SQL, doc_reports, table
@@ -369,6 +369,40 @@ def rep(spark, sf_dir):
     return _rep(spark, sf_dir)
 
 
+def _impact(spark, sf_dir, extra: bool):
+    """The 300 best reports of other sets for each query report (ids divisible by 100)."""
+    terms, idf, averages = _bm25_parts(spark, sf_dir)
+    q, d = impact.bm25f_weights(terms.filter(F.col("bug_id") % EVERY == 0), terms, idf, averages)
+    codes = ("product", "component", (F.col("n_chars") % 5).alias("severity"), (F.col("n_chars") % 4).alias("version"), (F.col("n_chars") % 7).alias("priority"))
+    r = written(doc_reports(spark, sf_dir).select("bug_id", "root", *codes), "codes")
+    sets = r.select("bug_id", "root")
+
+    def other_sets(pairs_):
+        a, c = sets.select(F.col("bug_id").alias("anchor"), F.col("root").alias("_a")), sets.select(F.col("bug_id").alias("cand"), F.col("root").alias("_c"))
+        return pairs_.join(a, "anchor").join(c, "cand").filter("_a <> _c").drop("_a", "_c")
+
+    def extras(pairs_):
+        j = pairs_.join(r.alias("q"), F.col("anchor") == F.col("q.bug_id")).join(r.alias("c"), F.col("cand") == F.col("c.bug_id"))
+        return j.select(*pairs_.columns, scoring.rep_extras(_W).alias("extra"))
+
+    most = _W.component + _W.sub_component + _W.report_type + _W.version + _W.priority
+    out = impact.best_lists(q, written(d, "impacts"), 300, other_sets, extras, most) if extra else impact.best_lists(q, written(d, "impacts"), 300, other_sets)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+_OTHERS = "SELECT anchor, cand, score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, cand DESC) AS rank FROM {0} JOIN rd a ON a.bug_id = anchor JOIN rd b ON b.bug_id = cand WHERE a.root <> b.root QUALIFY rank <= 300"
+
+
+@query(f"WITH {BM25}, {_bm25_sql('dt', f'bug_id % {EVERY} = 0')}, br AS (SELECT anchor, cand, round(0.9::DOUBLE * uni + 0.2::DOUBLE * bi, 6) AS score FROM bm) {_OTHERS.format('br')}")
+def bm25f_negatives(spark, sf_dir):
+    return _impact(spark, sf_dir, False)
+
+
+@query(f"{REP_SQL} {_OTHERS.format('rp').replace('anchor, cand, score', 'rp.anchor, rp.cand, rp.score')}")
+def rep_negatives(spark, sf_dir):
+    return _impact(spark, sf_dir, True)
+
+
 @query(f"{REP_SQL} SELECT anchor, cand, round(0.7::DOUBLE * score + (1 - 0.7::DOUBLE) * (1.0::DOUBLE / (1 + abs(anchor - cand))), 6) AS score FROM rp")
 def ensemble(spark, sf_dir):
     near = 1.0 / (1 + F.abs(F.col("anchor") - F.col("cand")))
