@@ -429,9 +429,70 @@ def topic_vectors(spark, sf_dir):
     return topics.lda_topics(_postings(spark, sf_dir, (1,)), topics=8, max_iter=5)
 
 
-@query()
+#: Topics and sweeps of the duplicate-aware model; rounds of inference.
+TOPICS, SWEEPS, FOLDS = 4, 3, 5
+
+
+def _topic_rows(spark, sf_dir):
+    """(bug_id, root, token, tf) of tokens that stand twice or more."""
+    post = _postings(spark, sf_dir, (1,)).filter("token <> '#EMPTY'").groupBy("bug_id", "token").agg(F.sum("tf").alias("tf"))
+    post = written(post, "postings")
+    kept = features.vocabulary(post).select("token")
+    return post.join(kept, "token", "left_semi").join(doc_reports(spark, sf_dir).select("bug_id", "root"), "bug_id")
+
+
+def _topics_sql(where: str = "TRUE", name: str = "z") -> str:
+    """CTEs up to ``name``n: the state after the last sweep over the reports that ``where`` takes."""
+    every, t = range(TOPICS), lambda f, sep=", ": sep.join(f(i) for i in range(TOPICS))
+    md5 = lambda seed: f"CAST('0x' || substr(md5(CAST(bug_id AS VARCHAR) || '|' || token || '|' || CAST(j AS VARCHAR) || '|{seed}'), 1, 15) AS BIGINT)"
+    out = f"""{name}p AS MATERIALIZED (SELECT bug_id, token, sum(tf) AS tf FROM post WHERE n = 1 AND token <> '#EMPTY' GROUP BY ALL),
+  {name}r AS MATERIALIZED (SELECT bug_id, root, token, CAST(tf AS BIGINT) AS tf FROM {name}p JOIN rd USING (bug_id) WHERE token IN (SELECT token FROM {name}p GROUP BY token HAVING sum(tf) >= 2) AND {where}),
+  {name}0 AS MATERIALIZED (SELECT bug_id, root, token, tf, {t(lambda i: f'CAST(len(list_filter(u, lambda x: x = {i})) AS BIGINT) AS k{i}')} FROM (SELECT *, list_transform(range(tf), lambda j: {md5(0)} % {TOPICS}) AS u FROM {name}r))"""
+    for s in range(1, SWEEPS + 1):
+        was, now = f"{name}{s - 1}", f"{name}{s}"
+        weight = lambda i: f"(w{i} - k{i} + 0.01::DOUBLE) / (t{i} - k{i} + v * 0.01::DOUBLE) * (s{i} - k{i} + 1.0::DOUBLE)"
+        edges = ", ".join(" + ".join(f"g{j}" for j in range(i + 1)) for i in every)
+        count = lambda i: f"CAST(len(list_filter(u, lambda x: x >= {f'e[{i}]' if i else -1.0} AND x < {f'e[{i + 1}]' if i + 1 < TOPICS else 1e308})) AS BIGINT) AS k{i}"
+        out += f""",
+  {now}w AS (SELECT token, {t(lambda i: f'sum(k{i}) AS w{i}')} FROM {was} GROUP BY token), {now}s AS (SELECT root, {t(lambda i: f'sum(k{i}) AS s{i}')} FROM {was} GROUP BY root),
+  {now}t AS (SELECT count(DISTINCT token) AS v, {t(lambda i: f'sum(k{i}) AS t{i}')} FROM {was}),
+  {now}g AS (SELECT bug_id, root, token, tf, {t(lambda i: f'{weight(i)} AS g{i}')} FROM {was} JOIN {now}w USING (token) JOIN {now}s USING (root), {now}t),
+  {now} AS MATERIALIZED (SELECT bug_id, root, token, tf, {t(count)} FROM (SELECT *, list_transform(range(tf), lambda j: {md5(s)} / 1152921504606846976.0::DOUBLE * e[{TOPICS}]) AS u FROM (SELECT *, [{edges}] AS e FROM {now}g)))"""
+    return out + f", {name}n AS (SELECT * FROM {name}{SWEEPS})"
+
+
+_THETA_SQL = ", ".join(f"round((s{i} + 1.0::DOUBLE) / ({' + '.join(f's{j}' for j in range(TOPICS))} + {float(TOPICS)}::DOUBLE), 6) AS theta{i}" for i in range(TOPICS))
+
+
+@query(f"WITH {POST}, {_topics_sql()} SELECT root, {_THETA_SQL} FROM (SELECT root, {', '.join(f'sum(k{i}) AS s{i}' for i in range(TOPICS))} FROM zn GROUP BY root)")
+def duplicate_topics(spark, sf_dir):
+    """The topic shares of each set of equal reports."""
+    state = topics.fit_duplicate_topics(_topic_rows(spark, sf_dir), TOPICS, SWEEPS)
+    return topics.set_mixtures(state, TOPICS).select("root", *[F.round(f"theta{t}", 6).alias(f"theta{t}") for t in range(TOPICS)])
+
+
+def _fold_sql() -> str:
+    every = range(TOPICS)
+    phi = ", ".join(f"(w{i} + 0.01::DOUBLE) / (sum(w{i}) OVER () + count(*) OVER () * 0.01::DOUBLE) AS phi{i}" for i in every)
+    out = f"""fw AS MATERIALIZED (SELECT token, {phi} FROM (SELECT token, {', '.join(f'sum(k{i}) AS w{i}' for i in every)} FROM zn GROUP BY token)),
+  fr AS MATERIALIZED (SELECT p.bug_id, p.token, CAST(tf AS BIGINT) AS tf FROM zp p WHERE bug_id % 5 = 0), fk AS MATERIALIZED (SELECT * FROM fr JOIN fw USING (token)),
+  f0 AS MATERIALIZED (SELECT DISTINCT bug_id, {', '.join(f'{1 / TOPICS}::DOUBLE AS theta{i}' for i in every)} FROM fr)"""
+    for r in range(1, FOLDS + 1):
+        whole = " + ".join(f"phi{i} * theta{i}" for i in every)
+        sums = ", ".join(f"sum(tf * (phi{i} * theta{i}) / ({whole})) AS e{i}" for i in every)
+        new = ", ".join(f"coalesce((e{i} + 1.0::DOUBLE) / ({' + '.join(f'e{j}' for j in every)} + {float(TOPICS)}::DOUBLE), theta{i}) AS theta{i}" for i in every)
+        out += f", f{r} AS MATERIALIZED (SELECT bug_id, {new} FROM f{r - 1} LEFT JOIN (SELECT bug_id, {sums} FROM fk JOIN f{r - 1} USING (bug_id) GROUP BY bug_id) USING (bug_id))"
+    return out + f" SELECT bug_id, {', '.join(f'round(theta{i}, 6) AS theta{i}' for i in every)} FROM f{FOLDS}"
+
+
+@query(f"WITH {POST}, {_topics_sql('bug_id % 5 <> 0')}, {_fold_sql()}")
 def topic_inference(spark, sf_dir):
-    return topics.infer_by_hash_topics(_postings(spark, sf_dir, (1,)), topics=8, sweeps=15)
+    """Shares of every fifth report under topics that were fitted on the others."""
+    post = _topic_rows(spark, sf_dir)
+    state = topics.fit_duplicate_topics(post.filter("bug_id % 5 <> 0"), TOPICS, SWEEPS)
+    new = _postings(spark, sf_dir, (1,)).filter("token <> '#EMPTY' and bug_id % 5 = 0").groupBy("bug_id", "token").agg(F.sum("tf").alias("tf"))
+    out = topics.infer_topics(new, topics.topic_words(state, TOPICS), TOPICS, FOLDS)
+    return out.select("bug_id", *[F.round(f"theta{t}", 6).alias(f"theta{t}") for t in range(TOPICS)])
 
 
 @query()

@@ -81,3 +81,12 @@ def blocks_of(files: list[str], rows: int) -> Iterator[pa.Table]:
             for batch in pq.ParquetFile(f).iter_batches(batch_size=rows):
                 if batch.num_rows:
                     yield pa.Table.from_batches([batch])
+
+
+def join_frequent(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, least: int = 500, share: float = 1 / 2000) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row for each key and the key's number of rows in ``count``; ``total`` is that of all rows.
+    Keys of at least that share of the rows are few (1 / share) and are broadcast, the others are shuffled."""
+    often = F.col(count) >= max(least, total * share)
+    few = F.broadcast(table.filter(often))  # 1 / share rows at most
+    rest = rows.join(few.select(key), key, "left_anti").join(table.filter(~often), key)
+    return rows.join(few, key).unionByName(rest)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tandem.sources.shared import written
 from tandem.operators import metrics, neural, pairs, ranking, scoring, topics
 
 
@@ -77,4 +78,26 @@ def test_duplicate_topics_separate_words():
     docs = [[0, 1, 0, 1] * 4, [0, 1, 1] * 4, [2, 3, 2, 3] * 4, [3, 2, 2] * 4]
     m = topics.DuplicateTopics(2, alpha=0.1, seed=3).fit(docs, [0, 0, 1, 1], 4, sweeps=60)
     assert m.theta[0].argmax() != m.theta[1].argmax() and m.theta.max(axis=1).min() > 0.8
-    assert topics.infer_theta(np.array([2, 3]), np.array([4, 4]), m.phi).argmax() == m.theta[1].argmax()
+
+
+def test_sweeps_over_all_postings_separate_words(spark):
+    docs = [[0, 1, 0, 1] * 4, [0, 1, 1] * 4, [2, 3, 2, 3] * 4, [3, 2, 2] * 4]
+    rows = [(i, i // 2, f"w{w}", d.count(w)) for i, d in enumerate(docs) for w in set(d)]
+    df = spark.createDataFrame(rows, "bug_id long, root long, token string, tf long")
+    state = topics.start_topics(df, 2)
+    before = topics.log_likelihood(state, 2, 0.1)
+    for n in range(1, 11):  # counts are kept by every sweep
+        state = written(topics.sweep(state, 2, 4, n, 0.1, 0.01), "state")
+        assert sorted((r["bug_id"], r["token"], r["k0"] + r["k1"]) for r in state.collect()) == sorted((i, w, n_) for i, _, w, n_ in rows)
+    assert topics.log_likelihood(state, 2, 0.1) > before
+    mixed = {r["root"]: r["theta0"] for r in topics.set_mixtures(state, 2, 0.1).collect()}
+    assert abs(mixed[0] - mixed[1]) > 0.8
+    new = spark.createDataFrame([(9, "w2", 4), (9, "w3", 4), (8, "other", 2)], "bug_id long, token string, tf long")
+    theta = {r["bug_id"]: r["theta0"] for r in topics.infer_topics(new, topics.topic_words(state, 2), 2, 10, 0.1).collect()}
+    assert abs(theta[9] - mixed[1]) < 0.1 and theta[8] == 0.5
+
+
+def test_topics_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "bug_id long, root long, token string, tf long")
+    state = topics.fit_duplicate_topics(none, 2, 2)
+    assert state.collect() == [] == topics.set_mixtures(state, 2).collect() == topics.infer_topics(none, topics.topic_words(state, 2), 2, 2).collect()
