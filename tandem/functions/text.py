@@ -207,7 +207,7 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}])", "\u0001"), "\u0001")
 
 
-def clean_soft(text: Column, rm_punct: bool = False, sent_tok: bool = False, rm_number: bool = False, stops: bool = False, lower_case: bool = False, rm_char: bool = False, legacy_sent_tok: bool = True) -> Column:
+def clean_soft(text: Column, rm_punct: bool = False, sent_tok: bool = False, rm_number: bool = False, stops: bool = False, lower_case: bool = False, rm_char: bool = False, legacy_sent_tok: bool = True, stem: bool = False) -> Column:
     """Light cleaning with switches. With ``legacy_sent_tok`` sentence splitting starts from the text before the
     removal of signs, times and dates, as published corpora were made."""
     raw = F.lower(text) if lower_case else text
@@ -215,9 +215,10 @@ def clean_soft(text: Column, rm_punct: bool = False, sent_tok: bool = False, rm_
     t = F.regexp_replace(F.regexp_replace(t, TIME, ""), DATE, "")
     if sent_tok:
         t = F.array_join(sentences(raw if legacy_sent_tok else t), "\n")
-    if stops:
+    if stops or stem:
         words = F.array(*[F.lit(w) for w in stop_words(("n't",))])
-        t = F.array_join(F.filter(tokens_words(t), lambda w: ~F.array_contains(words, w)), " ")
+        tokens = non_empty(stem_all(tokens_words(t))) if stem else tokens_words(t)
+        t = F.array_join(F.filter(tokens, lambda w: ~F.array_contains(words, w)) if stops else tokens, " ")
     t = F.regexp_replace(t, r"(\p{Punct})", " " if rm_punct else " $1 ")
     if rm_number:
         t = F.regexp_replace(t, r"\b[0-9]+\b", "")
@@ -251,6 +252,56 @@ def stem(s: pd.Series) -> pd.Series:
     return s.map(lambda w: None if w is None else stem_word(w))
 
 
+def stem_all(tokens: Column) -> Column:
+    """English stems of token arrays; each distinct token of a batch is stemmed once, stop words stay."""
+    keep = frozenset(stop_words(()))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stems(lists: pd.Series) -> pd.Series:
+        from .stemmer import stem_word
+
+        codes, distinct = pd.factorize(pd.Series([t for x in lists if x is not None for t in x], dtype=object))
+        known = [w if w in keep else stem_word(w) for w in distinct]
+        flat, at, out = [known[c] for c in codes], 0, []
+        for x in lists:
+            out.append(None if x is None else flat[at : at + len(x)])
+            at += 0 if x is None else len(x)
+        return pd.Series(out, dtype=object)
+
+    return stems(tokens)
+
+
+def retrieval_tokens(text: Column, stops: bool = True, stems: bool = True) -> Column:
+    """The retrieval pipeline whole: ``dbrd_tokens`` without stop words, then stems that are not empty."""
+    tokens = dbrd_tokens(text, drop_stops=stops)
+    return non_empty(stem_all(tokens)) if stems else tokens
+
+
+CLEANERS = ("agg", "soft", "rep")
+
+
+def cleaner(kind: str, sentences_too: bool = False, **switches) -> Callable[[Column], Column]:
+    """A cleaner by name: ``agg`` (lines of code and signs go), ``soft`` (with the switches of ``clean_soft``) or ``rep`` (stems of
+    retrieval tokens). ``sentences_too`` splits sentences, which only the soft cleaner does."""
+    if kind == "agg":
+        return clean_aggressive
+    if kind == "soft":
+        return lambda c: clean_soft(c, sent_tok=sentences_too, **switches)
+    if kind == "rep":
+        return lambda c: F.array_join(retrieval_tokens(c), " ")
+    raise ValueError(f"unknown cleaner {kind}: one of {', '.join(CLEANERS)}")
+
+
+def clean_job(df, fields: list[str], kind: str, sentences_too: bool = False, **switches):
+    """The rows with the chosen fields cleaned; sentences are split in ``description`` alone. Null and empty fields stay as they are."""
+
+    def one(field: str) -> Callable[[Column], Column]:
+        clean = cleaner(kind, sentences_too and field == "description", **switches)
+        return lambda c: F.when(F.length(c) > 0, clean(c)).otherwise(c)
+
+    return clean_fields(df, {f: one(f) for f in fields})
+
+
 def clean_fields(df, cleaners: dict[str, Callable[[Column], Column]]):
     """The rows with each named field cleaned by its own cleaner."""
     return df.withColumns({f: clean(F.col(f)) for f, clean in cleaners.items()})

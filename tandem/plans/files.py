@@ -12,6 +12,7 @@ from ..sources.shared import placed, shared_path
 from ..sources.views import DOC_REPORTS, EVENT_REPORTS, TOKENS_SQL, doc_reports, event_reports, table
 from .drawn import PAIRS
 from .registry import query
+from .textual import aggressive_sql
 
 
 def _raw_reports(spark, sf_dir):
@@ -251,8 +252,10 @@ def bag_sizes(spark, sf_dir):
     return parts[0].unionByName(parts[1]).select("bug_id", "field", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-@query(f"WITH {DOC_REPORTS}, c AS (SELECT bug_id, trim(regexp_replace(lower(short_desc), '[^\\pL]+', ' ', 'g')) AS s, trim(regexp_replace(lower(description), '[^\\pL]+', ' ', 'g')) AS d, short_desc, description FROM rd) SELECT 'short_desc' AS field, count(*) AS n, count(*) FILTER (WHERE s = '' AND trim(short_desc) <> '') AS n_erased FROM c UNION ALL SELECT 'description', count(*), count(*) FILTER (WHERE d = '' AND trim(description) <> '') FROM c")
+_CLEANED = f"SELECT '{{0}}' AS field, count(*) AS n, count(*) FILTER (WHERE trim(coalesce({aggressive_sql('{0}')}, '')) = '' AND trim({{0}}) <> '') AS n_erased FROM rd"
+
+
+@query(f"WITH {DOC_REPORTS} " + " UNION ALL ".join(_CLEANED.replace("{0}", f) for f in ("short_desc", "description")))
 def clean_counts(spark, sf_dir):
-    """The clean job over two fields, with the number of fields that cleaning leaves empty."""
-    letters = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}]+", " "))
-    return tx.erased_counts(doc_reports(spark, sf_dir), {"short_desc": letters, "description": letters})
+    """The clean job over two fields by the aggressive cleaner, with the number of fields that it leaves empty."""
+    return tx.erased_counts(doc_reports(spark, sf_dir), dict.fromkeys(("short_desc", "description"), tx.cleaner("agg")))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import features, impact, negatives, neural, pairs, ranking, scoring, topics
 from ..sources import reports as rp
-from ..sources.shared import written
+from ..sources.shared import join_frequent, written
 from ..sources.views import DOC_REPORTS, TOKENS_SQL, doc_reports, table
 from .registry import query
 from .retrieval import EVERY
 
 # --- token functions ---------------------------------------------------------------------------------------------------------
 
+_HTML = "regexp_replace(lower({0}), '((&quot)|(&gt)|(&lt)|(&amp)|(&nbsp)|(&copy)|(&reg))+', '', 'g')"
+_DBRD_SQL = f"list_filter({TOKENS_SQL.format(_HTML)}, lambda t: NOT regexp_full_match(t, '[0-9]+'))"
 SPACE_SQL = r"list_filter(string_split_regex({0}, '\s+'), lambda t: t <> '')"
 
 
@@ -114,11 +116,82 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
 
 
-@query()
+_DATE_SQL = "[0-9]{1,4}(/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{2,4}"
+
+
+def _replaced(text: str, *pairs: tuple[str, str]) -> str:
+    for pattern, by in pairs:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+def _single_signs(text: str, signs: str) -> str:
+    """Runs of one sign become that sign."""
+    quoted = lambda c: {"'": "''", "\\": "\\\\"}.get(c, c)
+    return _replaced(text, *[(("\\" + c if c != "'" else "''") + "{2,}", quoted(c)) for c in signs])
+
+
+def aggressive_sql(text: str) -> str:
+    """SQL of functions.text.clean_aggressive."""
+    t = _replaced(text, *[(p, "") for p in (tx.CLASS_HEAD, tx.IF_BODY, tx.CALL_BODY, tx.NEW_OBJECT, tx.TIME, _DATE_SQL)])
+    t = _single_signs(t, ",:;><!?=_\\/*+-.")
+    share = "length(regexp_replace(l, '[^\\pN[:punct:]]', '', 'g')) / length(l)::DOUBLE <= 0.2"
+    return f"list_aggregate(list_transform(list_filter(string_split({t}, chr(10)), lambda l: length(l) >= 10 AND len({SPACE_SQL.format('l')}) >= 5 AND {share}), lambda l: l || chr(10)), 'string_agg', '')"
+
+
+def soft_sql(text: str) -> str:
+    """SQL of functions.text.clean_soft in lower case without signs."""
+    t = _single_signs(f"lower({text})", "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~")
+    return _replaced(t, (tx.TIME, ""), (_DATE_SQL, ""), ("[[:punct:]]", " "))
+
+
+@query(f"SELECT doc_id, md5(coalesce({aggressive_sql('text')}, '')) AS text_md5 FROM documents")
 def clean_aggressive(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.clean_aggressive(F.col("text"))).alias("text_md5"))
 
 
+@query(f"WITH {DOC_REPORTS} SELECT bug_id, md5({soft_sql('short_desc')}) AS short_md5, md5({soft_sql('description')}) AS long_md5 FROM rd")
+def clean_job_soft(spark, sf_dir):
+    """The clean job over both fields with the soft cleaner, in lower case and without signs."""
+    out = tx.clean_job(doc_reports(spark, sf_dir), ["short_desc", "description"], "soft", lower_case=True, rm_punct=True)
+    return out.select("bug_id", F.md5("short_desc").alias("short_md5"), F.md5("description").alias("long_md5"))
+
+
+@query()
+def clean_job_stems(spark, sf_dir):
+    """The clean job with stems: the soft cleaner with sentences and stop words, and the retrieval tokens; a test holds them against loops."""
+    r = doc_reports(spark, sf_dir).select("bug_id", "short_desc", "description")
+    soft = tx.clean_job(r, ["short_desc", "description"], "soft", sentences_too=True, lower_case=True, stops=True, stem=True)
+    rep = tx.clean_job(r, ["short_desc", "description"], "rep").select("bug_id", F.md5(F.concat_ws("|", "short_desc", "description")).alias("rep_md5"))
+    return soft.select("bug_id", F.md5(F.concat_ws("|", "short_desc", "description")).alias("soft_md5")).join(rep, "bug_id")
+
+
+@query()
+def retrieval_tokens(spark, sf_dir):
+    """The retrieval pipeline whole, with stop words left out and stems; a test holds it against loops."""
+    t = tx.retrieval_tokens(F.col("text"))
+    return doc_reports(spark, sf_dir).select("bug_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+#: The filters of the encoded reports, by name.
+ENCODING = ["TransformLowerCaseFilter", "TransformNumberToZeroFilter", "HTMLSymbolFilter"]
+
+
+@query(f"""WITH {DOC_REPORTS}, tk AS (SELECT bug_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT bug_id, list_filter(list_transform({SPACE_SQL.format('text')}, lambda t: regexp_replace(regexp_replace(lower(t), '[0-9]', '0', 'g'), '{tx.HTML_NAMES}', '', 'g')), lambda t: t <> '') AS t FROM rd)),
+lx AS (SELECT token, row_number() OVER (ORDER BY min(bug_id * 1000000 + pos), token) AS token_id, count(*) AS cnt FROM tk GROUP BY token)
+SELECT bug_id, count(*) AS n_tokens, md5(string_agg(CASE WHEN cnt >= 2 THEN token_id ELSE 0 END, ',' ORDER BY pos)) AS ids_md5 FROM tk JOIN lx USING (token) GROUP BY bug_id""")
+def encoded_reports(spark, sf_dir):
+    """Tokenizer, filters by name and lexicon as one pipeline: ids in order of first sight from 1, 0 for tokens that stand once."""
+    tokens = tx.apply_filters(tx.TOKENIZERS["white_space"](F.col("text")), tx.load_filters(ENCODING))
+    rows = doc_reports(spark, sf_dir).select("bug_id", F.posexplode(tokens).alias("pos", "token"))
+    rows = written(rows.withColumn("ordinal", F.col("bug_id") * 1_000_000 + F.col("pos")), "tokens")
+    lex = features.lexicon(rows).select("token", (F.col("token_id") + 1).alias("token_id"), "cnt")
+    known = lex.withColumn("token_id", F.when(F.col("cnt") >= 2, F.col("token_id")).otherwise(F.lit(0).cast("long")))
+    coded = join_frequent(rows.select("bug_id", "pos", "token"), known, "token", "cnt", rows.count())
+    lists = coded.groupBy("bug_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
+    return lists.select("bug_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("t", lambda x: x["token_id"].cast("string")), ",")).alias("ids_md5"))
+
+
 @query()
 def clean_soft(spark, sf_dir):
     t = tx.clean_soft(F.col("text"), rm_punct=True, sent_tok=True, rm_number=True, lower_case=True, rm_char=True)
@@ -163,12 +236,9 @@ def truncate_pad(spark, sf_dir):
 
 # --- term features -------------------------------------------------------------------------------------------------------------------
 
-_HTML = "regexp_replace(lower({0}), '((&quot)|(&gt)|(&lt)|(&amp)|(&nbsp)|(&copy)|(&reg))+', '', 'g')"
-_DBRD = f"list_filter({TOKENS_SQL.format(_HTML)}, lambda t: NOT regexp_full_match(t, '[0-9]+'))"
-
 
 def _postings_sql(reports: str, name: str) -> str:
-    return f"""{name}_tk AS (SELECT bug_id, field, CASE WHEN len(t) = 0 THEN ['#EMPTY'] ELSE t END AS t FROM (SELECT bug_id, 'sum' AS field, {_DBRD.format('short_desc')} AS t FROM {reports} UNION ALL SELECT bug_id, 'desc', {_DBRD.format('description')} FROM {reports})),
+    return f"""{name}_tk AS (SELECT bug_id, field, CASE WHEN len(t) = 0 THEN ['#EMPTY'] ELSE t END AS t FROM (SELECT bug_id, 'sum' AS field, {_DBRD_SQL.format('short_desc')} AS t FROM {reports} UNION ALL SELECT bug_id, 'desc', {_DBRD_SQL.format('description')} FROM {reports})),
   {name} AS (SELECT bug_id, field, n, token, count(*) AS tf FROM (SELECT bug_id, field, 1 AS n, unnest(t) AS token FROM {name}_tk UNION ALL SELECT bug_id, field, 2, unnest({GRAM_SQL.format(n=2)}) FROM {name}_tk) GROUP BY ALL)"""
 
 
