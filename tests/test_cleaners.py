@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tandem.functions import text as tx
 from tandem.functions.stemmer import stem_word
 
-TEXTS = ["The runners were running quickly; it's 10:20:30 on 2020-01-02!!", None, "", "   ", "&gt;&lt; 42 Studies of the flies. Another one!  Yes, 3 flies?", "été déjà vu -- 12 times", "x " * 3000]
+TEXTS = ["The runners were running quickly; it's 10:20:30 on 2020-01-02!!", None, "", "   ", "&gt;&lt; 42 Studies of the flies. Another one!  Yes, 3 flies?", "été déjà vu -- 12 times", "x " * 3000, "12 -- 34"]
 
 
 def plain_retrieval(text, stops):
@@ -53,4 +53,4 @@ def test_clean_job(spark, frame):
     with pytest.raises(ValueError):
         tx.cleaner("none")
     counts = {r["field"]: (r["n"], r["n_erased"]) for r in tx.erased_counts(frame, {"short_desc": tx.cleaner("agg")}).collect()}
-    assert counts["short_desc"][0] == len(TEXTS) and counts["short_desc"][1] >= 2
+    assert counts["short_desc"][0] == len(TEXTS) and counts["short_desc"][1] == 1
