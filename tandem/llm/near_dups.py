@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +50,8 @@ EDIT_SHARE = 5
 #: Orders that are joined to a bucket's own in the later rounds; the last round takes all that are left at once.
 ROUNDS = ([1], list(range(2, BANDS)))
 #: Nodes and words of a block in the exact last step, about; and the words counted in one matrix product.
-BLOCK = 512
-BLOCK_WORDS = 1 << 18
+BLOCK = 1024
+BLOCK_WORDS = 1 << 19
 BLOCK_CODES = 1 << 12
 #: Expected number of k-mers below the bound that preselects the minima.
 PRESELECT = 24
@@ -481,8 +481,9 @@ def _finish_buckets(members: DataFrame, sketches: DataFrame, words: DataFrame, r
     """``roots`` (node, root) after all pairs of a bucket (band, key) that are in different components are compared.
 
     A component with a block or more of a bucket's nodes has blocks of its own there, which are not paired with
-    each other; all others of the bucket are dealt to its mixed blocks (``own`` empty) by hash. Blocks hold texts of one
-    length class, and only blocks of equal or adjacent classes are paired, since the lengths of others differ too much."""
+    each other; all others of the bucket share its mixed blocks (``own`` empty). Blocks are cut in the order of the texts'
+    lengths, so most buckets are one block, whose nodes are sent once, and blocks of large buckets are paired only where
+    their lengths allow an alike pair. Cuts come from the counts of each length; texts of one length are dealt by hash."""
     by = ["band", "key"]
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = store.materialise(rooted, "rooted")
@@ -492,23 +493,27 @@ def _finish_buckets(members: DataFrame, sketches: DataFrame, words: DataFrame, r
         return roots
     groups = rest.groupBy(*by, "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     groups = groups.withColumn("own", F.when((F.col("c") >= BLOCK) | (F.col("w") >= BLOCK_WORDS), F.col("root")).otherwise(F.lit(b"")))
-    # a class's lengths grow by the ratio that alike texts may reach, so these are one class apart at most
-    ratio = EDIT_SHARE / (EDIT_SHARE - 1)
-    rest = rest.join(groups.select(*by, "root", "own"), [*by, "root"]).withColumn("cls", F.floor(F.log("n") / float(np.log(ratio))))
-    rest = store.materialise(rest, "classed")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS), F.lit(1)).alias("blocks")
-    parts = store.materialise(rest.groupBy(*by, "own", "cls").agg(blocks, F.count(F.lit(1)).alias("size")), "parts")
-    place = ["own", "cls", "no"]
-    dealt = skew.join_counted(rest, parts, [*by, "own", "cls"], "size", rest.count())
-    dealt = dealt.select(*by, "own", "cls", F.pmod(F.xxhash64("node"), "blocks").alias("no"), "node", "root")
-
-    every = parts.select(*by, "own", "cls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("no"))
-    other = every.withColumnsRenamed({c: f"{c}2" for c in place})
-    units = every.withColumn("cls2", F.explode(F.array(*[F.col("cls") + k for k in (-1, 0, 1)]))).join(other, [*by, "cls2"])
-    units = units.filter("own < own2 or (own = own2 and own = X'' and (cls < cls2 or (cls = cls2 and no <= no2)))")
+    rest = store.materialise(rest.join(groups.select(*by, "root", "own"), [*by, "root"]), "owned")
+    # blocks are filled in the order of lengths: the share of a block that the texts before a length have filled
+    share = F.greatest(F.lit(1.0 / BLOCK), F.col("n") / F.lit(float(BLOCK_WORDS))) * F.col("size")
+    upto = F.sum("share").over(Window.partitionBy(*by, "own").orderBy("n"))  # a row for each length
+    lengths = rest.groupBy(*by, "own", "n").agg(F.count(F.lit(1)).alias("size")).withColumn("share", share).withColumn("upto", upto)
+    first = F.floor(F.greatest(F.col("upto") - F.col("share"), F.lit(0.0)) + 1e-9)
+    last = F.greatest(first, F.ceil(F.col("upto") - 1e-9) - 1)
+    lengths = store.materialise(lengths.select(*by, "own", "n", "size", first.alias("first"), last.alias("last")), "lengths")
+    place = ["own", "no"]
+    dealt = skew.join_counted(rest, lengths, [*by, "own", "n"], "size", rest.count())
+    dealt = dealt.select(*by, "own", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("last") - F.col("first") + 1)).alias("no"), "node", "root")
+
+    every = lengths.select(*by, "own", "n", F.explode(F.sequence("first", "last")).alias("no"))
+    every = every.groupBy(*by, *place).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = every.withColumnsRenamed({c: f"{c}2" for c in (*place, "least", "most")})
+    units = every.join(other, by).filter("own < own2 or (own = own2 and own = X'' and no <= no2)")
+    high, low = F.greatest("least", "least2"), F.least("most", "most2")  # where the ranges lie apart, the nearest lengths
+    units = units.filter(high - low <= F.floor(high / EDIT_SHARE))
     units = store.materialise(units.withColumn("unit", F.monotonically_increasing_id()), "units")
     one = units.select(*by, *place, "unit", F.lit(0).alias("side"))
-    two = units.filter("own <> own2 or cls <> cls2 or no <> no2").select(*by, *[F.col(f"{c}2").alias(c) for c in place], "unit", F.lit(1).alias("side"))
+    two = units.filter("own <> own2 or no <> no2").select(*by, *[F.col(f"{c}2").alias(c) for c in place], "unit", F.lit(1).alias("side"))
     sent = dealt.join(one.unionByName(two), [*by, *place]).select("unit", "side", "band", "node", "root")
     sent = sent.join(sketches, "node").join(words, "node").select("unit", "side", "band", "root", "sketch", "words")
 
@@ -559,8 +564,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that agree in id and words the one with the first text stays, by the other columns' hash where texts agree
     too (maps aside)."""
-    from pyspark.sql import Window
-
     rows, nodes = _classes(docs)
     ids = rows.filter("_node is not null").groupBy("_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("k"))
     first = ids.join(nodes, "_node").groupBy("root").agg(F.min(F.struct("k", "_node")).alias("f"))
