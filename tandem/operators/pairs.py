@@ -64,10 +64,26 @@ def mixture(parts: list[tuple[DataFrame, float]], seed: int = 0) -> DataFrame:
     return out
 
 
-def pairs_from_triplets(triplets: DataFrame) -> DataFrame:
+def pairs_from_triplets(triplets: DataFrame, strict: bool = False) -> DataFrame:
+    """(bug1, bug2, label): each positive and each negative of the triplets once. With ``strict`` the job fails where a negative
+    stands in two triplets of its anchor."""
     pos = triplets.select(F.col("anchor").alias("bug1"), F.col("pos").alias("bug2"), F.lit(1).alias("label"))
     neg = triplets.select(F.col("anchor").alias("bug1"), F.col("neg").alias("bug2"), F.lit(-1).alias("label"))
-    return pos.union(neg).distinct()
+    if not strict:
+        return pos.union(neg).distinct()
+    once = neg.groupBy("bug1", "bug2", "label").agg(F.count(F.lit(1)).alias("n"))
+    message = F.concat(F.lit("negative repeats: "), F.col("bug1").cast("string"), F.lit(", "), F.col("bug2").cast("string"))
+    return pos.distinct().union(once.filter(F.assert_true(F.col("n") == 1, message).isNull()).select("bug1", "bug2", "label"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (bug1, bug2, label), after a check inside the job that label 1 joins one set and every other label two; ``sets``:
+    bug_id, root. The job fails at a wrong pair, and at one whose reports are not in ``sets``."""
+    a, b = (sets.select(F.col("bug_id").alias(k), F.col("root").alias(f"_{k}")) for k in ("bug1", "bug2"))
+    both = pairs.join(a, "bug1", "left").join(b, "bug2", "left")
+    right = F.coalesce((F.col("_bug1") == F.col("_bug2")) == (F.col("label") == 1), F.lit(False))
+    message = F.concat(F.lit("wrong label: "), F.col("bug1").cast("string"), F.lit(", "), F.col("bug2").cast("string"))
+    return both.filter(F.assert_true(right, message).isNull()).select(*pairs.columns)
 
 
 def cross_split_pairs(pairs: DataFrame, ignore_positive: bool = False) -> DataFrame:

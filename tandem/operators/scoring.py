@@ -141,16 +141,17 @@ def wide_features(pairs: DataFrame, sums: DataFrame) -> DataFrame:
     return pairs.join(rows, ["a", "b"], "left").withColumn("features", F.coalesce("features", none))
 
 
-def svm_predictions(rows: DataFrame, max_iter: int = 50) -> DataFrame:
-    """(a, b, label, prediction): learned on all rows (label 1 or other) after standardising the features."""
+def svm_predictions(rows: DataFrame, held_out: Column, max_iter: int = 50) -> DataFrame:
+    """(a, b, label, held_out, prediction) of all rows, learned on those that are not held out (label 1 or other) after standardising
+    the features by these rows alone."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
 
-    given = rows.select("a", "b", "label", (F.col("label") == 1).cast("double").alias("y"), array_to_vector("features").alias("raw"))
+    given = rows.select("a", "b", "label", held_out.alias("held_out"), (F.col("label") == 1).cast("double").alias("y"), array_to_vector("features").alias("raw"))
     steps = Pipeline(stages=[StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="scaled"), LinearSVC(maxIter=max_iter, featuresCol="scaled", labelCol="y")])
-    return steps.fit(given).transform(given).select("a", "b", "label", F.col("prediction").cast("int").alias("prediction"))
+    return steps.fit(given.filter("not held_out")).transform(given).select("a", "b", "label", "held_out", F.col("prediction").cast("int").alias("prediction"))
 
 
 # --- losses ------------------------------------------------------------------------------------------------------

@@ -158,3 +158,15 @@ def preranked_non_zero(spark, sf_dir):
     lists = drawn.select(F.col("bug1").alias("anchor"), F.col("bug2").alias("cand"), F.abs(F.col("p1") - F.col("p2")).alias("gap"))
     lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy("gap", "cand")).cast("long"))
     return pairs.preranked_non_zero(lists, (F.col("gap") - 1).cast("double"), 20_000)
+
+
+@query(f"""WITH {FLAGGED}, {random_sql(1)}, pr AS (SELECT bug_id AS bug1, dup_id AS bug2, 1 AS label FROM fl WHERE dup_id IS NOT NULL UNION ALL SELECT bug1, bug2, 0 FROM rn)
+SELECT bug1, bug2, label, CASE WHEN creation_ts < TIMESTAMP '2024-01-20' THEN 'main' ELSE 'aux' END AS part FROM pr JOIN re ON bug_id = bug1""")
+def training_pairs(spark, sf_dir):
+    """A positive and a negative of each duplicate, marked by the part of their first report, every label checked against the sets."""
+    r, a = _duplicates(spark, sf_dir)
+    e = event_reports(spark, sf_dir)
+    positives = e.filter("dup_id is not null").select(F.col("bug_id").alias("bug1"), F.col("dup_id").alias("bug2"), F.lit(1).alias("label"))
+    both = pairs.verified(positives.unionByName(negatives.random_negatives(a, r, 1)), r)
+    part = F.when(F.col("creation_ts") < F.lit("2024-01-20").cast("timestamp"), "main").otherwise("aux")
+    return both.join(e.select(F.col("bug_id").alias("bug1"), part.alias("part")), "bug1").select("bug1", "bug2", "label", "part")

@@ -1,8 +1,10 @@
+import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators import negatives
+from tandem.operators import negatives, pairs, scoring
 from tandem.operators.pairs import pair_key
 
 
@@ -60,3 +62,30 @@ def test_masters_halves_and_lists(spark):
     of = {x["bug_id"]: x for x in listed.collect()}
     assert all(of[x["bug1"]]["product"] == of[x["bug2"]]["product"] for x in mix if x["level"] != "*")
     assert all(of[x["bug1"]]["component"] == of[x["bug2"]]["component"] for x in mix if x["level"] == "c")
+
+
+def test_labels_are_checked_in_the_job(spark):
+    sets = reports(spark, [2, 2])
+    good = spark.createDataFrame([(0, 1, 1), (0, 2, 0), (3, 1, -1)], "bug1 long, bug2 long, label int")
+    assert sorted(map(tuple, pairs.verified(good, sets).collect())) == [(0, 1, 1), (0, 2, 0), (3, 1, -1)]
+    for bad in ((0, 1, 0), (0, 2, 1), (0, 9, 0)):
+        with pytest.raises(Exception, match="wrong label"):
+            pairs.verified(good.union(spark.createDataFrame([bad], good.schema)), sets).collect()
+
+
+def test_repeated_negatives_end_a_strict_job(spark):
+    t = spark.createDataFrame([(1, 2, 3), (1, 4, 5)], "anchor long, pos long, neg long")
+    assert sorted(map(tuple, pairs.pairs_from_triplets(t, strict=True).collect())) == [(1, 2, 1), (1, 3, -1), (1, 4, 1), (1, 5, -1)]
+    again = t.union(spark.createDataFrame([(1, 6, 3)], t.schema))
+    assert pairs.pairs_from_triplets(again).count() == 5
+    with pytest.raises(Exception, match="negative repeats"):
+        pairs.pairs_from_triplets(again, strict=True).collect()
+
+
+def test_support_vectors_are_judged_on_rows_they_have_not_seen(spark):
+    rng = random.Random(1)
+    rows = [(i, -i, i % 2, [i % 2 + rng.gauss(0, 0.2), rng.gauss(0, 1)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "a long, b long, label int, features array<double>")
+    got = scoring.svm_predictions(df, F.col("a") % 5 == 0).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == 400 and len(held) == 80 and sum(r["prediction"] == r["label"] for r in held) > 75
