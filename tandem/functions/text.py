@@ -6,6 +6,7 @@ of names. Only the stemmer is a vectorised UDF, meant to run on distinct tokens.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,6 +29,36 @@ CLASS_HEAD = r"((public|private)\s*)?class\s+(\w+)(\s+extends\s+(\w+))?(\s+imple
 CALL_BODY = r"\w+\s*\([^)]*\)\s*\{"
 IF_BODY = r"if\s*\(.*\{"
 NEW_OBJECT = r"\w\s*=\snew[^;]+;"
+#: The Treebank tokenizer's rules in their order: pattern, replacement (\\0 the match, \\1 a group), whether case counts.
+TREEBANK = (
+    (r"^\"", "``", True),
+    (r"(``)", r" \1 ", True),
+    (r"([ (\[{<])(\"|'{2})", r"\1 `` ", True),
+    (r"([:,])([^0-9])", r" \1 \2", True),
+    (r"([:,])\z", r" \1 ", True),
+    (r"\.\.\.", " ... ", True),
+    (r"[;@#$%&]", r" \0 ", True),
+    (r"([^.])(\.)([\])}>\"']*)[ \t\n\x0B\f\r]*\z", r"\1 \2\3 ", True),
+    (r"[?!]", r" \0 ", True),
+    (r"([^'])' ", r"\1 ' ", True),
+    (r"[\]\[(){}<>]", r" \0 ", True),
+    (r"--", " -- ", True),
+    (r"(?s)\A(.*)\z", r" \1 ", True),
+    (r"\"", " '' ", True),
+    (r"([^ \t\n\x0B\f\r])('')", r"\1 \2 ", True),
+    (r"([^' ])('[sS]|'[mM]|'[dD]|') ", r"\1 \2 ", True),
+    (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", r"\1 \2 ", True),
+    (r"\b(can)(not)\b", r" \1 \2 ", False),
+    (r"\b(d)('ye)\b", r" \1 \2 ", False),
+    (r"\b(gim)(me)\b", r" \1 \2 ", False),
+    (r"\b(gon)(na)\b", r" \1 \2 ", False),
+    (r"\b(got)(ta)\b", r" \1 \2 ", False),
+    (r"\b(lem)(me)\b", r" \1 \2 ", False),
+    (r"\b(more)('n)\b", r" \1 \2 ", False),
+    (r"\b(wan)(na) ", r" \1 \2 ", False),
+    (r" ('t)(is)\b", r" \1 \2 ", False),
+    (r" ('t)(was)\b", r" \1 \2 ", False),
+)
 EMPTY_TOKEN = "#EMPTY"
 PAD_SENTINEL = "PPPAAADDD"
 QUOTE = r"^[\"`']$"
@@ -123,12 +154,18 @@ def tokens_space(text: Column) -> Column:
     return non_empty(F.split(text, r"\s+"))
 
 
+def treebank(sentence: Column) -> Column:
+    """Tokens of one sentence by the Penn Treebank conventions: quotes are paired, clitics and signs stand alone, and of
+    dots only the last."""
+    for pattern, by, case in TREEBANK:
+        by = re.sub(r"\\(\d)", r"$\1", by.replace("$", r"\$"))
+        sentence = F.regexp_replace(sentence, pattern if case else f"(?i){pattern}", by)
+    return tokens_space(sentence)
+
+
 def tokens_words(text: Column) -> Column:
-    """A native subset of the Penn Treebank conventions: signs and clitics stand alone."""
-    t = F.regexp_replace(text, r"([^\p{L}\p{N}\s'._-])", " $1 ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}])('s|'m|'d|'ll|'re|'ve|n't)\b", " $1")
-    t = F.regexp_replace(t, r"([.'])(?=\s|$)", " $1")
-    return tokens_space(F.regexp_replace(t, r"(^|\s)'(?=\p{L})", " ' "))
+    """Treebank tokens of every sentence."""
+    return F.flatten(F.transform(sentences(text), treebank))
 
 
 TOKENIZERS = {"default": tokens_words, "white_space": tokens_space, "non_alnum": tokens_alnum}

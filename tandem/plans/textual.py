@@ -105,10 +105,20 @@ def neutral_quotes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
 
 
-@query()
+SENTENCES_SQL = r"string_split(regexp_replace({0}, '([.!?])[ \t\n\x0B\f\r]+([\p{{Lu}}\p{{N}}])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+def treebank_sql(sentence: str) -> str:
+    for pattern, by, case in tx.TREEBANK:
+        sentence = f"regexp_replace({sentence}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace(chr(39), chr(39) * 2)}', '{'g' if case else 'gi'}')"
+    return rf"list_filter(string_split_regex({sentence}, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
+
+
+@query(f"SELECT conv_id, turn, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT conv_id, turn, flatten(list_transform({SENTENCES_SQL.format('text')}, lambda s: {treebank_sql('s')})) AS t FROM conversations)")
 def word_tokens(spark, sf_dir):
+    """Treebank tokens of every turn."""
     t = tx.tokens_words(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).alias("n_tokens"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 @query(r"WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+([\p{Lu}\p{N}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, '|')) AS sentences_md5 FROM s")

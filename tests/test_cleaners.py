@@ -54,3 +54,25 @@ def test_clean_job(spark, frame):
         tx.cleaner("none")
     counts = {r["field"]: (r["n"], r["n_erased"]) for r in tx.erased_counts(frame, {"short_desc": tx.cleaner("agg")}).collect()}
     assert counts["short_desc"][0] == len(TEXTS) and counts["short_desc"][1] == 1
+
+
+SENTENCES = {
+    "They'll say \"it's $3.50, can't it?\" (maybe).": "They 'll say `` it 's $ 3.50 , ca n't it ? '' ( maybe ) .".split(),
+    "I cannot -- gonna go... at 10:30, e.g. now.": "I can not -- gon na go ... at 10:30 , e.g. now .".split(),
+    "": [],
+    "'Tis [the] boys' end; A&B 50%!": "'T is [ the ] boys ' end ; A & B 50 % !".split(),
+}
+
+
+def plain_treebank(sentence):
+    """The rules one after the other with this language's own expressions."""
+    for pattern, by, case in tx.TREEBANK:
+        sentence = re.sub(pattern.replace(r"\z", r"\Z"), by.replace(r"\0", r"\g<0>"), sentence, flags=re.ASCII | (0 if case else re.IGNORECASE))
+    return re.findall(r"[^ \t\n\x0B\f\r]+", sentence)
+
+
+def test_treebank_tokens(spark):
+    rows = [(s,) for s in SENTENCES] + [(r["text"],) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(200).collect()]
+    got = {r["s"]: r["t"] for r in spark.createDataFrame(rows, "s string").select("s", tx.treebank(F.col("s")).alias("t")).collect()}
+    assert {s: got[s] for s in SENTENCES} == SENTENCES
+    assert got == {s: plain_treebank(s) for s in got}
