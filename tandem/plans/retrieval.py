@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..functions.draws import draw_sql
-from ..operators import candidates, dense, metrics, pairs, ranking, scoring
+from ..operators import candidates, dense, evaluation, metrics, pairs, ranking, scoring
 from ..sources.views import EVENT_REPORTS, doc_reports, event_reports, table
 from .entity import TRIPLETS, _triplets, flagged_events
 from .registry import query
@@ -153,6 +153,14 @@ def map_mrr(spark, sf_dir):
     return metrics.mean_reciprocal_rank(_queries(spark, sf_dir), _hits(spark, sf_dir))
 
 
+@query(f"""{QUERIES_} SELECT 'recall_rate_events' AS name, CAST(k AS BIGINT) AS k, count(*) FILTER (WHERE pos <= k) / count(*) AS value, count(*) FILTER (WHERE pos <= k) AS n_hits, count(*) AS n_queries FROM qs, range(1, 21) t(k) GROUP BY k
+  UNION ALL SELECT 'MAP_events', 0, avg(coalesce(1.0 / pos, 0.0)), count(pos), count(*) FROM qs""")
+def ranking_run(spark, sf_dir):
+    """All metrics of one run over the windowed lists."""
+    record, _ = evaluation.run_ranking(_queries(spark, sf_dir), scored_events(spark, sf_dir), label="events")
+    return record
+
+
 @query(f"{QUERIES_} SELECT CAST(year(creation_ts) AS BIGINT) AS year, CAST(month(creation_ts) AS BIGINT) AS month, count(*) AS n_queries, count(*) FILTER (WHERE pos <= 10) AS n_hits, count(*) FILTER (WHERE pos = 1) AS n_first FROM qs GROUP BY 1, 2")
 def rr_by_year(spark, sf_dir):
     out = metrics.by_year(_hits(spark, sf_dir), _queries(spark, sf_dir), 10)

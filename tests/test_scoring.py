@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tandem.operators import evaluation, metrics, neural, pairs, ranking, scoring, topics
 from tandem.sources.shared import written
-from tandem.operators import metrics, neural, pairs, ranking, scoring, topics
 
 
 def test_bm25f_by_hand(spark):
@@ -101,3 +101,15 @@ def test_topics_of_an_empty_table(spark):
     none = spark.createDataFrame([], "bug_id long, root long, token string, tf long")
     state = topics.fit_duplicate_topics(none, 2, 2)
     assert state.collect() == [] == topics.set_mixtures(state, 2).collect() == topics.infer_topics(none, topics.topic_words(state, 2), 2, 2).collect()
+
+
+def test_a_ranking_run_counts_what_it_did(spark):
+    rows = [(1, 10, 100, False, 0.9), (1, 11, 101, True, 0.8), (1, 12, 100, False, 0.7), (2, 10, 100, True, 0.5), (3, 10, 100, False, 0.5)]
+    scored = spark.createDataFrame(rows, "anchor long, cand long, master long, is_dup boolean, score double")
+    anchors = spark.createDataFrame([(1,), (2,), (3,), (4,)], "anchor long")
+    record, done = evaluation.run_ranking(anchors, scored, ks=range(1, 3), label="x")
+    got = {(r["name"], r["k"]): (r["value"], r["n_hits"], r["n_queries"]) for r in record.collect()}
+    assert got == {("recall_rate_x", 1): (0.25, 1, 4), ("recall_rate_x", 2): (0.5, 2, 4), ("MAP_x", 0): (0.375, 2, 4)}
+    assert (done.label, done.queries, done.candidates) == ("x", 4, 5) and done.seconds > 0 and done.queries_per_second > 0
+    record, done = evaluation.run_ranking(anchors.limit(0), scored)
+    assert done.queries == 0 and all(r["n_queries"] == 0 for r in record.collect())
