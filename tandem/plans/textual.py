@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.draws import draw
-from ..operators import features, impact, negatives, neural, pairs, ranking, scoring, topics
+from ..operators import features, impact, negatives, neural, pairs, ranking, scoring, sentences, topics
 from ..sources import reports as rp
 from ..sources.shared import join_frequent, written
 from ..sources.views import DOC_REPORTS, TOKENS_SQL, doc_reports, table
@@ -127,6 +127,34 @@ def sentence_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("sentences_md5"))
 
 
+_BLANK = r"[ \t\n\x0B\f\r]+"
+ABBREVIATIONS_SQL = rf"""wo AS (SELECT unnest(string_split_regex(lower(text), '{_BLANK}')) AS word FROM documents),
+ty AS (SELECT CASE WHEN ends_with(word, '.') THEN word[1:length(word) - 1] ELSE word END AS type, CAST(ends_with(word, '.') AS BIGINT) AS dot FROM wo WHERE word <> ''),
+co AS (SELECT type, count(*) AS n, CAST(sum(dot) AS BIGINT) AS n_dot, length(replace(type, '.', '')) AS size FROM ty GROUP BY type),
+al AS (SELECT sum(n_dot) / sum(n) AS share FROM co),
+sc AS (SELECT type, n, n_dot, 2 * (n_dot * ln(0.99::DOUBLE) + (n - n_dot) * ln(1 - 0.99::DOUBLE) - n_dot * ln(share) - (n - n_dot) * ln(1 - share)) * exp(-size) * (length(type) - size + 1) * pow(size::DOUBLE, -(n - n_dot)) AS score
+  FROM co, al WHERE n_dot > 0 AND regexp_full_match(type, '[\pL.]*\pL') AND share < 1),
+ab AS (SELECT * FROM sc WHERE score >= {sentences.LEAST})"""
+
+
+@query(f"WITH {ABBREVIATIONS_SQL} SELECT type, n, n_dot, round(score, 5) AS score FROM ab")
+def abbreviations(spark, sf_dir):
+    """Abbreviations of all documents, learned from what stands before dots."""
+    return sentences.abbreviation_table(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 5))
+
+
+@query(rf"""WITH {ABBREVIATIONS_SQL}, pa AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])({_BLANK})([\p{{Lu}}\p{{N}}])', '\1\2' || chr(1) || '\3', 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL)),
+op AS (SELECT *, coalesce(lag(lower(regexp_extract(part, '([^ \t\n\x0B\f\r]*)\.[ \t\n\x0B\f\r]*\z', 1)) IN (SELECT type FROM ab)) OVER (PARTITION BY doc_id ORDER BY i), FALSE) AS goes_on FROM pa),
+nu AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM op),
+se AS (SELECT doc_id, no, string_agg(part, '' ORDER BY i) AS s, no = max(no) OVER (PARTITION BY doc_id) AS last FROM nu GROUP BY doc_id, no)
+SELECT doc_id, count(*) AS n_sentences, md5(string_agg(CASE WHEN last THEN s ELSE regexp_replace(s, '{_BLANK}\z', '') END, '|' ORDER BY no)) AS sentences_md5 FROM se GROUP BY doc_id""")
+def learned_sentences(spark, sf_dir):
+    """Sentences of all documents, not cut behind the learned abbreviations."""
+    d = table(spark, sf_dir, "documents")
+    out = sentences.split_sentences(d.select(F.col("doc_id").alias("id"), "text"), sentences.abbreviation_table(d))
+    return out.select(F.col("id").alias("doc_id"), F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("sentences_md5"))
+
+
 _DATE_SQL = "[0-9]{1,4}(/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{2,4}"
 
 
