@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.draws import draw
-from ..operators import features, impact, negatives, neural, pairs, ranking, scoring, sentences, topics
+from ..operators import batched, features, impact, negatives, neural, pairs, ranking, scoring, sentences, topics
 from ..sources import reports as rp
 from ..sources.shared import join_frequent, written
 from ..sources.views import DOC_REPORTS, TOKENS_SQL, doc_reports, table
@@ -604,19 +604,31 @@ def topic_inference(spark, sf_dir):
     return out.select("bug_id", *[F.round(f"theta{t}", 6).alias(f"theta{t}") for t in range(TOPICS)])
 
 
+def _sequences(spark, sf_dir):
+    """(bug_id, tokens) of whole texts."""
+    return doc_reports(spark, sf_dir).select("bug_id", tx.or_empty_token(_tokens(F.col("text"))).alias("tokens"))
+
+
 @query()
 def soft_alignment_forward(spark, sf_dir):
-    r = doc_reports(spark, sf_dir)
-    pr = pairs.positive_pairs(r.select("bug_id", "root"))
-    seqs = r.select("bug_id", F.slice(tx.or_empty_token(_tokens(F.col("text"))), 1, 350).alias("tokens"))
-    return neural.score_pairs(pr, seqs, neural.SoftAlignment.random(dims=16, seed=1))
+    pr = pairs.positive_pairs(doc_reports(spark, sf_dir).select("bug_id", "root"))
+    return neural.score_pairs(pr, _sequences(spark, sf_dir), neural.SoftAlignment.random(dims=16, seed=1))
 
 
 @query()
 def siamese_forward(spark, sf_dir):
-    r = doc_reports(spark, sf_dir)
-    seqs = r.select("bug_id", F.slice(tx.or_empty_token(_tokens(F.col("text"))), 1, 350).alias("tokens"))
-    return neural.encode_reports(seqs, neural.Encoder.random("gru", dims=8, seed=2))
+    return batched.encode_reports(_sequences(spark, sf_dir), neural.Encoder.random("gru", dims=8, seed=2))
+
+
+@query()
+def siamese_scores(spark, sf_dir):
+    """Every report encoded once by a convolution, and pairs of copies and random pairs scored by a join with the stored vectors."""
+    vectors = written(batched.encode_reports(_sequences(spark, sf_dir), neural.Encoder.random("cnn", dims=8, seed=3)), "vectors")
+    r = doc_reports(spark, sf_dir).select("bug_id", "root")
+    good = pairs.positive_pairs(r)
+    anchors = good.select(F.col("bug1").alias("bug_id")).distinct().join(r, "bug_id")
+    both = good.unionByName(negatives.random_negatives(anchors, r, 2))
+    return batched.score_vectors(both, vectors, neural.PairClassifier.random(24, 16, seed=4)).join(both, ["bug1", "bug2"])
 
 
 @query(f"""WITH {DOC_REPORTS}, {_postings_sql('rd', 'post')}, tf AS (SELECT bug_id, token, sum(tf) AS tf FROM post GROUP BY ALL), fit AS (SELECT token, count(*) AS df FROM tf GROUP BY token ORDER BY sum(tf) DESC, token LIMIT 2000),
