@@ -55,4 +55,5 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+    got = catalog.queries()[name](spark, SF).toPandas()
+    assert len(got) and not got.isna().all().any()  # rows, and no column of nulls; the results are held against loops elsewhere
