@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import STEPS, draw_sql
@@ -44,8 +45,10 @@ def run_statistics(spark, sf_dir):
 @query("WITH v AS (SELECT event_type AS method, user_id AS run, list(value ORDER BY event_id)[1:20] AS rates FROM events GROUP BY 1, 2) SELECT method, run, unnest(range(1, len(rates) + 1)) AS k, unnest(rates) AS rate FROM v")
 def recall_long(spark, sf_dir):
     """Arrays of up to 20 values, as those of recall rates at 1 to 20, in long form."""
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("method"), F.col("user_id").alias("run")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    runs = e.select("method", "run", F.slice(F.transform("v", lambda x: x["value"]), 1, 20).alias("rates"))
+    nth = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
+    first = table(spark, sf_dir, "events").withColumn("nth", nth).filter("nth <= 20")  # pruned before they are gathered
+    e = first.groupBy(F.col("event_type").alias("method"), F.col("user_id").alias("run")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
+    runs = e.select("method", "run", F.transform("v", lambda x: x["value"]).alias("rates"))
     return metrics.long_recall(runs)
 
 

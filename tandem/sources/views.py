@@ -35,8 +35,11 @@ EVENT_REPORTS = """re AS (SELECT event_id AS bug_id, lag(event_id) OVER w AS dup
 
 def doc_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text reports: first line and rest; an exact copy repeats the first document of its text."""
-    d = table(spark, sf_dir, "documents")
-    first = F.min("doc_id").over(Window.partitionBy("text"))
+    d = table(spark, sf_dir, "documents").withColumn("_text", F.coalesce(F.sha2("text", 256), F.lit("")))
+    # only texts that stand twice are looked up, by digest: their first ids are partial minima, and no text is sorted
+    copies = d.groupBy("_text").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    d = d.join(copies, "_text", "left")
+    first = F.coalesce("_first", "doc_id")
     cut = F.instr("text", "\n")
     return d.select(
         F.col("doc_id").alias("bug_id"),
