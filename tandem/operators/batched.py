@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neural import Encoder, PairClassifier, relu, sigmoid, softmax, word_vectors
+from ..functions import vectors as vx
+from . import scoring
+from .neural import ACTIVATIONS, Encoder, PairClassifier, relu, sigmoid, softmax, word_vectors
 
 #: Padded words of a batch; a longer report is a batch of its own.
 CELLS = 1 << 15
@@ -66,7 +68,7 @@ def recurrent(kind: str, x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np
     return out
 
 
-def convolve(x: np.ndarray, mask: np.ndarray, kernels: list[np.ndarray], bias: list[np.ndarray]) -> np.ndarray:
+def convolve(x: np.ndarray, mask: np.ndarray, kernels: list[np.ndarray], bias: list[np.ndarray], activation: str = "relu") -> np.ndarray:
     """(report, filter) of filters of several widths with max pooling; windows stay inside a report, one window of a shorter one is padded."""
     n, length, _ = x.shape
     size, out = mask.sum(axis=1), []
@@ -76,7 +78,7 @@ def convolve(x: np.ndarray, mask: np.ndarray, kernels: list[np.ndarray], bias: l
         places = wide.shape[1] - width + 1
         total = b + sum(wide[:, j : j + places] @ k[j] for j in range(width))
         inside = np.arange(places)[None, :] <= np.maximum(size - width, 0)[:, None]
-        out.append(np.where(inside[:, :, None], relu(total), -np.inf).max(axis=1))
+        out.append(np.where(inside[:, :, None], ACTIVATIONS[activation](total), -np.inf).max(axis=1))
     return np.concatenate(out, axis=1)
 
 
@@ -93,7 +95,7 @@ def encode(encoder: Encoder, lists: list[list[str]]) -> np.ndarray:
     x, mask = padded(lists, encoder.dims)
     w = encoder.weights
     if encoder.kind == "cnn":
-        return convolve(x, mask, w["kernels"], w["bias"])
+        return convolve(x, mask, w["kernels"], w["bias"], encoder.activation)
     if encoder.kind == "self_att":
         e = np.where(mask[:, :, None], np.tanh(x @ w["s1"]) @ w["s2"], -np.inf).transpose(0, 2, 1)
         return (softmax(e) @ x).reshape(len(lists), -1)
@@ -136,3 +138,14 @@ def score_vectors(pairs: DataFrame, vectors: DataFrame, model: PairClassifier) -
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(classify(model, u, v))], ["bug1", "bug2", "score"])
 
     return pairs.select("bug1", "bug2").join(a, "bug1").join(b, "bug2").select("bug1", "bug2", "_bug1", "_bug2").mapInArrow(run, "bug1 long, bug2 long, score double")
+
+
+def score_reports(pairs: DataFrame, vectors: DataFrame, reports: DataFrame, weights: tuple[float, float, float, float, float]) -> DataFrame:
+    """(bug1, bug2, score): one linear unit over equal component, closeness of priority and of creation day, and the cosine of the
+    stored vectors, as a probability. ``reports``: bug_id, component, priority, day; ``weights``: of these four, and the bias."""
+    known = vectors.join(reports.select("bug_id", "component", "priority", "day"), "bug_id")
+    a, b = (known.select(F.col("bug_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("vec", "component", "priority", "day")]) for k in ("bug1", "bug2"))
+    both = pairs.select("bug1", "bug2").join(a, "bug1").join(b, "bug2")
+    same = F.coalesce((F.col("component_bug1") == F.col("component_bug2")).cast("double"), F.lit(0.0))
+    gap = [F.col(f"{c}_bug1") - F.col(f"{c}_bug2") for c in ("priority", "day")]
+    return both.select("bug1", "bug2", scoring.logistic_pair(same, *gap, vx.cosine(F.col("vec_bug1"), F.col("vec_bug2")), weights).alias("score"))

@@ -631,6 +631,18 @@ def siamese_scores(spark, sf_dir):
     return batched.score_vectors(both, vectors, neural.PairClassifier.random(24, 16, seed=4)).join(both, ["bug1", "bug2"])
 
 
+@query()
+def cnn_report_scores(spark, sf_dir):
+    """Reports encoded once by a convolution of widths 3 to 5, pairs of copies and random pairs scored by vectors and codes."""
+    vectors = written(batched.encode_reports(_sequences(spark, sf_dir), neural.Encoder.random("cnn", dims=8, seed=5, activation="tanh")), "vectors")
+    d = doc_reports(spark, sf_dir)
+    r = d.select("bug_id", "root")
+    good = pairs.positive_pairs(r)
+    both = good.unionByName(negatives.random_negatives(good.select(F.col("bug1").alias("bug_id")).distinct().join(r, "bug_id"), r, 2))
+    codes = d.select("bug_id", "component", (F.col("n_chars") % 7).alias("priority"), F.floor(F.col("bug_id") / 24).alias("day"))
+    return batched.score_reports(both, vectors, codes, (1.2, 0.8, 0.5, 2.0, -1.5)).join(both, ["bug1", "bug2"])
+
+
 @query(f"""WITH {DOC_REPORTS}, {_postings_sql('rd', 'post')}, tf AS (SELECT bug_id, token, sum(tf) AS tf FROM post GROUP BY ALL), fit AS (SELECT token, count(*) AS df FROM tf GROUP BY token ORDER BY sum(tf) DESC, token LIMIT 2000),
   raw AS (SELECT bug_id, token, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1 AS w FROM tf JOIN fit USING (token) WHERE bug_id % 2 = 1)
   SELECT bug_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY bug_id)), 6) AS w FROM raw""")

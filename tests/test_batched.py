@@ -41,3 +41,25 @@ def test_long_texts_align_in_blocks(monkeypatch):
         monkeypatch.setattr(neural, "ALIGN_CELLS", 50)
         assert abs(model(TEXTS[3], TEXTS[4]) - whole) < 1e-12
         monkeypatch.undo()
+
+
+def test_report_scores_equal_loops(spark):
+    encoder = neural.Encoder.random("cnn", dims=5, seed=4, activation="tanh")
+    seqs = spark.createDataFrame(list(enumerate(TEXTS)), "bug_id long, tokens array<string>")
+    codes = [(k, "ab"[k % 2] if k else None, k % 3, k * 2) for k in range(len(TEXTS))]
+    reports = spark.createDataFrame(codes, "bug_id long, component string, priority long, day long")
+    pairs = spark.createDataFrame([(0, 2), (2, 4), (3, 6), (1, 1)], "bug1 long, bug2 long")
+    w = (1.2, 0.8, 0.5, 2.0, -1.5)
+    for r in batched.score_reports(pairs, batched.encode_reports(seqs, encoder), reports, w).collect():
+        (_, c1, p1, d1), (_, c2, p2, d2) = codes[r["bug1"]], codes[r["bug2"]]
+        u, v = encoder(TEXTS[r["bug1"]]), encoder(TEXTS[r["bug2"]])
+        z = w[0] * (c1 is not None and c1 == c2) + w[1] / (1 + abs(p1 - p2)) + w[2] / (1 + abs(d1 - d2)) + w[3] * (u @ v) / np.linalg.norm(u) / np.linalg.norm(v) + w[4]
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["cnn", "gru"])
+def test_encoders_from_files(tmp_path, kind):
+    encoder = neural.Encoder.random(kind, dims=4, seed=6, pooling="last", activation="tanh")
+    neural.save_encoder(encoder, str(tmp_path / "e.npz"))
+    again = neural.load_encoder(str(tmp_path / "e.npz"))
+    assert all((again(t) == encoder(t)).all() for t in TEXTS) and again.pooling == "last"
