@@ -615,6 +615,22 @@ def soft_alignment_forward(spark, sf_dir):
     return neural.score_pairs(pr, _sequences(spark, sf_dir), neural.SoftAlignment.random(dims=16, seed=1))
 
 
+#: The forms of the matching and aggregating model besides the plain one.
+FORMS = (("none", "self_att"), ("mean", "cnn"), ("partial_compare", "gru"), ("partial", "mean+max"), ("full", "lstm"))
+
+
+@query()
+def pair_model_forms(spark, sf_dir):
+    """Pairs of copies scored by every matching, each with another aggregation; a test holds the forms against loops over words."""
+    pr = pairs.positive_pairs(doc_reports(spark, sf_dir).select("bug_id", "root"))
+    seqs, out = written(_sequences(spark, sf_dir), "sequences"), None
+    for k, (matching, aggregation) in enumerate(FORMS):
+        model = neural.SoftAlignment.random(dims=8, seed=k, matching=matching, aggregation=aggregation, residual=True)
+        one = neural.score_pairs(pr, seqs, model).withColumn("form", F.lit(f"{matching}/{aggregation}"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def siamese_forward(spark, sf_dir):
     return batched.encode_reports(_sequences(spark, sf_dir), neural.Encoder.random("gru", dims=8, seed=2))

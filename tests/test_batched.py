@@ -63,3 +63,39 @@ def test_encoders_from_files(tmp_path, kind):
     neural.save_encoder(encoder, str(tmp_path / "e.npz"))
     again = neural.load_encoder(str(tmp_path / "e.npz"))
     assert all((again(t) == encoder(t)).all() for t in TEXTS) and again.pooling == "last"
+
+
+def by_words(m, x, y):
+    """The matching of x with y, one word after the other."""
+    out = []
+    weigh = lambda q, rows: sum(w * r for w, r in zip(neural.align(m.attention, q[None], rows, m.weights)[0], rows))
+    for word in x:
+        if m.matching == "none":
+            out.append(word)
+            continue
+        context = {"mean": lambda: sum(y) / len(y), "partial_compare": lambda: weigh(sum(x) / len(x), y), "full": lambda: weigh(word, y)}[m.matching]()
+        found = neural.compare(m.comparison, word[None], context[None], m.weights)[0]
+        out.append(found + word if m.matching != "full" or m.residual else found)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("matching", neural.MATCHINGS)
+@pytest.mark.parametrize("aggregation", neural.AGGREGATIONS)
+def test_forms_of_the_pair_model(matching, aggregation):
+    m = neural.SoftAlignment.random(dims=5, seed=7, matching=matching, aggregation=aggregation, residual=True)
+    x, y = (neural.word_vectors(TEXTS[k], 5).astype(np.float64) for k in (3, 2))
+    if matching == "partial":
+        weights = neural.align(m.attention, y.mean(axis=0)[None], x, m.weights)[0]
+        assert np.allclose(m.matched(x, y), sum(w * r for w, r in zip(weights, x))[None])
+    else:
+        assert np.allclose(m.matched(x, y), by_words(m, x, y))
+    assert 0 < m(TEXTS[3], TEXTS[2]) < 1 and abs(m(TEXTS[3], TEXTS[2]) - m(TEXTS[2], TEXTS[3])) < 1e-12
+    assert 0 < m([], TEXTS[2]) < 1
+
+
+def test_unknown_forms_are_errors():
+    for more in ({"matching": "other"}, {"aggregation": "mean+max"}):
+        m = neural.SoftAlignment.random(dims=3, seed=1, **more)
+        m.aggregation = "other"
+        with pytest.raises(ValueError):
+            m(["a"], ["b"])
