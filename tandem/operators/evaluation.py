@@ -1,14 +1,15 @@
-"""A whole ranking run: lists scored, ranked and judged in one job, which also counts what it did.
+"""A whole ranking run: lists scored once, ranked and judged, with a record of what was done.
 
-The places of the first hits are written once; every metric is read from that table of one row for each query. Scored pairs are
-counted by ``DataFrame.observe`` while the job runs, so throughput costs no second pass."""
+Scored pairs are written once, so ranking and the count of candidates (from the files' own row counts) read them without scoring again; the
+places of the first hits are one row for each query, from which every metric is read. (``DataFrame.observe`` would count on the way, but a session that
+has observed can no longer send fitted models with a training summary to its tasks.)"""
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -33,9 +34,9 @@ def run_ranking(anchors: DataFrame, scored: DataFrame, grouped: bool = True, ks:
     """(name, k, value, n_hits, n_queries): recall rate at each k and MAP (k is 0) over all ``anchors`` (anchor), whose names end in the
     label, and the run's throughput. ``scored``: anchor, cand, master, is_dup, score. An anchor without candidates or without a true one
     among them is a miss, and so has no reciprocal place. Without anchors the values are null."""
-    seen = Observation(f"scored{label}")
     began = time.monotonic()
-    hits = ranking.first_hit(ranking.recommend(scored.observe(seen, F.count(F.lit(1)).alias("candidates"))), grouped)
+    lists = written(scored.select("anchor", "cand", "master", "is_dup", "score"), "scored")
+    hits = ranking.first_hit(ranking.recommend(lists), grouped)
     places = written(anchors.select("anchor").join(hits, "anchor", "left"), "places")
     done = time.monotonic() - began
     end = f"_{label}" if label else ""
@@ -44,5 +45,4 @@ def run_ranking(anchors: DataFrame, scored: DataFrame, grouped: bool = True, ks:
     rates = metrics.recall_rate(queries, found, ks).select(F.lit(f"recall_rate{end}").alias("name"), F.col("k").cast("long").alias("k"), F.col("rate").alias("value"), "n_hits", "n_queries")
     whole = places.agg(F.avg(F.coalesce(1.0 / F.col("pos"), F.lit(0.0))).alias("value"), F.count("pos").alias("n_hits"), F.count(F.lit(1)).alias("n_queries"))
     whole = whole.select(F.lit(f"MAP{end}").alias("name"), F.lit(0).cast("long").alias("k"), "value", "n_hits", "n_queries")
-    n = places.count()
-    return rates.unionByName(whole), Throughput(label, n, int(seen.get["candidates"]) if n else 0, done)
+    return rates.unionByName(whole), Throughput(label, places.count(), lists.count(), done)

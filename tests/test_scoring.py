@@ -112,4 +112,4 @@ def test_a_ranking_run_counts_what_it_did(spark):
     assert got == {("recall_rate_x", 1): (0.25, 1, 4), ("recall_rate_x", 2): (0.5, 2, 4), ("MAP_x", 0): (0.375, 2, 4)}
     assert (done.label, done.queries, done.candidates) == ("x", 4, 5) and done.seconds > 0 and done.queries_per_second > 0
     record, done = evaluation.run_ranking(anchors.limit(0), scored)
-    assert done.queries == 0 and all(r["n_queries"] == 0 for r in record.collect())
+    assert done.queries == 0 and done.candidates == 5 and all(r["n_queries"] == 0 for r in record.collect())
